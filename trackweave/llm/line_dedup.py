@@ -100,7 +100,7 @@ def _pairs(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, num: int, den: int, min_words: int) -> DataFrame:
     """The classes (h1, h2) that are similar to an earlier one, by the words themselves."""
     wanted = pairs.select("a", "ra").union(pairs.select("b", "rb")).toDF("of", "row").distinct()
-    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
     found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     bits = bytearray(FILTER_BITS // 8 + 4096)
     for r in found:
