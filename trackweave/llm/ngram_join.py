@@ -175,13 +175,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         F.first("elements").alias("elements"))
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of their sets' intersection and union."""
-    shared = F.size(F.array_intersect("ea", "eb")).cast("long")
-    return pairs.select("a", "b").join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select(
-        "a", "b", shared.alias("both"), (F.size("ea") + F.size("eb") - shared).alias("either"))
-
-
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the undirected ``links`` (a, b); a component is named by its least node."""
     ends = materialise(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -196,58 +189,76 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _fits(na: Column, nb: Column, a: Column, b: Column, num: int, den: int) -> Column:
+    """Sets of these sizes that share the shingle at these places of their prefixes could be similar enough."""
+    length = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return length & (F.least(na - a, nb - b) * (num + den) >= (na + nb) * num)
+
+
+def _promising(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose prefixes share enough: one of both sets has no further common shingle outside its prefix's rest."""
+    own = prefixes.select("cls", "n", "keys")
+    both = pairs.join(own.toDF("a", "na", "ka"), "a").join(own.toDF("b", "nb", "kb"), "b")
+    most = F.size(F.array_intersect("ka", "kb")) + F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
+    return both.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+
+
+def _measured(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The promising ones of the pairs (a, b), with the sizes of their sets' intersection and union."""
+    pairs = materialise(_promising(pairs, prefixes, num, den))
+    wanted = materialise(pairs.select("a").union(pairs.select("b")).toDF("cls").distinct())
+    sets = _sets(docs, wanted, width)
+    shared = F.size(F.array_intersect("ea", "eb")).cast("long")
+    return materialise(pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select(
+        "a", "b", shared.alias("both"), (F.size("ea") + F.size("eb") - shared).alias("either")))
+
+
 def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(classified rows, classes with their component); classes without a link are not in the latter."""
+    spark = docs.sparkSession
     classified = materialise(_classified(docs, width))
     counts = _bucket_counts(classified)
     prefixes = materialise(_prefixes(docs, counts, width, num, den))
     entries = prefixes.select("cls", "n", "central", F.posexplode("keys").alias("pos", "key"))
-    shared = materialise(prefixes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    cells = materialise(entries.join(shared, "key"))
-    sets = materialise(_sets(docs, cells.select("cls").distinct(), width))
+    # the smaller set of a linked pair has the cell's shingle early enough for a set of its own size
+    early = (F.col("n") - F.col("pos")) * (num + den) >= 2 * F.col("n") * num
+    shared = materialise(entries.groupBy("key").agg(F.count("*").alias("size"), F.max(early).alias("early")).where("size > 1 and early").select("key"))
+    open_cells = materialise(entries.join(shared, "key").withColumn("at", F.lit(None).cast("double")).withColumn("component", F.col("cls")))
     close = F.col("both") * den >= F.col("either") * num
-    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    labels = docs.sparkSession.createDataFrame([], "node binary, component binary")
-    open_cells = cells.withColumn("at", F.lit(None).cast("double")).withColumn("component", F.col("cls"))
+    links = spark.createDataFrame([], "a binary, b binary")
     for turn in range(ROUNDS):
-        pivots = open_cells.groupBy("key").agg(F.max_by(F.struct(F.col("cls").alias("p"), F.col("n").alias("pn")), F.struct("central", "cls")).alias("x"),
-                                               F.count("*").alias("size"))
-        pivots = pivots.select("key", "x.*", "size")
-        if turn:
-            pivots = pivots.where(F.col("size") > SMALL_CELL)
-        met = open_cells.join(pivots, "key").where("cls <> p")
-        fits = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
-        pairs = met.where(fits).select(F.col("cls").alias("a"), F.col("p").alias("b")).distinct()
-        measured = materialise(_measured(pairs, sets))
+        pivot = F.struct(F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
+        pivots = open_cells.groupBy("key").agg(F.max_by(pivot, F.struct("central", "cls")).alias("x"), F.count("*").alias("size"))
+        pivots = materialise(pivots.select("key", "x.*", "size").where(F.col("size") > (SMALL_CELL if turn else 1)))
+        met = open_cells.join(pivots, "key").where("cls <> p").where(_fits(F.col("n"), F.col("pn"), F.col("pos"), F.col("pp"), num, den))
+        pairs = met.select(F.col("cls").alias("a"), F.col("p").alias("b")).distinct()
+        measured = _measured(docs, pairs, prefixes, width, num, den)
         links = materialise(links.union(measured.where(close).select("a", "b")))
         labels = connected(links)
         distance = measured.select(F.col("a").alias("cls"), F.col("b").alias("p"), (1 - F.col("both") / F.col("either")).alias("distance"))
-        rest = open_cells.join(pivots.select("key", "p"), "key", "left").where("p is null or cls <> p").join(distance, ["cls", "p"], "left")
+        rest = open_cells.drop("component").join(pivots.select("key", "p"), "key", "left").where("p is null or cls <> p").join(distance, ["cls", "p"], "left")
         rest = rest.select("key", "cls", "n", "central", "pos", F.coalesce("at", "distance").alias("at"))
         rest = rest.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = rest.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        mixed = materialise(rest.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
+                            .where("least <> most").select("key", "size"))
         open_cells = materialise(rest.join(mixed.select("key"), "key", "left_semi"))
-        if mixed.agg(F.max("size")).first()[0] is None or mixed.where(F.col("size") > SMALL_CELL).limit(1).count() == 0:
+        if mixed.where(F.col("size") > SMALL_CELL).limit(1).count() == 0:
             break
-    pairs = _window_pairs(open_cells, num, den)
-    more = _measured(pairs, sets).where(close).select("a", "b")
-    return classified.where("chunk is null"), connected(materialise(links.union(more)))
+    pairs = materialise(_window_pairs(open_cells, num, den))
+    if pairs.limit(1).count():
+        links = materialise(links.union(_measured(docs, pairs, prefixes, width, num, den).where(close).select("a", "b")))
+        labels = connected(links)
+    return classified.where("chunk is null"), labels
 
 
 def _window_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
     """Classes of a cell that are in different components and could be linked: their sizes, the places of the shared
     shingle and, by the triangle inequality, their distances to the cell's first pivot differ little enough."""
     a, b = cells.alias("a"), cells.alias("b")
-
-    def of(x: str) -> tuple[Column, Column]:
-        return F.col(f"a.{x}"), F.col(f"b.{x}")
-
-    (na, nb), (pa_, pb), (da, db) = of("n"), of("pos"), of("at")
-    fits = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    places = F.least(na - pa_, nb - pb) * (num + den) >= (na + nb) * num
-    near = F.coalesce(F.abs(da - db) <= 1 - num / den + 1e-9, F.lit(True))
+    near = F.coalesce(F.abs(F.col("a.at") - F.col("b.at")) <= 1 - num / den + 1e-9, F.lit(True))
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component"))
-    return a.join(b, met & fits & places & near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+    fits = _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), num, den)
+    return a.join(b, met & fits & near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
