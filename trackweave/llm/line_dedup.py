@@ -15,7 +15,7 @@ from .common import materialise
 #: Buckets of word hashes whose occurrences are counted, and levels of rarity that are told apart.
 BUCKET_BITS, LEVELS = 16, 127
 #: Words shared by more classes than this meet a pivot before they meet each other.
-HOT = 64
+HOT = 128
 #: Bits of the filter on documents that hold a candidate.
 FILTER_BITS = 1 << 20
 CLASS = ["h1", "h2"]
@@ -73,67 +73,113 @@ def _sorted_keys(words: Column, levels: bytes) -> Column:
 
 def _classes(docs: DataFrame, levels: bytes, num: int, den: int, min_words: int) -> DataFrame:
     """One row for each set of words: its hashes, size, first line and prefix."""
-    lines = _lines(_keyed(docs)).select("row", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    keys = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(F.col("words"), levels).alias("keys"))
+    lines = _lines(_keyed(docs)).select(F.struct("row", "line_no").alias("first"), _sorted_keys(line_words(F.col("line")), levels).alias("keys"))
     size = F.size("keys")
-    overlap = F.floor((size * num + (den - 1)) / den).cast("int")
-    return keys.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"),
-                       F.slice("keys", 1, size - overlap + 1).alias("prefix")).groupBy(CLASS).agg(
-        F.min("first").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"),
+                           F.slice("keys", 1, size - _least_shared(size, num, den) + 1).alias("prefix"))
+    classes = classes.groupBy(CLASS).agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    return classes.where(F.col("size") >= min_words)
 
 
-def _could_match(num: int, den: int) -> Column:
-    """Length and positional filter for the entries a (earlier) and b."""
-    fewer, more = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    best = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-    return (fewer * den >= more * num) & (best * (num + den) >= (F.col("a.size") + F.col("b.size")) * num)
-
-
-def _pairs(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs, the earlier line first."""
-    a, b = a.alias("a"), b.alias("b")
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.first") < F.col("b.first")) & _could_match(num, den)
-    return a.join(b, met).select(F.struct("a.h1", "a.h2").alias("a"), F.struct("b.h1", "b.h2").alias("b"),
-                                 F.col("a.first.row").alias("ra"), F.col("b.first.row").alias("rb")).distinct()
+def _least_shared(size: Column, num: int, den: int) -> Column:
+    """Words that a set of this size shares with any similar one, at least."""
+    return F.floor((size * num + (den - 1)) / den).cast("int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, num: int, den: int, min_words: int) -> DataFrame:
-    """The classes (h1, h2) that are similar to an earlier one, by the words themselves."""
-    wanted = pairs.select("a", "ra").union(pairs.select("b", "rb")).toDF("of", "row").distinct()
-    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+def _bits(wanted: DataFrame, value: Column) -> bytearray:
+    """A filter of FILTER_BITS on hashes: what is wanted always passes, little else does while few are wanted."""
+    bit = F.pmod(value, F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
     found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bits = bytearray(FILTER_BITS // 8 + 4096)
+    bits = bytearray(FILTER_BITS // 8)
     for r in found:
         begin = (r["part"] - 1) * 4096
         bits[begin : begin + 4096] = bytearray(r["bits"])
-    number, position = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
-    at = ((number - 1) * 4096 + F.floor(position / 8) + 1).cast("int")
-    octet = F.conv(F.hex(F.substring(F.lit(bits), at, F.lit(1))), 16, 10).cast("int")
-    is_set = F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(position, F.lit(8)))), F.lit(2)) == 1
-    passed = _keyed(docs).where(is_set)
-    words = _lines(passed).select("row", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    keys = _sorted_keys(F.col("words"), levels)
-    words = words.select("row", "words", F.struct(F.xxhash64(keys).alias("h1"), F.xxhash64(F.lit(7), keys).alias("h2")).alias("of"))
-    words = words.join(wanted, ["of", "row"], "left_semi").groupBy("of").agg(F.first("words").alias("words"))
-    both = pairs.select("a", "b").join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.where(shared * (den + num) >= (F.size("wa") + F.size("wb")) * num).select("b.h1", "b.h2").distinct()
+    return bits
+
+
+def _passes(value: Column, bits: bytearray) -> Column:
+    bit = F.pmod(value, F.lit(FILTER_BITS))
+    octet = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+
+
+def _lengths_fit(num: int, den: int) -> Column:
+    return F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num
+
+
+def _places_fit(num: int, den: int) -> Column:
+    """Holds at the first shared word of any similar pair."""
+    best = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    return best * (num + den) >= (F.col("a.size") + F.col("b.size")) * num
+
+
+def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a word of their prefixes at fitting places."""
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & _lengths_fit(num, den) & _places_fit(num, den)
+    return a.alias("a").join(b.alias("b"), met).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
+
+
+def _met_often(cold: DataFrame, warm: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that share enough words of their prefixes.
+
+    The words of both sets up to where the first of the prefixes ends are all counted; beyond, the set whose prefix
+    ends there has only its rest to share. Words of hot cells are not counted here and taken as shared.
+    """
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & _lengths_fit(num, den)
+    pairs = cold.alias("a").join(cold.alias("b"), met).select(
+        F.col("a.h1").alias("a"), F.col("b.h1").alias("b"), F.col("a.size").alias("sa"), F.col("b.size").alias("sb"), _places_fit(num, den).alias("fits"))
+    pairs = pairs.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("shared"), F.max("fits").alias("fits")).where("fits")
+    hot = warm.groupBy("h1").agg(F.count("*").alias("hot"))
+    pairs = pairs.join(hot.toDF("a", "ha"), "a", "left").join(hot.toDF("b", "hb"), "b", "left")
+    rest = F.greatest(_least_shared(F.col("sa"), num, den), _least_shared(F.col("sb"), num, den)) - 1
+    most = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + rest
+    return pairs.where(most * (num + den) >= (F.col("sa") + F.col("sb")) * num).select("a", "b")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: bytes, num: int, den: int) -> DataFrame:
+    """The classes (h1, h2) that are similar to an earlier one, by the words themselves.
+
+    Only lines of documents that pass a filter on the candidates' first lines are taken apart again.
+    """
+    ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
+    places = classes.where(_passes(F.col("h1"), _bits(ends, F.col("h1")))).select(*CLASS, F.col("first.row").alias("row")).join(ends, "h1", "left_semi")
+    places = materialise(places)
+    lines = _lines(_keyed(docs).where(_passes(F.xxhash64("row"), _bits(places, F.xxhash64("row")))))
+    words = lines.select(F.struct("row", "line_no").alias("first"), line_words(F.col("line")).alias("words"))
+    words = words.select("first", "words", _sorted_keys(F.col("words"), levels).alias("keys"))
+    words = words.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), F.col("first.row").alias("row"), "first", "words")
+    words = materialise(words.join(places, [*CLASS, "row"], "left_semi").groupBy(CLASS).agg(F.min(F.struct("first", "words")).alias("at")))
+    a = words.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("at.first").alias("fa"), F.col("at.words").alias("wa"))
+    b = words.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("at.first").alias("fb"), F.col("at.words").alias("wb"))
+    similar = F.size(F.array_intersect("wa", "wb")) * (den + num) >= (F.size("wa") + F.size("wb")) * num
+    later = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")))
+    return pairs.join(a, "a").join(b, "b").where(similar).select(later.alias("later")).select("later.*").distinct()
 
 
 def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
-    """(row, kept): for each document the numbers of its lines that stay, of those with ``min_words`` words or more."""
+    """(row, kept): for each document the numbers of its lines that stay, of those with ``min_words`` words or more.
+
+    Cells of more than HOT classes are first measured against their earliest class; only what is not like it meets the others.
+    """
     levels = _rarity_levels(docs)
     classes = materialise(_classes(docs, levels, num, den, min_words))
-    entries = classes.select(*CLASS, "first", "size", F.posexplode("prefix").alias("pos", "key"))
+    entries = classes.select("h1", "size", F.posexplode("prefix").alias("pos", "key"))
     hot = materialise(entries.groupBy("key").count().where(F.col("count") > HOT).select("key"))
-    cold = entries.join(hot, "key", "left_anti")
+    removed = []
     warm = materialise(entries.join(hot, "key"))
-    pivots = warm.groupBy("key").agg(F.min(F.struct("first", *CLASS, "size", "pos")).alias("p")).select("key", "p.*")
-    to_pivots = materialise(_pairs(pivots, warm, num, den))
-    done = materialise(_verified(docs, to_pivots, levels, num, den, min_words))
-    pairs = materialise(_pairs(cold, cold, num, den).union(_pairs(warm, warm.join(done, CLASS, "left_anti"), num, den)).distinct())
-    removed = done.union(_verified(docs, pairs, levels, num, den, min_words))
-    stay = classes.select(*CLASS, "first").join(removed, CLASS, "left_anti")
+    if warm.limit(1).count():
+        order = classes.join(materialise(warm.select("h1").distinct()), "h1").select("h1", "h2", "first")
+        warm_first = warm.join(order, "h1")
+        pivots = warm_first.groupBy("key").agg(F.min_by(F.struct("h1", "size", "pos"), "first").alias("p")).select("key", "p.*")
+        removed.append(materialise(_verified(docs, classes, _met(pivots, warm, num, den), levels, num, den)))
+        left = warm_first.join(removed[0], CLASS, "left_anti").select(*warm.columns)
+        pairs = materialise(_met_often(entries.join(hot, "key", "left_anti"), warm, num, den).union(_met(warm, left, num, den)).distinct())
+    else:
+        pairs = materialise(_met_often(entries, warm, num, den))
+    removed.append(_verified(docs, classes, pairs, levels, num, den))
+    stay = classes.select(*CLASS, "first")
+    for gone in removed:
+        stay = stay.join(gone, CLASS, "left_anti")
     return stay.groupBy(F.col("first.row").alias("row")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept"))
 
 
