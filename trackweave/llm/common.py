@@ -7,7 +7,11 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a filter on hashes.
+FILTER_BITS = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +53,20 @@ def ensure_importable(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
+
+
+def filter_bits(wanted: DataFrame, value: Column) -> bytearray:
+    """A filter of FILTER_BITS on integers: what is wanted always passes, little else does while few are wanted."""
+    bit = F.pmod(value, F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bits = bytearray(FILTER_BITS // 8)
+    for r in found:
+        begin = (r["part"] - 1) * 4096
+        bits[begin : begin + 4096] = bytearray(r["bits"])
+    return bits
+
+
+def passes_filter(value: Column, bits: bytearray) -> Column:
+    bit = F.pmod(value, F.lit(FILTER_BITS))
+    octet = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1

@@ -173,7 +173,7 @@ class Page:
                 styles, look, text = model[self.path[k]]
                 below = [importance[c] for c in self.children[k]] + ([] if text is None else [text])
                 weight = GAMMA**styles if self.children[k] else 1.0
-                importance[k] = (1 - weight) * look + weight * (sum(below) / len(below) if below else 1.0)
+                importance[k] = (1 - weight) * look + weight * max(below, default=1.0)  # as its most important part
         marked = any(article)
         for k in range(1, n):
             root = article[k] and not article[self.parent[k]]

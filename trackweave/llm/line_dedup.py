@@ -10,14 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import filter_bits, materialise, passes_filter
 
 #: Buckets of word hashes whose occurrences are counted, and levels of rarity that are told apart.
 BUCKET_BITS, LEVELS = 16, 127
 #: Words shared by more classes than this meet a pivot before they meet each other.
 HOT = 128
-#: Bits of the filter on documents that hold a candidate.
-FILTER_BITS = 1 << 20
 CLASS = ["h1", "h2"]
 
 
@@ -86,23 +84,6 @@ def _least_shared(size: Column, num: int, den: int) -> Column:
     return F.floor((size * num + (den - 1)) / den).cast("int")
 
 
-def _bits(wanted: DataFrame, value: Column) -> bytearray:
-    """A filter of FILTER_BITS on hashes: what is wanted always passes, little else does while few are wanted."""
-    bit = F.pmod(value, F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bits = bytearray(FILTER_BITS // 8)
-    for r in found:
-        begin = (r["part"] - 1) * 4096
-        bits[begin : begin + 4096] = bytearray(r["bits"])
-    return bits
-
-
-def _passes(value: Column, bits: bytearray) -> Column:
-    bit = F.pmod(value, F.lit(FILTER_BITS))
-    octet = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
-
-
 def _lengths_fit(num: int, den: int) -> Column:
     return F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num
 
@@ -142,9 +123,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: byt
     Only lines of documents that pass a filter on the candidates' first lines are taken apart again.
     """
     ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
-    places = classes.where(_passes(F.col("h1"), _bits(ends, F.col("h1")))).select(*CLASS, F.col("first.row").alias("row")).join(ends, "h1", "left_semi")
+    places = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).select(*CLASS, F.col("first.row").alias("row")).join(ends, "h1", "left_semi")
     places = materialise(places)
-    lines = _lines(_keyed(docs).where(_passes(F.xxhash64("row"), _bits(places, F.xxhash64("row")))))
+    lines = _lines(_keyed(docs).where(passes_filter(F.xxhash64("row"), filter_bits(places, F.xxhash64("row")))))
     words = lines.select(F.struct("row", "line_no").alias("first"), line_words(F.col("line")).alias("words"))
     words = words.select("first", "words", _sorted_keys(F.col("words"), levels).alias("keys"))
     words = words.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), F.col("first.row").alias("row"), "first", "words")

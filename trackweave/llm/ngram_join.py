@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, materialise
+from .common import checkpoint, filter_bits, materialise, passes_filter
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Words that are hashed at a time.
 PART_WORDS = 50_000
-#: Buckets whose shingles are counted, a chunk of them in a row, and bits of the filter on wanted classes.
-BUCKETS, CHUNK, FILTER_BITS = 1 << 18, 1 << 14, 1 << 23
+#: Buckets whose shingles are counted, and a chunk of them in a row.
+BUCKETS, CHUNK = 1 << 18, 1 << 14
 #: Cells of up to this many classes are joined in pairs; larger ones get further pivots first, for so many rounds.
-SMALL_CELL, ROUNDS = 16, 6
+SMALL_CELL, ROUNDS = 32, 2
 
 _power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -121,14 +121,15 @@ def _bucket_counts(classified: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """(cls, n, central, keys): the prefix of each class, rarest first, and how shared its shingles are."""
+    """(cls, doc_id, n, central, keys): a document of each class, the class's prefix, rarest first, and how shared its shingles are."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            rows = []
-            for text in batch.column(0):
+            rows, at = [], []
+            for i, text in enumerate(batch.column(1)):
                 found = shingles(text.as_py(), width)
                 cls = _class_of(found)
                 if cls is None or cls in seen:
@@ -138,52 +139,55 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: in
                 keep = n - -(-num * n // den) + 1
                 order = np.lexsort((found, rarity))[:keep]
                 rows.append((cls, n, float(np.log2(rarity[order] + 1).mean()), found[order].view(np.int64)))
+                at.append(i)
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.int64())), strict=True)],
-                names=["cls", "n", "central", "keys"])
+                [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.int64())), strict=True))],
+                names=["doc_id", "cls", "n", "central", "keys"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, n long, central double, keys array<long>").groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("central").alias("central"), F.first("keys").alias("keys"))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cls binary, n long, central double, keys array<long>").groupBy("cls").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "n", "central", "keys")])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, elements) of the wanted classes. A filter of fixed size keeps most others from being shuffled."""
-    bit = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("long") % FILTER_BITS + 1  # the bitmap functions count from 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    marks = np.zeros(FILTER_BITS + 32768, bool)
-    for r in parts:
-        begin = (r["part"] - 1) * 32768
-        marks[begin : begin + 32768] |= np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    """(cls, elements) of the wanted classes (cls, doc_id). Few other documents pass the filter on their ids."""
+    near = docs.where(passes_filter(F.xxhash64("doc_id"), filter_bits(wanted, F.xxhash64("doc_id")))).select("text")
 
     def run(batches):
-        wanted_marks, seen = np.unpackbits(sent.value).astype(bool), set()
+        seen = set()
         for batch in batches:
-            rows = []
-            for text in batch.column(0):
-                found = shingles(text.as_py(), width)
-                cls = _class_of(found)
-                if cls is not None and cls not in seen and wanted_marks[int.from_bytes(cls[:4], "big") % FILTER_BITS]:
-                    seen.add(cls)
-                    rows.append((cls, found.view(np.int64)))
-            for k in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000], strict=True), (pa.binary(), pa.list_(pa.int64())), strict=True)], names=["cls", "elements"])
-
-    return docs.select("text").mapInArrow(run, "cls binary, elements array<long>").join(wanted, "cls", "left_semi").groupBy("cls").agg(
+            for begin in range(0, batch.num_rows, 500):
+                rows = []
+                for text in batch.column(0)[begin : begin + 500]:
+                    found = shingles(text.as_py(), width)
+                    cls = _class_of(found)
+                    if cls is not None and cls not in seen:
+                        seen.add(cls)
+                        rows.append((cls, found.view(np.int64)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.list_(pa.int64())), strict=True)], names=["cls", "elements"])
+
+    return near.mapInArrow(run, "cls binary, elements array<long>").join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(
         F.first("elements").alias("elements"))
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of the undirected ``links`` (a, b); a component is named by its least node."""
+    """(node, component) of all nodes of the undirected ``links`` (a, b); a component is named by its least node.
+
+    Labels spread to neighbours; from the third turn on they also jump to their label's label, so that long chains shrink
+    by half. Every turn is written to the shared folder.
+    """
     ends = materialise(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = checkpoint(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    turn = 0
     while True:
         near = ends.join(labels.toDF("b", "of_b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("of_b").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = labels.toDF("component", "further")
-        lower = checkpoint(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"))
+        if turn >= 2:
+            jump = labels.toDF("component", "further")
+            lower = lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was")
+        lower, turn = checkpoint(lower), turn + 1
         labels = lower.select("node", "component")
         if lower.where("component <> was").limit(1).count() == 0:
             return labels
@@ -206,8 +210,8 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> Dat
 def _measured(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The promising ones of the pairs (a, b), with the sizes of their sets' intersection and union."""
     pairs = materialise(_promising(pairs, prefixes, num, den))
-    wanted = materialise(pairs.select("a").union(pairs.select("b")).toDF("cls").distinct())
-    sets = _sets(docs, wanted, width)
+    ends = pairs.select("a").union(pairs.select("b")).toDF("cls").distinct()
+    sets = _sets(docs, materialise(prefixes.select("cls", "doc_id").join(ends, "cls", "left_semi")), width)
     shared = F.size(F.array_intersect("ea", "eb")).cast("long")
     return materialise(pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select(
         "a", "b", shared.alias("both"), (F.size("ea") + F.size("eb") - shared).alias("either")))
@@ -215,7 +219,6 @@ def _measured(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, width: int
 
 def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(classified rows, classes with their component); classes without a link are not in the latter."""
-    spark = docs.sparkSession
     classified = materialise(_classified(docs, width))
     counts = _bucket_counts(classified)
     prefixes = materialise(_prefixes(docs, counts, width, num, den))
@@ -223,32 +226,32 @@ def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFra
     # the smaller set of a linked pair has the cell's shingle early enough for a set of its own size
     early = (F.col("n") - F.col("pos")) * (num + den) >= 2 * F.col("n") * num
     shared = materialise(entries.groupBy("key").agg(F.count("*").alias("size"), F.max(early).alias("early")).where("size > 1 and early").select("key"))
-    open_cells = materialise(entries.join(shared, "key").withColumn("at", F.lit(None).cast("double")).withColumn("component", F.col("cls")))
+    open_cells = materialise(entries.join(shared, "key").withColumn("at", F.lit(None).cast("double")))
     close = F.col("both") * den >= F.col("either") * num
-    links = spark.createDataFrame([], "a binary, b binary")
+    links = None
     for turn in range(ROUNDS):
         pivot = F.struct(F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
         pivots = open_cells.groupBy("key").agg(F.max_by(pivot, F.struct("central", "cls")).alias("x"), F.count("*").alias("size"))
-        pivots = materialise(pivots.select("key", "x.*", "size").where(F.col("size") > (SMALL_CELL if turn else 1)))
-        met = open_cells.join(pivots, "key").where("cls <> p").where(_fits(F.col("n"), F.col("pn"), F.col("pos"), F.col("pp"), num, den))
-        pairs = met.select(F.col("cls").alias("a"), F.col("p").alias("b")).distinct()
+        pivots = pivots.where(F.col("size") > (SMALL_CELL if turn else 1)).select("key", "x.*")
+        met = materialise(open_cells.join(pivots, "key", "left"))
+        pairs = met.where("cls <> p").where(_fits(F.col("n"), F.col("pn"), F.col("pos"), F.col("pp"), num, den)).select(F.col("cls").alias("a"), F.col("p").alias("b")).distinct()
         measured = _measured(docs, pairs, prefixes, width, num, den)
-        links = materialise(links.union(measured.where(close).select("a", "b")))
-        labels = connected(links)
+        found = measured.where(close).select("a", "b")
+        links = found if links is None else links.union(found)
+        # one component for sure: a pivot and what is linked to it, each class with the least of its pivots
+        sure = links.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("component"))
         distance = measured.select(F.col("a").alias("cls"), F.col("b").alias("p"), (1 - F.col("both") / F.col("either")).alias("distance"))
-        rest = open_cells.drop("component").join(pivots.select("key", "p"), "key", "left").where("p is null or cls <> p").join(distance, ["cls", "p"], "left")
-        rest = rest.select("key", "cls", "n", "central", "pos", F.coalesce("at", "distance").alias("at"))
-        rest = rest.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = materialise(rest.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
-                            .where("least <> most").select("key", "size"))
-        open_cells = materialise(rest.join(mixed.select("key"), "key", "left_semi"))
-        if mixed.where(F.col("size") > SMALL_CELL).limit(1).count() == 0:
+        rest = met.where("p is null or cls <> p").join(distance, ["cls", "p"], "left").select("key", "cls", "n", "central", "pos", F.coalesce("at", "distance").alias("at"))
+        rest = rest.join(sure, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = rest.groupBy("key").agg(F.count("*").alias("cell"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        open_cells = materialise(rest.join(mixed.select("key", "cell"), "key"))
+        if open_cells.where(F.col("cell") > SMALL_CELL).limit(1).count() == 0:
             break
+        open_cells = open_cells.drop("cell")
     pairs = materialise(_window_pairs(open_cells, num, den))
     if pairs.limit(1).count():
-        links = materialise(links.union(_measured(docs, pairs, prefixes, width, num, den).where(close).select("a", "b")))
-        labels = connected(links)
-    return classified.where("chunk is null"), labels
+        links = links.union(_measured(docs, pairs, prefixes, width, num, den).where(close).select("a", "b"))
+    return classified.where("chunk is null"), connected(links)
 
 
 def _window_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
