@@ -41,8 +41,3 @@ def run_available(stream: DataFrame, spark: SparkSession, path: str) -> DataFram
     query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
-
-
-def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events by window and status, with a watermark; beyond the reference semantics, used by spark_native queries."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n"))
