@@ -16,36 +16,52 @@ SHARD_ROWS, BLOCK_QUERIES, LEAF = 4096, 256, 48
 
 
 class VantagePointTree:
-    """Distinct unit vectors in a binary tree of balls, and the ids that share each vector.
+    """Distinct unit vectors in a binary tree of balls, in arrays.
 
     A node splits its points at the median distance from its vantage point; for both halves it knows the least and
     largest of these distances, from which the triangle inequality bounds the distance of any query.
     """
 
-    def __init__(self, units: np.ndarray):
+    #: Of each node: its vantage point or -1 for a leaf; bounds of both halves; both children; a leaf's part of ``order``.
+    ARRAYS = ("units", "point", "bounds", "child", "span", "order")
+
+    def __init__(self, units: np.ndarray, **arrays: np.ndarray):
         self.units = units
-        self.nodes: list[tuple] = []
+        if arrays:
+            self.__dict__.update(arrays)
+            return
+        self._rows: list[tuple] = []
+        self._leaves: list[np.ndarray] = []
+        self._placed = 0
         if len(units):
             self._build(np.arange(len(units)))
+        columns = list(zip(*self._rows, strict=True)) or [[]] * 4
+        self.point, self.bounds = np.array(columns[0], np.int64), np.array(columns[1], np.float64).reshape(-1, 4)
+        self.child, self.span = np.array(columns[2], np.int64).reshape(-1, 2), np.array(columns[3], np.int64).reshape(-1, 2)
+        self.order = np.concatenate([np.empty(0, np.int64), *self._leaves])
 
     def _build(self, own: np.ndarray) -> int:
-        at = len(self.nodes)
-        self.nodes.append(())
+        at = len(self._rows)
         if len(own) <= LEAF:
-            self.nodes[at] = (own,)
+            self._rows.append((-1, (0.0,) * 4, (-1, -1), (self._placed, self._placed + len(own))))
+            self._leaves.append(own)
+            self._placed += len(own)
             return at
+        self._rows.append(())
         # the point farthest from the middle sees the widest spread of distances
         middle = self.units[own].mean(0)
         point = own[np.argmax(((self.units[own] - middle) ** 2).sum(1))]
         own = own[own != point]
         d = np.sqrt(np.maximum(0, 2 - 2 * (self.units[own] @ self.units[point])))
         order = np.argsort(d, kind="stable")
-        half = len(own) // 2
-        inner, outer = order[:half], order[half:]
+        inner, outer = np.split(order, [len(own) // 2])
         bounds = d[inner[0]], d[inner[-1]], d[outer[0]], d[outer[-1]]
-        self.nodes[at] = (point, bounds, self._build(own[inner]), self._build(own[outer]))
+        self._rows[at] = (point, bounds, (self._build(own[inner]), self._build(own[outer])), (0, 0))
         return at
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {x: getattr(self, x) for x in self.ARRAYS}
+
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """For each query the indices (-1: none) and distances of its ``k`` nearest vectors, unordered.
 
@@ -62,26 +78,26 @@ class VantagePointTree:
 
         def visit(node: int, who: np.ndarray, bound: np.ndarray) -> None:
             near = bound * factor <= far[who].max(1) + 1e-9
-            who = who[near]
+            who, bound = who[near], bound[near]
             if not len(who):
                 return
-            found = self.nodes[node]
-            if len(found) == 1:
-                own = found[0]
+            point = self.point[node]
+            if point < 0:
+                own = self.order[slice(*self.span[node])]
                 offer(who, own, np.sqrt(np.maximum(0, 2 - 2 * (queries[who] @ self.units[own].T))))
                 return
-            point, (a, b, c, e), inner, outer = found
+            a, b, c, e = self.bounds[node]
+            inner, outer = self.child[node]
             d = np.sqrt(np.maximum(0, 2 - 2 * (queries[who] @ self.units[point])))
             offer(who, np.array([point]), d[:, None])
-            inside = np.maximum(bound[near], np.maximum(d - b, a - d))
-            outside = np.maximum(bound[near], np.maximum(d - e, c - d))
-            first = inside <= outside
-            visit(inner, who[first], inside[first])
-            visit(outer, who[first], outside[first])
-            visit(outer, who[~first], outside[~first])
-            visit(inner, who[~first], inside[~first])
-
-        if self.nodes and len(queries):
+            inside = np.maximum(bound, np.maximum(d - b, a - d))
+            outside = np.maximum(bound, np.maximum(d - e, c - d))
+            # all queries of a block go together, to the half first that is nearer to most
+            halves = (inner, inside), (outer, outside)
+            for half, limit in halves if (inside <= outside).mean() >= 0.5 else halves[::-1]:
+                visit(half, who, limit)
+
+        if len(self.point) and len(queries):
             visit(0, np.arange(len(queries)), np.zeros(len(queries)))
         return best, far
 
@@ -121,7 +137,7 @@ def build_index(vectors: DataFrame, k: int, shards: int) -> DataFrame:
         begin = np.flatnonzero(new)
         nth = np.arange(len(ids)) - begin[np.cumsum(new) - 1]
         kept = nth <= k
-        tree = _packed(points=points[begin], ids=ids[kept], owner=(np.cumsum(new) - 1)[kept])
+        tree = _packed(points=points[begin], ids=ids[kept], owner=(np.cumsum(new) - 1)[kept], **VantagePointTree(_units(points[begin])).arrays())
         return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "tree": pa.array([tree], pa.binary())})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
@@ -163,7 +179,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
                 held, asked = np.load(io.BytesIO(tree_bytes.as_py())), np.load(io.BytesIO(query_bytes.as_py()))
                 points, ids, owner, own, at = held["points"], held["ids"], held["owner"], asked["ids"], asked["points"]
                 # one more than asked for, as a query finds itself; and one against rounding at the border
-                best, _ = VantagePointTree(_units(points)).search(_units(at), min(k + 2, len(points)), factor)
+                tree = VantagePointTree(**{x: held[x] for x in VantagePointTree.ARRAYS})
+                best, _ = tree.search(_units(at), min(k + 2, len(points)), factor)
                 who, which = np.nonzero(best >= 0)
                 point = best[who, which]
                 first, last = np.searchsorted(owner, point), np.searchsorted(owner, point, side="right")
