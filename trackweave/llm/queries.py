@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, decontaminate, html_extract, line_dedup, ngram_join, packing, quality, token_counts, token_output, url_filter
 from .common import ensure_importable, read_table
+from .oracles import ORACLES
 
 URL_RULES: list[url_filter.Rule] = [
     ("org", "/", "allow"),
@@ -26,7 +28,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(read_table(spark, sf_dir, "documents"))
+    found = line_dedup.removed_lines(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
