@@ -133,6 +133,10 @@ def test_drop_near_duplicates_keeps_one_of_each(spark):
     kept = ngram_join.drop_near_duplicates(docs)
     want = sorted(k for k, n, c in brute_components(rows, 5, 4, 5) if k == c)
     assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == docs.columns
+    text = "one two three four five six"
+    odd = spark.createDataFrame([(3, text), (3, text), (None, text), (None, "nine ten"), (None, "nine ten"), (3, "other words"), (None, None), (None, "")], "doc_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in ngram_join.drop_near_duplicates(odd).collect()), key=repr)
+    assert left == sorted([(3, text), (3, "other words"), (None, "nine ten"), (None, None), (None, "")], key=repr)
 
 
 def brute_nearest(rows, every, k):

@@ -75,30 +75,31 @@ def _bucket(found: np.ndarray) -> np.ndarray:
 
 
 def _classified(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) for each row, and the shingles counted by bucket in rows (chunk, counts) of each task."""
+    """(doc_id, t1, n_shingles, cls) for each row, t1 a hash of its text; and the shingles counted by bucket in rows
+    (chunk, counts) of each task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "t1", "n_shingles", "cls", "chunk", "counts"]
 
     def run(batches):
         counts, empty = np.zeros(BUCKETS, np.int32), None
         for batch in batches:
             sizes, classes = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py(), width)
                 np.add.at(counts, _bucket(found), 1)
                 sizes.append(len(found))
                 classes.append(_class_of(found))
             n, empty = len(sizes), pa.nulls(1, batch.column(0).type)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n_shingles", "cls", "chunk", "counts"])
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if empty is not None:
             for k in range(BUCKETS // CHUNK):
                 part = counts[k * CHUNK : (k + 1) * CHUNK]
                 yield pa.RecordBatch.from_arrays(
-                    [empty, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())],
-                    names=["doc_id", "n_shingles", "cls", "chunk", "counts"])
+                    [empty, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())],
+                    names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls binary, chunk int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t1"), "text").mapInArrow(run, f"doc_id {kind}, t1 long, n_shingles long, cls binary, chunk int, counts binary")
 
 
 def _bucket_counts(classified: DataFrame) -> np.ndarray:
@@ -222,11 +223,17 @@ def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFra
     classified = materialise(_classified(docs, width))
     counts = _bucket_counts(classified)
     prefixes = materialise(_prefixes(docs, counts, width, num, den))
-    entries = prefixes.select("cls", "n", "central", F.posexplode("keys").alias("pos", "key"))
+    each = prefixes.select("cls", "n", "central", F.posexplode("keys").alias("pos", "key"))
     # the smaller set of a linked pair has the cell's shingle early enough for a set of its own size
     early = (F.col("n") - F.col("pos")) * (num + den) >= 2 * F.col("n") * num
-    shared = materialise(entries.groupBy("key").agg(F.count("*").alias("size"), F.max(early).alias("early")).where("size > 1 and early").select("key"))
-    open_cells = materialise(entries.join(shared, "key").withColumn("at", F.lit(None).cast("double")))
+    # one number counts a cell's classes and, in its upper half, those that have the shingle early
+    size = each.select("key", F.when(early, (1 << 32) + 1).otherwise(1).alias("one")).groupBy("key").agg(F.sum("one").alias("size"))
+    shared = materialise(size.where((F.col("size") % (1 << 32) > 1) & (F.col("size") >= 1 << 32)).select("key"))
+    # what most entries carry through the shuffle in vain is one number too: 9 bits central, 28 n, 26 pos
+    packed = F.shiftleft(F.least(F.lit(511), F.round(F.col("central") * 10)).cast("long"), 54) + F.shiftleft(F.col("n"), 26) + F.col("pos")
+    met = each.select("cls", "key", packed.alias("x")).join(shared, "key")
+    open_cells = materialise(met.select("key", "cls", (F.shiftright("x", 26) % (1 << 28)).alias("n"), F.shiftright("x", 54).alias("central"),
+                                        (F.col("x") % (1 << 26)).alias("pos"), F.lit(None).cast("double").alias("at")))
     close = F.col("both") * den >= F.col("either") * num
     links = None
     for turn in range(ROUNDS):
@@ -284,15 +291,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One document of each component, that with the least doc_id (among equal ids, the least text); all columns as they were.
-
-    Rows with null ids come last. Texts without shingles stay.
+    """One document of each component, all its columns as they were: that with the least doc_id (nulls last), among equal
+    ids that with the least hash of its text, of repeated rows any one. Texts without shingles stay.
     """
     names = docs.columns
-    tagged = near_duplicates(docs, width, num, den)
-    stay = tagged.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"))
-    kept = packed.join(stay, F.col("__doc.doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    rows, components = find_links(docs, width, num, den)
+    own = rows.where("cls is not null").join(components.withColumnRenamed("node", "cls"), "cls", "left").select(
+        F.coalesce("component", "cls").alias("component"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "t1").alias("row"))
+    best = own.groupBy("component").agg(F.min("row").alias("row"), F.count("*").alias("size")).select("row.*")
+    bare = rows.where("cls is null").select(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "t1").distinct()
+    stay = materialise(best.union(bare))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__t1"))
+
+    def those(keys: DataFrame) -> DataFrame:
+        met = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__t1") == F.col("t1"))
+        return packed.join(keys, met, "left_semi")
+
+    repeated = rows.where("cls is not null").groupBy(F.col("doc_id").alias("id"), "t1").count().where("count > 1").select("id", "t1")
+    again = F.col("s.id").eqNullSafe(F.col("r.id")) & (F.col("s.t1") == F.col("r.t1"))
+    twice = materialise(stay.alias("s").join(repeated.alias("r"), again, "left_semi"))
+    if twice.limit(1).count() == 0:
+        kept = those(stay)
+    else:  # only the few rows that repeat are compared with each other
+        once = stay.alias("s").join(twice.alias("r"), again, "left_anti")
+        kept = those(once).unionByName(those(twice).dropDuplicates(["__id", "__t1"]))
     return kept.select(*[F.col(f"__doc.`{c}`") for c in names])
-
-
