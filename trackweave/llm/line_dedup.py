@@ -81,57 +81,49 @@ def _classes(docs: DataFrame, levels: bytes, num: int, den: int, min_words: int)
 
 def _least_shared(size: Column, num: int, den: int) -> Column:
     """Words that a set of this size shares with any similar one, at least."""
-    return F.floor((size * num + (den - 1)) / den).cast("int")
+    return F.ceil(size * num / den).cast("int")
 
 
-def _lengths_fit(num: int, den: int) -> Column:
-    return F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num
+def _entries(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(h1, size, pos, key, mark) for each word of each prefix. ``mark`` has a bit for each of the prefix's words."""
+    bit = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    return classes.select("h1", "size", bit.alias("mark"), F.posexplode("prefix").alias("pos", "key"))
 
 
-def _places_fit(num: int, den: int) -> Column:
-    """Holds at the first shared word of any similar pair."""
-    best = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-    return best * (num + den) >= (F.col("a.size") + F.col("b.size")) * num
+def _could_match(num: int, den: int) -> Column:
+    """Filters that no similar pair fails at its first shared word: by length, by place, and by what the prefixes share.
+
+    Words of both sets up to where the first of the prefixes ends are in both prefixes if shared; beyond, the set whose
+    prefix ends there has only its rest to share. Each bit in which the marks differ is a word that isn't shared.
+    """
+    na, nb = F.col("a.size"), F.col("b.size")
+    length = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    place = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) * (num + den) >= (na + nb) * num
+    least_a, least_b = _least_shared(na, num, den), _least_shared(nb, num, den)
+    differ = F.bit_count(F.col("a.mark").bitwiseXOR(F.col("b.mark")))
+    shared = F.floor((na - least_a + 1 + nb - least_b + 1 - differ) / 2) + F.greatest(least_a, least_b) - 1
+    return length & place & (shared * (num + den) >= (na + nb) * num)
 
 
 def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a word of their prefixes at fitting places."""
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & _lengths_fit(num, den) & _places_fit(num, den)
+    """Pairs (a, b) of classes that share a word of their prefixes and could be similar."""
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1") if a is not b else F.col("a.h1") < F.col("b.h1")) & _could_match(num, den)
     return a.alias("a").join(b.alias("b"), met).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
 
 
-def _met_often(cold: DataFrame, warm: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that share enough words of their prefixes.
-
-    The words of both sets up to where the first of the prefixes ends are all counted; beyond, the set whose prefix
-    ends there has only its rest to share. Words of hot cells are not counted here and taken as shared.
-    """
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & _lengths_fit(num, den)
-    pairs = cold.alias("a").join(cold.alias("b"), met).select(
-        F.col("a.h1").alias("a"), F.col("b.h1").alias("b"), F.col("a.size").alias("sa"), F.col("b.size").alias("sb"), _places_fit(num, den).alias("fits"))
-    pairs = pairs.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("shared"), F.max("fits").alias("fits")).where("fits")
-    hot = warm.groupBy("h1").agg(F.count("*").alias("hot"))
-    pairs = pairs.join(hot.toDF("a", "ha"), "a", "left").join(hot.toDF("b", "hb"), "b", "left")
-    rest = F.greatest(_least_shared(F.col("sa"), num, den), _least_shared(F.col("sb"), num, den)) - 1
-    most = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + rest
-    return pairs.where(most * (num + den) >= (F.col("sa") + F.col("sb")) * num).select("a", "b")
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: bytes, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The classes (h1, h2) that are similar to an earlier one, by the words themselves.
 
-    Only lines of documents that pass a filter on the candidates' first lines are taken apart again.
+    The first lines of the candidates are read again; a filter of fixed size lets few others through.
     """
     ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
-    places = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).select(*CLASS, F.col("first.row").alias("row")).join(ends, "h1", "left_semi")
-    places = materialise(places)
-    lines = _lines(_keyed(docs).where(passes_filter(F.xxhash64("row"), filter_bits(places, F.xxhash64("row")))))
-    words = lines.select(F.struct("row", "line_no").alias("first"), line_words(F.col("line")).alias("words"))
-    words = words.select("first", "words", _sorted_keys(F.col("words"), levels).alias("keys"))
-    words = words.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), F.col("first.row").alias("row"), "first", "words")
-    words = materialise(words.join(places, [*CLASS, "row"], "left_semi").groupBy(CLASS).agg(F.min(F.struct("first", "words")).alias("at")))
-    a = words.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("at.first").alias("fa"), F.col("at.words").alias("wa"))
-    b = words.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("at.first").alias("fb"), F.col("at.words").alias("wb"))
+    places = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).select(*CLASS, "first")
+    places = materialise(places.join(ends, "h1", "left_semi"))
+    lines = _lines(_keyed(docs)).select(F.struct("row", "line_no").alias("first"), "line")
+    lines = lines.where(passes_filter(F.xxhash64("first"), filter_bits(places, F.xxhash64("first"))))
+    words = materialise(lines.join(places, "first").groupBy(*CLASS, "first").agg(F.first(line_words(F.col("line"))).alias("words")))
+    a = words.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("fa"), F.col("words").alias("wa"))
+    b = words.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("fb"), F.col("words").alias("wb"))
     similar = F.size(F.array_intersect("wa", "wb")) * (den + num) >= (F.size("wa") + F.size("wb")) * num
     later = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")))
     return pairs.join(a, "a").join(b, "b").where(similar).select(later.alias("later")).select("later.*").distinct()
@@ -142,22 +134,21 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
 
     Cells of more than HOT classes are first measured against their earliest class; only what is not like it meets the others.
     """
-    levels = _rarity_levels(docs)
-    classes = materialise(_classes(docs, levels, num, den, min_words))
-    entries = classes.select("h1", "size", F.posexplode("prefix").alias("pos", "key"))
-    hot = materialise(entries.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    classes = materialise(_classes(docs, _rarity_levels(docs), num, den, min_words))
+    entries = _entries(classes, num, den)
+    hot = materialise(classes.select(F.explode("prefix").alias("key")).groupBy("key").count().where(F.col("count") > HOT).select("key"))
     removed = []
-    warm = materialise(entries.join(hot, "key"))
-    if warm.limit(1).count():
-        order = classes.join(materialise(warm.select("h1").distinct()), "h1").select("h1", "h2", "first")
-        warm_first = warm.join(order, "h1")
-        pivots = warm_first.groupBy("key").agg(F.min_by(F.struct("h1", "size", "pos"), "first").alias("p")).select("key", "p.*")
-        removed.append(materialise(_verified(docs, classes, _met(pivots, warm, num, den), levels, num, den)))
-        left = warm_first.join(removed[0], CLASS, "left_anti").select(*warm.columns)
-        pairs = materialise(_met_often(entries.join(hot, "key", "left_anti"), warm, num, den).union(_met(warm, left, num, den)).distinct())
+    if hot.limit(1).count():
+        warm = materialise(entries.join(hot, "key"))
+        firsts = materialise(warm.join(classes.select(*CLASS, "first"), "h1"))
+        pivots = firsts.groupBy("key").agg(F.min_by(F.struct("h1", "size", "pos", "mark"), "first").alias("p")).select("key", "p.*")
+        removed.append(materialise(_verified(docs, classes, materialise(_met(pivots, warm, num, den)), num, den)))
+        left = firsts.join(removed[0], CLASS, "left_anti").select(*warm.columns)
+        cold = entries.join(hot, "key", "left_anti")
+        pairs = materialise(_met(cold, cold, num, den).union(_met(warm, left, num, den)).distinct())
     else:
-        pairs = materialise(_met_often(entries, warm, num, den))
-    removed.append(_verified(docs, classes, pairs, levels, num, den))
+        pairs = materialise(_met(entries, entries, num, den))
+    removed.append(_verified(docs, classes, pairs, num, den))
     stay = classes.select(*CLASS, "first")
     for gone in removed:
         stay = stay.join(gone, CLASS, "left_anti")
