@@ -24,7 +24,7 @@ def made(seed, groups=12, copies=6):
         for _ in range(rng.randint(1, copies)):
             own = [" ".join(w if rng.random() > rng.choice([0, 0, 0.01, 0.04]) else rng.choice(words) for w in x.split()) for x in lines]
             out.append("\n".join(own))
-    out += [None, "", "   ", "one", "one", "ONE", "a b", "Solo line here", "Solo line here", "\n\n", " ".join(words * 20)]
+    out += [None, "", "   ", "one", "one", "ONE", "a b", "Solo line here", "Solo line here", "a a a\na\na  a a a", "a", "\n\n", " ".join(words * 20)]
     rng.shuffle(out)
     return [(k, t, len(t or ""), "x", "y") for k, t in enumerate(out)]
 
@@ -37,7 +37,7 @@ def brute_lines(rows, min_words=3):
         gone = []
         for i, line in enumerate(text.split("\n")):
             words = {w for w in line.lower().split(" ") if w}
-            if len(words) < min_words:
+            if sum(w != "" for w in line.split(" ")) < min_words:
                 continue
             if any(5 * len(words & s) >= 4 * len(words | s) for s in seen):
                 gone.append(i)

@@ -43,7 +43,7 @@ def materialise(df: DataFrame) -> DataFrame:
     chooses between broadcasting and shuffling it.
     """
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,11 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
 
+def has_words(line: Column, least: int) -> Column:
+    """Whether a line has ``least`` words or more, repeated ones too; reads no further than these."""
+    return line.rlike(f"^ *([^ ]+ +){{{least - 1}}}[^ ]")
+
+
 def _row() -> Column:
     """Rows that repeat id and text are one document; the hashes stand for the text."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
@@ -71,12 +76,12 @@ def _sorted_keys(words: Column, levels: bytes) -> Column:
 
 def _classes(docs: DataFrame, levels: bytes, num: int, den: int, min_words: int) -> DataFrame:
     """One row for each set of words: its hashes, size, first line and prefix."""
-    lines = _lines(_keyed(docs)).select(F.struct("row", "line_no").alias("first"), _sorted_keys(line_words(F.col("line")), levels).alias("keys"))
+    lines = _lines(_keyed(docs)).where(has_words(F.col("line"), min_words))
+    lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(line_words(F.col("line")), levels).alias("keys"))
     size = F.size("keys")
     classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"),
                            F.slice("keys", 1, size - _least_shared(size, num, den) + 1).alias("prefix"))
-    classes = classes.groupBy(CLASS).agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    return classes.where(F.col("size") >= min_words)
+    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
 
 
 def _least_shared(size: Column, num: int, den: int) -> Column:
@@ -85,9 +90,10 @@ def _least_shared(size: Column, num: int, den: int) -> Column:
 
 
 def _entries(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(h1, size, pos, key, mark) for each word of each prefix. ``mark`` has a bit for each of the prefix's words."""
+    """(key, h1, mark, x) for each word of each prefix: ``mark`` has a bit for each of the prefix's words, x is size and place."""
     bit = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return classes.select("h1", "size", bit.alias("mark"), F.posexplode("prefix").alias("pos", "key"))
+    each = classes.select("h1", "size", bit.alias("mark"), F.posexplode("prefix").alias("pos", "key"))
+    return each.select("key", "h1", "mark", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
 
 
 def _could_match(num: int, den: int) -> Column:
@@ -96,9 +102,10 @@ def _could_match(num: int, den: int) -> Column:
     Words of both sets up to where the first of the prefixes ends are in both prefixes if shared; beyond, the set whose
     prefix ends there has only its rest to share. Each bit in which the marks differ is a word that isn't shared.
     """
-    na, nb = F.col("a.size"), F.col("b.size")
+    na, nb = F.shiftright("a.x", 32), F.shiftright("b.x", 32)
+    pos_a, pos_b = F.col("a.x") % (1 << 32), F.col("b.x") % (1 << 32)
     length = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    place = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) * (num + den) >= (na + nb) * num
+    place = F.least(na - pos_a, nb - pos_b) * (num + den) >= (na + nb) * num
     least_a, least_b = _least_shared(na, num, den), _least_shared(nb, num, den)
     differ = F.bit_count(F.col("a.mark").bitwiseXOR(F.col("b.mark")))
     shared = F.floor((na - least_a + 1 + nb - least_b + 1 - differ) / 2) + F.greatest(least_a, least_b) - 1
@@ -111,22 +118,42 @@ def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
     return a.alias("a").join(b.alias("b"), met).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The classes (h1, h2) that are similar to an earlier one, by the words themselves.
+def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The later classes (late) of the pairs (early, late) that are similar by the words themselves.
 
-    The first lines of the candidates are read again; a filter of fixed size lets few others through.
+    The classes' first lines are read again; a filter of fixed size lets few others through.
     """
-    ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
-    places = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).select(*CLASS, "first")
-    places = materialise(places.join(ends, "h1", "left_semi"))
+    wanted = places.join(pairs.select("early").union(pairs.select("late")).toDF("of").distinct(), "of", "left_semi")
     lines = _lines(_keyed(docs)).select(F.struct("row", "line_no").alias("first"), "line")
-    lines = lines.where(passes_filter(F.xxhash64("first"), filter_bits(places, F.xxhash64("first"))))
-    words = materialise(lines.join(places, "first").groupBy(*CLASS, "first").agg(F.first(line_words(F.col("line"))).alias("words")))
-    a = words.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("fa"), F.col("words").alias("wa"))
-    b = words.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("fb"), F.col("words").alias("wb"))
-    similar = F.size(F.array_intersect("wa", "wb")) * (den + num) >= (F.size("wa") + F.size("wb")) * num
-    later = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")))
-    return pairs.join(a, "a").join(b, "b").where(similar).select(later.alias("later")).select("later.*").distinct()
+    lines = lines.where(passes_filter(F.xxhash64("first"), filter_bits(wanted, F.xxhash64("first"))))
+    # a line as it stands takes a third of the room of its words in an array
+    found = materialise(lines.join(wanted, "first").groupBy("of").agg(F.first("line").alias("line")))
+    both = pairs.select("early", "late").join(found.toDF("early", "a"), "early").join(found.toDF("late", "b"), "late")
+    a, b = line_words(F.col("a")), line_words(F.col("b"))
+    return both.where(F.size(F.array_intersect(a, b)) * (den + num) >= (F.size(a) + F.size(b)) * num).select("late").distinct()
+
+
+def _repeats(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The classes (h1, h2) that are similar to an earlier one, of the candidate pairs (a, b).
+
+    Each class is first compared with the earliest of its candidates, which settles most copies; only what is not
+    like that one is compared with all others.
+    """
+    ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
+    places = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).join(ends, "h1", "left_semi")
+    places = materialise(places.select("h1", F.struct(*CLASS).alias("of"), "first"))
+    a, b = (places.select(F.col("h1").alias(x), F.col("of").alias(f"of_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab")
+    a_first = F.col("first_a") < F.col("first_b")
+    oriented = materialise(pairs.join(a, "a").join(b, "b").select(
+        F.when(a_first, F.col("of_a")).otherwise(F.col("of_b")).alias("early"), F.when(a_first, F.col("of_b")).otherwise(F.col("of_a")).alias("late"),
+        F.least("first_a", "first_b").alias("at")))
+    places = places.select("of", "first")
+    earliest = materialise(oriented.groupBy("late").agg(F.min_by("early", "at").alias("early")).select("early", "late"))
+    gone = materialise(_verified(docs, places, earliest, num, den))
+    rest = materialise(oriented.select("early", "late").join(gone, "late", "left_anti").join(earliest, ["early", "late"], "left_anti"))
+    if rest.limit(1).count():
+        gone = gone.union(_verified(docs, places, rest, num, den))
+    return gone.select("late.*").distinct()
 
 
 def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
@@ -141,17 +168,16 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     if hot.limit(1).count():
         warm = materialise(entries.join(hot, "key"))
         firsts = materialise(warm.join(classes.select(*CLASS, "first"), "h1"))
-        pivots = firsts.groupBy("key").agg(F.min_by(F.struct("h1", "size", "pos", "mark"), "first").alias("p")).select("key", "p.*")
-        removed.append(materialise(_verified(docs, classes, materialise(_met(pivots, warm, num, den)), num, den)))
+        pivots = firsts.groupBy("key").agg(F.min_by(F.struct("h1", "mark", "x"), "first").alias("p")).select("key", "p.*")
+        removed.append(materialise(_repeats(docs, classes, materialise(_met(pivots, warm, num, den)), num, den)))
         left = firsts.join(removed[0], CLASS, "left_anti").select(*warm.columns)
         cold = entries.join(hot, "key", "left_anti")
         pairs = materialise(_met(cold, cold, num, den).union(_met(warm, left, num, den)).distinct())
     else:
         pairs = materialise(_met(entries, entries, num, den))
-    removed.append(_verified(docs, classes, pairs, num, den))
-    stay = classes.select(*CLASS, "first")
-    for gone in removed:
-        stay = stay.join(gone, CLASS, "left_anti")
+    removed.append(_repeats(docs, classes, pairs, num, den))
+    gone = removed[0] if len(removed) == 1 else removed[0].union(removed[1])
+    stay = classes.select(*CLASS, "first").join(gone, CLASS, "left_anti")
     return stay.groupBy(F.col("first.row").alias("row")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept"))
 
 
@@ -162,7 +188,7 @@ def _decided(docs: DataFrame, kept: DataFrame, min_words: int, columns: list[Col
     stays = F.coalesce("__kept", F.array().cast("array<int>"))
     return joined.withColumn("__lines", F.transform(F.split("__text", "\n"), lambda line, i: F.struct(
         line.alias("line"),
-        ((F.size(line_words(F.lower(line))) < min_words) | F.array_contains(stays, i)).alias("stays"))))
+        (~has_words(line, min_words) | F.array_contains(stays, i)).alias("stays"))))
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
@@ -170,7 +196,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
 
     Two lines match if the Jaccard similarity of their sets of lower-case words is ``num/den`` or more; a line
     goes if any earlier line matches it. Order: by doc_id (nulls last), among equal ids by a hash of the text,
-    then by line number. Lines of fewer than ``min_words`` distinct words always stay. A document whose lines all go
+    then by line number. Lines of fewer than ``min_words`` words always stay. A document whose lines all go
     is dropped. A null or empty text stays as it is; rows that repeat id and text count as one
     document and get the same result each; an empty table stays empty.
     """
@@ -191,7 +217,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
     """One row for each document: doc_id, n_lines, n_removed and the removed lines' numbers (from 0); see dedup_lines."""
     kept = first_lines(docs, num, den, min_words)
     flags = _keyed(docs).select("row", F.when(F.col("text").isNull(), F.array().cast("array<boolean>")).otherwise(F.transform(
-        F.split("text", "\n"), lambda line: F.size(line_words(F.lower(line))) >= min_words)).alias("eligible"))
+        F.split("text", "\n"), lambda line: has_words(line, min_words))).alias("eligible"))
     joined = flags.join(kept.withColumnRenamed("row", "key"), F.col("row").eqNullSafe(F.col("key")), "left")
     stays = F.coalesce("kept", F.array().cast("array<int>"))
     eligible = F.filter(F.transform("eligible", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())

@@ -16,9 +16,9 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
 from d left join words using (doc_id) left join items using (doc_id)"""
 
 OP2 = """
-with l as (select doc_id, i - 1 as line_no, list_distinct(list_filter(string_split(lower(ls[i]), ' '), lambda x: x <> '')) as w
+with l as (select doc_id, i - 1 as line_no, list_distinct(list_filter(string_split(lower(ls[i]), ' '), lambda x: x <> '')) as w, len(list_filter(string_split(ls[i], ' '), lambda x: x <> '')) as n_words
   from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))),
-e as (select * from l where len(w) >= 3),
+e as (select * from l where n_words >= 3),
 sets as (select list_sort(w) as w, min((doc_id, line_no)) as first, row_number() over () as k from e group by list_sort(w)),
 tokens as (select k, unnest(w) as t, len(w) as n from sets),
 df as (select t, count(*) as c from tokens group by t),
