@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ def _literal(rows: list[tuple], schema: str):
     return (lambda spark: spark.createDataFrame(rows, schema)), sql
 
 
-def _projected(rows: list[tuple], schema: str, name: str, expression: Column, sql: str, keep: str):
+def _projected(rows: list[tuple], schema: str, name: str, expression: Callable[[], Column], sql: str, keep: str):
     make, values = _literal(rows, schema)
-    return (lambda spark, sf_dir: make(spark).select(*keep.split(", "), expression.alias(name)), f"with {values} select {keep}, {sql} as {name} from edge")
+    return (lambda spark, sf_dir: make(spark).select(*keep.split(", "), expression().alias(name)), f"with {values} select {keep}, {sql} as {name} from edge")
 
 
 ARTISTS = [(1, None), (2, ""), (3, "   "), (4, "Artist A, Artist B feat. Artist C"), (5, "Artist A feat. Artist B"), (6, "Artist A & Artist B"), (7, "A (ft. B)"),
@@ -81,7 +82,12 @@ SIZES = [(1, None), (2, 0.0), (3, 0.5), (4, 0.99), (5, 1.0), (6, 12.34)]
 CORS = [(1, "*"), (2, "http://a, http://b ,, "), (3, ""), (4, " * ")]
 COALESCE = [(1, 0, None, 5), (2, None, 0, 0), (3, None, None, None), (4, 7, 0, 1), (5, 0, 0, 3)]
 
-_p = F.struct("status", "total_bytes", "total_bytes_estimate", "downloaded_bytes", F.struct("playlist_index", "playlist_count", "n_entries").alias("info_dict"))
+
+
+def _progress() -> Column:
+    return F.struct("status", "total_bytes", "total_bytes_estimate", "downloaded_bytes", F.struct("playlist_index", "playlist_count", "n_entries").alias("info_dict"))
+
+
 _total = "coalesce(nullif(total_bytes, 0), nullif(total_bytes_estimate, 0), 0)"
 _index, _of = "coalesce(playlist_index, 1)", "coalesce(nullif(playlist_count, 0), coalesce(n_entries, 1))"
 PROGRESS_SQL = f"""case when status = 'downloading' then least(({_index} - 1 + case when {_total} > 0 then coalesce(downloaded_bytes, 0)::double / {_total} else 0.0 end) / {_of} * 100, 99.0)
@@ -165,27 +171,27 @@ def _infos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "artist_folder": _projected(ARTISTS, "k long, v string", "folder", S.artist_folder(F.col("v")), FOLDER_SQL, "k"),
+    "artist_folder": _projected(ARTISTS, "k long, v string", "folder", lambda: S.artist_folder(F.col("v")), FOLDER_SQL, "k"),
     "artist_folder_of_parts": (lambda s, d: X.searchable(s, d).select("id", S.artist_folder(F.col("title")).alias("folder")), f"with {X.SEARCHABLE_SQL} select id, {FOLDER_SQL.replace('trim(v)', 'trim(title)')} as folder from searchable"),
     "safe_text": (lambda s, d: read_table(s, d, "documents").select("doc_id", F.md5(S.safe_name(F.col("text")).cast("binary")).alias("digest")), "select doc_id, md5(" + SAFE_SQL.format(x="text") + ") as digest from documents"),
-    "track_titles": _projected(TITLES, "k long, v string", "title", S.track_title(F.col("v")), "case when coalesce(v, '') = '' then 'Unknown Track' else " + SAFE_SQL.format(x="v") + " end", "k"),
-    "url_valid": _projected(URLS, "k long, v string", "ok", S.is_accepted_url(F.col("v")), r"regexp_matches(trim(v), '^https?://((music\.|www\.|m\.)?youtube\.com/|youtu\.be/)', 'i')", "k"),
+    "track_titles": _projected(TITLES, "k long, v string", "title", lambda: S.track_title(F.col("v")), "case when coalesce(v, '') = '' then 'Unknown Track' else " + SAFE_SQL.format(x="v") + " end", "k"),
+    "url_valid": _projected(URLS, "k long, v string", "ok", lambda: S.is_accepted_url(F.col("v")), r"regexp_matches(trim(v), '^https?://((music\.|www\.|m\.)?youtube\.com/|youtu\.be/)', 'i')", "k"),
     "page_urls_valid": (lambda s, d: read_table(s, d, "pages").groupBy(S.is_accepted_url(F.col("url")).alias("ok")).agg(F.count("*").alias("n")),
                         r"select regexp_matches(trim(url), '^https?://((music\.|www\.|m\.)?youtube\.com/|youtu\.be/)', 'i') as ok, count(*) as n from pages group by 1"),
-    "channel_root": _projected(CHANNELS, "k long, v string", "root", S.channel_root(F.col("v")), f"regexp_replace(regexp_replace(v, '/+$', ''), '{S.CHANNEL_TABS}', '')", "k"),
+    "channel_root": _projected(CHANNELS, "k long, v string", "root", lambda: S.channel_root(F.col("v")), f"regexp_replace(regexp_replace(v, '/+$', ''), '{S.CHANNEL_TABS}', '')", "k"),
     "page_root": (lambda s, d: read_table(s, d, "pages").select("page_id", S.channel_root(F.col("url")).alias("root")), f"select page_id, regexp_replace(regexp_replace(url, '/+$', ''), '{S.CHANNEL_TABS}', '') as root from pages"),
-    "classify_edge": _projected(RELEASES, RELEASE_SCHEMA, "release_type", C.release_type(F.col("tab"), F.col("title"), F.col("tracks"), F.col("kind"), F.col("duration"), F.col("explicit")), RELEASE_SQL, "title, tracks, duration, explicit, kind"),
-    "music_video_edge": _projected(RELEASES, RELEASE_SCHEMA, "is_video", C.is_music_video(F.col("title"), F.col("tracks"), F.col("kind"), F.col("duration")), VIDEO_SQL, "title, tracks, duration, kind"),
-    "live_edge": _projected(LIVE_TITLES, "k long, v string", "live", C.is_live(F.col("v")), f"regexp_matches(lower(v), '{C.LIVE}')", "k"),
-    "download_type_edge": _projected(DOWNLOADS, "url string, kind string, id string", "download_type", C.download_type(F.col("url"), F.col("kind"), F.col("id")),
+    "classify_edge": _projected(RELEASES, RELEASE_SCHEMA, "release_type", lambda: C.release_type(F.col("tab"), F.col("title"), F.col("tracks"), F.col("kind"), F.col("duration"), F.col("explicit")), RELEASE_SQL, "title, tracks, duration, explicit, kind"),
+    "music_video_edge": _projected(RELEASES, RELEASE_SCHEMA, "is_video", lambda: C.is_music_video(F.col("title"), F.col("tracks"), F.col("kind"), F.col("duration")), VIDEO_SQL, "title, tracks, duration, kind"),
+    "live_edge": _projected(LIVE_TITLES, "k long, v string", "live", lambda: C.is_live(F.col("v")), f"regexp_matches(lower(v), '{C.LIVE}')", "k"),
+    "download_type_edge": _projected(DOWNLOADS, "url string, kind string, id string", "download_type", lambda: C.download_type(F.col("url"), F.col("kind"), F.col("id")),
                                      "case when coalesce(kind, '') <> 'playlist' then 'song' when starts_with(coalesce(id, ''), 'OLAK5uy_') then 'album' when contains(lower(url), 'channel') or contains(lower(url), 'artist') then 'artist' else 'playlist' end", "url"),
-    "rate_limit_errors": _projected(ERRORS, "k long, v string", "limited", S.is_rate_limit(F.col("v")), f"regexp_matches(lower(v), '{S.RATE_LIMIT}')", "k"),
-    "locked_errors": _projected(ERRORS, "k long, v string", "locked", S.is_locked(F.col("v")), "contains(v, 'database is locked')", "k"),
-    "mp3_quality": _projected(QUALITIES, "k long, v string", "quality", S.mp3_quality(F.col("v")), "case when regexp_matches(v, '^[0-9]+$') and try_cast(v as bigint) <= 10 then v else replace(v, 'k', '') end", "k"),
-    "size_labels": _projected(SIZES, "k long, mb double", "label", S.size_label(F.col("mb")), "case when mb is null or mb = 0 then '~Unknown size' when mb < 1 then '~' || floor(mb * 1024 + 0.5)::bigint || ' KB' else '~' || printf('%.1f', mb) || ' MB' end", "k"),
-    "origin_lists": _projected(CORS, "k long, v string", "origins", F.array_join(S.origins(F.col("v")), ";"), "case when trim(v) = '*' then '*' else array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x: x <> ''), ';') end", "k"),
-    "first_true": _projected(COALESCE, "k long, a long, b long, c long", "x", S.first_true(F.col("a"), F.col("b"), F.col("c"), empty=0), "coalesce(nullif(a, 0), nullif(b, 0), c)", "k"),
-    "progress_overall": _projected(PROGRESS, PROGRESS_SCHEMA, "progress", S.stored_progress(S.overall_progress(_p)), f"least({PROGRESS_SQL}, 99.9)", "k"),
+    "rate_limit_errors": _projected(ERRORS, "k long, v string", "limited", lambda: S.is_rate_limit(F.col("v")), f"regexp_matches(lower(v), '{S.RATE_LIMIT}')", "k"),
+    "locked_errors": _projected(ERRORS, "k long, v string", "locked", lambda: S.is_locked(F.col("v")), "contains(v, 'database is locked')", "k"),
+    "mp3_quality": _projected(QUALITIES, "k long, v string", "quality", lambda: S.mp3_quality(F.col("v")), "case when regexp_matches(v, '^[0-9]+$') and try_cast(v as bigint) <= 10 then v else replace(v, 'k', '') end", "k"),
+    "size_labels": _projected(SIZES, "k long, mb double", "label", lambda: S.size_label(F.col("mb")), "case when mb is null or mb = 0 then '~Unknown size' when mb < 1 then '~' || floor(mb * 1024 + 0.5)::bigint || ' KB' else '~' || printf('%.1f', mb) || ' MB' end", "k"),
+    "origin_lists": _projected(CORS, "k long, v string", "origins", lambda: F.array_join(S.origins(F.col("v")), ";"), "case when trim(v) = '*' then '*' else array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x: x <> ''), ';') end", "k"),
+    "first_true": _projected(COALESCE, "k long, a long, b long, c long", "x", lambda: S.first_true(F.col("a"), F.col("b"), F.col("c"), empty=0), "coalesce(nullif(a, 0), nullif(b, 0), c)", "k"),
+    "progress_overall": _projected(PROGRESS, PROGRESS_SCHEMA, "progress", lambda: S.stored_progress(S.overall_progress(_progress())), f"least({PROGRESS_SQL}, 99.9)", "k"),
     "backoff": (lambda s, d: s.range(0, 8).select(F.col("id").alias("attempt"), S.linear_backoff(F.lit(60), F.col("id")).alias("linear"), S.jittered_backoff(F.lit(0.1), F.col("id"), F.lit(0.5)).alias("jittered"), S.reconnect_delay(F.col("id")).alias("reconnect")),
                 "select i as attempt, 60 * i as linear, 0.1::double * pow(2.0::double, i) * (0.5::double + 0.5::double * 0.5::double) as jittered, least(1000 * pow(2.0, i), 30000.0)::double as reconnect from range(0, 8) t(i)"),
     "media_paths": (lambda s, d: X.searchable(s, d).select("id", S.media_path(F.lit("/music"), F.col("artist"), F.col("album"), F.col("id") % 100, F.col("title"), F.lit("mp3")).alias("path")),

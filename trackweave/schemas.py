@@ -5,8 +5,36 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_SIMPLE = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _parts(text: str) -> list[str]:
+    """Split at commas outside of angle brackets."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return T.StructType([T.StructField(n, _type(t)) for n, t in (x.split(":", 1) for x in _parts(text[7:-1]))])
+    return _SIMPLE[text]
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """"name type[ not null], ..." as a schema, without a session."""
+    fields = []
+    for part in _parts(text):
+        name, kind = part.removesuffix(" not null").split(" ", 1)
+        fields.append(T.StructField(name, _type(kind), not part.endswith(" not null")))
+    return T.StructType(fields)
 
 
 DOWNLOADS = _struct(
