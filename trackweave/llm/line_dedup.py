@@ -74,14 +74,19 @@ def _sorted_keys(words: Column, levels: bytes) -> Column:
     return F.sort_array(F.transform(words, key))
 
 
+def _mark(keys: Column) -> Column:
+    """A bit for each of the words."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _classes(docs: DataFrame, levels: bytes, num: int, den: int, min_words: int) -> DataFrame:
-    """One row for each set of words: its hashes, size, first line and prefix."""
+    """One row for each set of words: its hashes, size, first line, mark and prefix."""
     lines = _lines(_keyed(docs)).where(has_words(F.col("line"), min_words))
     lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(line_words(F.col("line")), levels).alias("keys"))
     size = F.size("keys")
-    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"),
+    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"), _mark(F.col("keys")).alias("whole"),
                            F.slice("keys", 1, size - _least_shared(size, num, den) + 1).alias("prefix"))
-    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", "whole", "prefix")])
 
 
 def _least_shared(size: Column, num: int, den: int) -> Column:
@@ -90,14 +95,14 @@ def _least_shared(size: Column, num: int, den: int) -> Column:
 
 
 def _entries(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, h1, mark, x) for each word of each prefix: ``mark`` has a bit for each of the prefix's words, x is size and place."""
-    bit = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    each = classes.select("h1", "size", bit.alias("mark"), F.posexplode("prefix").alias("pos", "key"))
-    return each.select("key", "h1", "mark", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
+    """(key, h1, whole, mark, x) for each word of each prefix: marks of all words and of the prefix, x is size and place."""
+    each = classes.select("h1", "size", "whole", _mark(F.col("prefix")).alias("mark"), F.posexplode("prefix").alias("pos", "key"))
+    return each.select("key", "h1", "whole", "mark", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
 
 
 def _could_match(num: int, den: int) -> Column:
-    """Filters that no similar pair fails at its first shared word: by length, by place, and by what the prefixes share.
+    """Filters that no similar pair fails at its first shared word: by length, by place, by the words that only one of
+    the sets has, and by what the prefixes share.
 
     Words of both sets up to where the first of the prefixes ends are in both prefixes if shared; beyond, the set whose
     prefix ends there has only its rest to share. Each bit in which the marks differ is a word that isn't shared.
@@ -109,7 +114,8 @@ def _could_match(num: int, den: int) -> Column:
     least_a, least_b = _least_shared(na, num, den), _least_shared(nb, num, den)
     differ = F.bit_count(F.col("a.mark").bitwiseXOR(F.col("b.mark")))
     shared = F.floor((na - least_a + 1 + nb - least_b + 1 - differ) / 2) + F.greatest(least_a, least_b) - 1
-    return length & place & (shared * (num + den) >= (na + nb) * num)
+    alone = F.bit_count(F.col("a.whole").bitwiseXOR(F.col("b.whole"))) * (num + den) <= (na + nb) * (den - num)
+    return length & place & alone & (shared * (num + den) >= (na + nb) * num)
 
 
 def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
@@ -168,7 +174,7 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     if hot.limit(1).count():
         warm = materialise(entries.join(hot, "key"))
         firsts = materialise(warm.join(classes.select(*CLASS, "first"), "h1"))
-        pivots = firsts.groupBy("key").agg(F.min_by(F.struct("h1", "mark", "x"), "first").alias("p")).select("key", "p.*")
+        pivots = firsts.groupBy("key").agg(F.min_by(F.struct("h1", "whole", "mark", "x"), "first").alias("p")).select("key", "p.*")
         removed.append(materialise(_repeats(docs, classes, materialise(_met(pivots, warm, num, den)), num, den)))
         left = firsts.join(removed[0], CLASS, "left_anti").select(*warm.columns)
         cold = entries.join(hot, "key", "left_anti")
