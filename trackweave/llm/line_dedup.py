@@ -12,27 +12,22 @@ from pyspark.sql import functions as F
 
 from .common import filter_bits, materialise, passes_filter
 
-#: Buckets of word hashes whose occurrences are counted, and levels of rarity that are told apart.
-BUCKET_BITS, LEVELS = 16, 127
+#: Buckets of word hashes whose occurrences are counted; a level of rarity is a quarter of a power of two.
+BUCKET_BITS, CHUNK_BITS = 18, 12
 #: Words shared by more classes than this meet a pivot before they meet each other.
 HOT = 128
 CLASS = ["h1", "h2"]
 
 
-def line_words(line: Column) -> Column:
-    """The distinct words of a lower-cased line; words stand between spaces."""
-    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
-
-
 def has_words(line: Column, least: int) -> Column:
     """Whether a line has ``least`` words or more, repeated ones too; reads no further than these."""
     return line.rlike(f"^ *([^ ]+ +){{{least - 1}}}[^ ]")
 
 
 def _row() -> Column:
-    """Rows that repeat id and text are one document; the hashes stand for the text."""
+    """Rows that repeat id and text are one document; the hash stands for the text."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
-                    F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
+                    F.xxhash64("text").alias("t1"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -43,50 +38,54 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return keyed.select("row", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
 
 
+def _level(count: Column) -> Column:
+    return F.least(F.lit(126), F.floor(4 * F.log2(count + 1))).cast("int") + 1
+
+
 def _rarity_levels(docs: DataFrame) -> bytes:
-    """A level of 1 to LEVELS for each bucket of word hashes, rarest first, from all words of all lines.
+    """A level of 1 to 127 for each bucket of word hashes, rarest first, from all words of all lines.
 
-    At most 2**BUCKET_BITS rows reach the driver, however large the input. The join is exact under any order
+    The driver gets 2**BUCKET_BITS bytes, however large the input. The join is exact under any order
     of words; rarity only keeps candidates few.
     """
-    word = docs.select(F.explode(F.split(F.lower("text"), "[ \n]")).alias("word")).where("word <> ''")
-    counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BUCKET_BITS).alias("bucket")).count().collect()
-    ordered = sorted(counts, key=lambda r: (r["count"], r["bucket"]))
-    levels = bytearray(b"\x01" * (1 << BUCKET_BITS))
-    top = ordered[-1]["count"].bit_length() if ordered else 1
-    for r in ordered:
-        n = r["count"]
-        fine = (n << 8) >> n.bit_length()  # 128 to 255 within a power of two
-        levels[r["bucket"]] = 1 + min(LEVELS - 1, (((n.bit_length() - 1) << 7) + fine - 128) * (LEVELS - 1) // (top << 7))
-    return bytes(levels)
-
-
-def _sorted_keys(words: Column, levels: bytes) -> Column:
-    """The words as integers that sort by rarity: level, then 56 bits of the hash."""
+    word = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
+    counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BUCKET_BITS).alias("bucket")).agg(F.count("*").alias("n"))
+    none = docs.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    letters = counts.union(none).groupBy("bucket").agg(F.char(_level(F.sum("n"))).alias("letter"))
+    chunks = letters.groupBy(F.shiftright("bucket", CHUNK_BITS).alias("chunk")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("bucket", "letter")))["letter"], "").alias("letters"))
+    return "".join(r["letters"] for r in sorted(chunks.collect())).encode()
+
+
+def _sorted_keys(line: Column, levels: bytes) -> Column:
+    """The distinct words of a line as integers that sort by rarity: level, then 56 bits of the hash."""
     table = F.lit(bytearray(levels))
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def key(h: Column) -> Column:
         at = F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int") + 1
         level = F.ascii(F.substring(table, at, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.transform(words, key))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, key))
 
 
-def _mark(keys: Column) -> Column:
-    """A bit for each of the words."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def _mark(keys: Column, shift: int) -> Column:
+    """A word flips one of 64 bits, chosen by six bits of its key; marks of two sets differ in no more bits than there are
+    words that only one of the sets has."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _classes(docs: DataFrame, levels: bytes, num: int, den: int, min_words: int) -> DataFrame:
-    """One row for each set of words: its hashes, size, first line, mark and prefix."""
+    """One row for each set of words: its hashes, size, first line, two marks and prefix."""
     lines = _lines(_keyed(docs)).where(has_words(F.col("line"), min_words))
-    lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(line_words(F.col("line")), levels).alias("keys"))
+    lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(F.col("line"), levels).alias("keys"))
     size = F.size("keys")
-    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"), _mark(F.col("keys")).alias("whole"),
+    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"),
+                           _mark(F.col("keys"), 0).alias("mark"), _mark(F.col("keys"), 6).alias("mark2"),
                            F.slice("keys", 1, size - _least_shared(size, num, den) + 1).alias("prefix"))
-    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", "whole", "prefix")])
+    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", "mark", "mark2", "prefix")])
 
 
 def _least_shared(size: Column, num: int, den: int) -> Column:
@@ -94,28 +93,24 @@ def _least_shared(size: Column, num: int, den: int) -> Column:
     return F.ceil(size * num / den).cast("int")
 
 
-def _entries(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, h1, whole, mark, x) for each word of each prefix: marks of all words and of the prefix, x is size and place."""
-    each = classes.select("h1", "size", "whole", _mark(F.col("prefix")).alias("mark"), F.posexplode("prefix").alias("pos", "key"))
-    return each.select("key", "h1", "whole", "mark", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
+def _entries(classes: DataFrame) -> DataFrame:
+    """(key, h1, mark, x) for each word of each prefix; x is the set's size and the word's place."""
+    each = classes.select("h1", "size", "mark", F.posexplode("prefix").alias("pos", "key"))
+    return each.select("key", "h1", "mark", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
 
 
-def _could_match(num: int, den: int) -> Column:
-    """Filters that no similar pair fails at its first shared word: by length, by place, by the words that only one of
-    the sets has, and by what the prefixes share.
+def _few_alone(na: Column, nb: Column, mark_a: Column, mark_b: Column, num: int, den: int) -> Column:
+    """Each bit in which the marks differ is a word that only one of the sets has; similar sets have few of these."""
+    return F.bit_count(mark_a.bitwiseXOR(mark_b)) * (num + den) <= (na + nb) * (den - num)
 
-    Words of both sets up to where the first of the prefixes ends are in both prefixes if shared; beyond, the set whose
-    prefix ends there has only its rest to share. Each bit in which the marks differ is a word that isn't shared.
-    """
+
+def _could_match(num: int, den: int) -> Column:
+    """Filters that no similar pair fails at its first shared word: by length, by place and by mark."""
     na, nb = F.shiftright("a.x", 32), F.shiftright("b.x", 32)
-    pos_a, pos_b = F.col("a.x") % (1 << 32), F.col("b.x") % (1 << 32)
+    rest_a, rest_b = na - F.col("a.x") % (1 << 32), nb - F.col("b.x") % (1 << 32)
     length = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    place = F.least(na - pos_a, nb - pos_b) * (num + den) >= (na + nb) * num
-    least_a, least_b = _least_shared(na, num, den), _least_shared(nb, num, den)
-    differ = F.bit_count(F.col("a.mark").bitwiseXOR(F.col("b.mark")))
-    shared = F.floor((na - least_a + 1 + nb - least_b + 1 - differ) / 2) + F.greatest(least_a, least_b) - 1
-    alone = F.bit_count(F.col("a.whole").bitwiseXOR(F.col("b.whole"))) * (num + den) <= (na + nb) * (den - num)
-    return length & place & alone & (shared * (num + den) >= (na + nb) * num)
+    place = F.least(rest_a, rest_b) * (num + den) >= (na + nb) * num
+    return length & _few_alone(na, nb, F.col("a.mark"), F.col("b.mark"), num, den) & place
 
 
 def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
@@ -124,19 +119,30 @@ def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
     return a.alias("a").join(b.alias("b"), met).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The later classes (late) of the pairs (early, late) that are similar by the words themselves.
+def _oriented(classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose second marks allow a match, as (early, late) by first lines, with these."""
+    ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
+    found = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).join(ends, "h1", "left_semi")
+    found = materialise(found.select("h1", F.struct(*CLASS).alias("of"), "first", "size", "mark2"))
+    a, b = (found.select(F.col("h1").alias(x), F.struct("first", "of", "size").alias(f"of_{x}"), F.col("size").alias(f"n{x}"), F.col("mark2").alias(f"m{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(_few_alone(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den))
+    return materialise(both.select(F.least("of_a", "of_b").alias("early"), F.greatest("of_a", "of_b").alias("late")))
 
-    The classes' first lines are read again; a filter of fixed size lets few others through.
-    """
-    wanted = places.join(pairs.select("early").union(pairs.select("late")).toDF("of").distinct(), "of", "left_semi")
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(of, line): the first line of each class of the pairs, read again; a filter of fixed size lets few others through."""
+    wanted = materialise(pairs.select("early.first", "early.of").union(pairs.select("late.first", "late.of")).distinct())
     lines = _lines(_keyed(docs)).select(F.struct("row", "line_no").alias("first"), "line")
     lines = lines.where(passes_filter(F.xxhash64("first"), filter_bits(wanted, F.xxhash64("first"))))
     # a line as it stands takes a third of the room of its words in an array
-    found = materialise(lines.join(wanted, "first").groupBy("of").agg(F.first("line").alias("line")))
-    both = pairs.select("early", "late").join(found.toDF("early", "a"), "early").join(found.toDF("late", "b"), "late")
-    a, b = line_words(F.col("a")), line_words(F.col("b"))
-    return both.where(F.size(F.array_intersect(a, b)) * (den + num) >= (F.size(a) + F.size(b)) * num).select("late").distinct()
+    return materialise(lines.join(wanted, "first").groupBy("of").agg(F.first("line").alias("line")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The later classes (late) of the pairs (early, late, words of both) that are similar by the words themselves."""
+    both = pairs.join(texts.toDF("early", "a"), "early").join(texts.toDF("late", "b"), "late")
+    shared = F.size(F.array_remove(F.array_intersect(F.split("a", " "), F.split("b", " ")), ""))
+    return materialise(both.where(shared * (den + num) >= F.col("words") * num).select("late").distinct())
 
 
 def _repeats(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -145,44 +151,45 @@ def _repeats(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
     Each class is first compared with the earliest of its candidates, which settles most copies; only what is not
     like that one is compared with all others.
     """
-    ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
-    places = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).join(ends, "h1", "left_semi")
-    places = materialise(places.select("h1", F.struct(*CLASS).alias("of"), "first"))
-    a, b = (places.select(F.col("h1").alias(x), F.col("of").alias(f"of_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab")
-    a_first = F.col("first_a") < F.col("first_b")
-    oriented = materialise(pairs.join(a, "a").join(b, "b").select(
-        F.when(a_first, F.col("of_a")).otherwise(F.col("of_b")).alias("early"), F.when(a_first, F.col("of_b")).otherwise(F.col("of_a")).alias("late"),
-        F.least("first_a", "first_b").alias("at")))
-    places = places.select("of", "first")
-    earliest = materialise(oriented.groupBy("late").agg(F.min_by("early", "at").alias("early")).select("early", "late"))
-    gone = materialise(_verified(docs, places, earliest, num, den))
-    rest = materialise(oriented.select("early", "late").join(gone, "late", "left_anti").join(earliest, ["early", "late"], "left_anti"))
+    oriented = _oriented(classes, pairs, num, den)
+    texts = _texts(docs, oriented)
+    ends = [F.col("early.of").alias("early"), F.col("late.of").alias("late"), (F.col("early.size") + F.col("late.size")).alias("words")]
+    earliest = materialise(oriented.groupBy("late").agg(F.min("early").alias("early")).select(*ends))
+    gone = _verified(earliest, texts, num, den)
+    rest = oriented.select(*ends).join(gone, "late", "left_anti")
+    rest = materialise(rest.join(earliest.select("early", "late"), ["early", "late"], "left_anti"))
     if rest.limit(1).count():
-        gone = gone.union(_verified(docs, places, rest, num, den))
+        gone = gone.union(_verified(rest, texts, num, den))
     return gone.select("late.*").distinct()
 
 
+def _hot_keys(classes: DataFrame) -> DataFrame:
+    """The words in more than HOT prefixes; those of buckets with fewer words in all need no count."""
+    key = classes.select(F.explode("prefix").alias("key")).where(F.shiftrightunsigned("key", 56) >= _level(F.lit(HOT)))
+    return materialise(key.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+
+
 def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
     """(row, kept): for each document the numbers of its lines that stay, of those with ``min_words`` words or more.
 
-    Cells of more than HOT classes are first measured against their earliest class; only what is not like it meets the others.
+    Words of up to HOT classes are met at once. Classes with a word of more are first measured against that word's earliest class;
+    only what is not like it meets the others.
     """
     classes = materialise(_classes(docs, _rarity_levels(docs), num, den, min_words))
-    entries = _entries(classes, num, den)
-    hot = materialise(classes.select(F.explode("prefix").alias("key")).groupBy("key").count().where(F.col("count") > HOT).select("key"))
-    removed = []
+    entries, hot = _entries(classes), _hot_keys(classes)
     if hot.limit(1).count():
         warm = materialise(entries.join(hot, "key"))
-        firsts = materialise(warm.join(classes.select(*CLASS, "first"), "h1"))
-        pivots = firsts.groupBy("key").agg(F.min_by(F.struct("h1", "whole", "mark", "x"), "first").alias("p")).select("key", "p.*")
-        removed.append(materialise(_repeats(docs, classes, materialise(_met(pivots, warm, num, den)), num, den)))
-        left = firsts.join(removed[0], CLASS, "left_anti").select(*warm.columns)
+        firsts = warm.join(classes.select(*CLASS, "first"), "h1")
+        pivots = materialise(firsts.groupBy("key").agg(F.min_by(F.struct("h1", "mark", "x"), "first").alias("p")).select("key", "p.*"))
         cold = entries.join(hot, "key", "left_anti")
-        pairs = materialise(_met(cold, cold, num, den).union(_met(warm, left, num, den)).distinct())
+        pairs = materialise(_met(cold, cold, num, den).union(_met(pivots, warm, num, den)).distinct())
+        gone = materialise(_repeats(docs, classes, pairs, num, den))
+        left = warm.join(gone.select("h1"), "h1", "left_anti")
+        again = materialise(_met(warm, left, num, den).join(pairs, ["a", "b"], "left_anti"))
+        if again.limit(1).count():
+            gone = gone.union(_repeats(docs, classes, again, num, den))
     else:
-        pairs = materialise(_met(entries, entries, num, den))
-    removed.append(_repeats(docs, classes, pairs, num, den))
-    gone = removed[0] if len(removed) == 1 else removed[0].union(removed[1])
+        gone = _repeats(docs, classes, materialise(_met(entries, entries, num, den)), num, den)
     stay = classes.select(*CLASS, "first").join(gone, CLASS, "left_anti")
     return stay.groupBy(F.col("first.row").alias("row")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept"))
 
