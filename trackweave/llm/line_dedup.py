@@ -15,7 +15,7 @@ from .common import filter_bits, materialise, passes_filter
 #: Buckets of word hashes whose occurrences are counted; a level of rarity is a quarter of a power of two.
 BUCKET_BITS, CHUNK_BITS = 18, 12
 #: Words shared by more classes than this meet a pivot before they meet each other.
-HOT = 128
+HOT = 512
 CLASS = ["h1", "h2"]
 
 
@@ -179,8 +179,10 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     entries, hot = _entries(classes), _hot_keys(classes)
     if hot.limit(1).count():
         warm = materialise(entries.join(hot, "key"))
-        firsts = warm.join(classes.select(*CLASS, "first"), "h1")
-        pivots = materialise(firsts.groupBy("key").agg(F.min_by(F.struct("h1", "mark", "x"), "first").alias("p")).select("key", "p.*"))
+        ruled = classes.select("first", F.struct("h1", "size", "mark").alias("c"), F.posexplode("prefix").alias("pos", "key"))
+        ruler = F.struct("c.h1", "c.mark", (F.shiftleft(F.col("c.size").cast("long"), 32) + F.col("pos")).alias("x"))
+        pivots = ruled.join(hot, "key").groupBy("key").agg(F.min_by(ruler, "first").alias("p"))
+        pivots = materialise(pivots.select("key", "p.*"))
         cold = entries.join(hot, "key", "left_anti")
         pairs = materialise(_met(cold, cold, num, den).union(_met(pivots, warm, num, den)).distinct())
         gone = materialise(_repeats(docs, classes, pairs, num, den))
