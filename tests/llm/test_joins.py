@@ -120,6 +120,21 @@ def test_star_of_near_copies(spark):
     assert sorted(tuple(r) for r in got) == sorted(brute_components(rows, 4, 85, 100))
 
 
+def test_distances_to_different_pivots_are_not_compared(spark, monkeypatch):
+    """a and b are linked; in their only cell a is measured against the first pivot alone and b against the second alone."""
+    common.ensure_importable(spark)
+    monkeypatch.setattr(ngram_join, "SMALL_CELL", 2)
+    s = [f"s{k}" for k in range(1, 19)]
+    p, q = [f"p{k}" for k in range(7)], [f"q{k}" for k in range(17)]
+    texts = [["a", "x", *s], ["b", "x", *s], ["a", "x", "s1", *s[2:12], *p], ["b", "x", "s1", *q]]
+    for k in range(400):  # these make words common, so that the order of words and pivots is as wanted
+        texts.append([f"f{k}_{j}" for j in range(60)] + s[2:] + p + q * (k < 100) + ["s2"] * (k < 10) + ["s1"] * (k < 6))
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100).collect()}
+    assert [got[k] for k in range(4)] == [0, 0, 2, 3]
+    assert got == {k: k if k != 1 else 0 for k in range(len(rows))}
+
+
 def test_near_duplicate_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "other words stand in this one"), (9, "A b c d e f"), (8, None), (None, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()), key=repr)

@@ -233,7 +233,7 @@ def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFra
     packed = F.shiftleft(F.least(F.lit(511), F.round(F.col("central") * 10)).cast("long"), 54) + F.shiftleft(F.col("n"), 26) + F.col("pos")
     met = each.select("cls", "key", packed.alias("x")).join(shared, "key")
     open_cells = materialise(met.select("key", "cls", (F.shiftright("x", 26) % (1 << 28)).alias("n"), F.shiftright("x", 54).alias("central"),
-                                        (F.col("x") % (1 << 26)).alias("pos"), F.lit(None).cast("double").alias("at")))
+                                        (F.col("x") % (1 << 26)).alias("pos")))
     close = F.col("both") * den >= F.col("either") * num
     links = None
     for turn in range(ROUNDS):
@@ -248,24 +248,31 @@ def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFra
         # one component for sure: a pivot and what is linked to it, each class with the least of its pivots
         sure = links.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("component"))
         distance = measured.select(F.col("a").alias("cls"), F.col("b").alias("p"), (1 - F.col("both") / F.col("either")).alias("distance"))
-        rest = met.where("p is null or cls <> p").join(distance, ["cls", "p"], "left").select("key", "cls", "n", "central", "pos", F.coalesce("at", "distance").alias("at"))
+        rest = met.where("p is null or cls <> p").join(distance, ["cls", "p"], "left").select("key", "cls", "n", "central", "pos", *_distances(turn), F.col("distance").alias(f"at{turn}"))
         rest = rest.join(sure, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = rest.groupBy("key").agg(F.count("*").alias("cell"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
         open_cells = materialise(rest.join(mixed.select("key", "cell"), "key"))
         if open_cells.where(F.col("cell") > SMALL_CELL).limit(1).count() == 0:
             break
         open_cells = open_cells.drop("cell")
-    pairs = materialise(_window_pairs(open_cells, num, den))
+    pairs = materialise(_window_pairs(open_cells, _distances(turn + 1), num, den))
     if pairs.limit(1).count():
         links = links.union(_measured(docs, pairs, prefixes, width, num, den).where(close).select("a", "b"))
     return classified.where("chunk is null"), connected(links)
 
 
-def _window_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
+def _distances(turns: int) -> list[str]:
+    """The columns of the distances to a cell's pivots, one for each round; null where a class was not measured in it."""
+    return [f"at{k}" for k in range(turns)]
+
+
+def _window_pairs(cells: DataFrame, distances: list[str], num: int, den: int) -> DataFrame:
     """Classes of a cell that are in different components and could be linked: their sizes, the places of the shared
-    shingle and, by the triangle inequality, their distances to the cell's first pivot differ little enough."""
+    shingle and, by the triangle inequality, their distances to each pivot that both were measured against differ little enough."""
     a, b = cells.alias("a"), cells.alias("b")
-    near = F.coalesce(F.abs(F.col("a.at") - F.col("b.at")) <= 1 - num / den + 1e-9, F.lit(True))
+    near = F.lit(True)
+    for at in distances:
+        near &= F.coalesce(F.abs(F.col(f"a.{at}") - F.col(f"b.{at}")) <= 1 - num / den + 1e-9, F.lit(True))
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component"))
     fits = _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), num, den)
     return a.join(b, met & fits & near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
