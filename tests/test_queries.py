@@ -41,3 +41,18 @@ def test_query_equals_sql(spark, oracle, name):
 def test_release_histogram_counts(spark):
     rows = {r["release_type"]: r["n"] for r in registry.queries()["release_histogram"](spark, SF).collect()}
     assert rows == {"album": 77, "ep": 470, "single": 953}
+
+
+def test_job_snapshot_takes_all_items(spark):
+    from trackweave.plans import enrichment
+
+    rows = sorted((r for r in registry.queries()["job_snapshot_whole"](spark, SF).collect()), key=lambda r: (r["processing_job_id"], r["begin"]))
+    assert {r["processing_job_id"] for r in rows} == {"j1", "j2"}
+    assert sum(len(r["ids"].split(",")) for r in rows) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    items = spark.createDataFrame([("a", k * 3) for k in range(50)] + [("b", 7), (None, 1)], "processing_job_id string, id long")
+    parts = enrichment.job_snapshot_parts(items, 10).collect()
+    assert max(len(r["metadata_results"]) for r in parts) <= 10
+    for job, want in (("a", [k * 3 for k in range(50)]), ("b", [7]), (None, [1])):
+        own = sorted((r for r in parts if r["processing_job_id"] == job), key=lambda r: r["part"])
+        assert [x["id"] for r in own for x in r["metadata_results"]] == want
+        assert [r["begin"] for r in own] == [0, *[r["end"] for r in own][:-1]] and own[-1]["end"] == len(want)

@@ -100,4 +100,7 @@ QUERIES = {
     "updated_count": (_items(lambda i: Q.updated_count(i, i.where("id % 7 = 0").select("id"))), I + "select count(*) as updated_count from items where id % 7 = 0"),
     "job_snapshot": (_items(lambda i: E.job_snapshot(i.where("id % 50 = 0")).select("processing_job_id", "processed_items", F.array_join(F.transform("metadata_results", lambda x: x["id"].cast("string")), ",").alias("ids"))),
                      I + "select processing_job_id, count(*) as processed_items, string_agg(id, ',' order by id) as ids from items where id % 50 = 0 group by 1"),
+    "job_snapshot_whole": (_items(lambda i: E.job_snapshot_parts(i).select("processing_job_id", "part", "begin", "end", F.array_join(F.transform("metadata_results", lambda x: x["id"].cast("string")), ",").alias("ids"))),
+                           I + f"""select processing_job_id, part, min(rn) - 1 as begin, max(rn) as "end", string_agg(id, ',' order by id) as ids
+                           from (select processing_job_id, id, floor(id / {E.PART_IDS})::bigint as part, row_number() over (partition by processing_job_id order by id) as rn from items) group by all"""),
 }

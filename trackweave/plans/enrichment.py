@@ -12,6 +12,8 @@ from ..operators.listing import first_per
 #: How many entries a full record is read up to, and what stands in for a missing title.
 FULL_ENTRIES = 100
 UNTITLED = "Unknown Playlist"
+#: Ids that a part of a job's snapshot spans.
+PART_IDS = 1000
 
 
 def full_metadata(playlists: DataFrame) -> DataFrame:
@@ -93,6 +95,23 @@ def job_snapshot(items: DataFrame) -> DataFrame:
     return items.groupBy("processing_job_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("metadata_results"), F.count("*").alias("processed_items"))
 
 
+def job_snapshot_parts(items: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
+    """All items of each job in order as rows (processing_job_id, part, begin, end, metadata_results).
+
+    A part spans ``part_ids`` ids, so its array has no more items than that, as ids are unique; parts without items have no
+    row. ``begin`` and ``end`` are the positions of its first item and after its last in the job's whole list. Counts are
+    summed over the parts of a job alone, one row each; the arrays are not moved for it.
+    """
+    names = [c for c in items.columns if c not in ("processing_job_id", "progress")]
+    dealt = items.withColumn("part", F.floor(F.col("id") / part_ids))
+    key = ["processing_job_id", "part"]
+    end = F.sum("n").over(Window.partitionBy("processing_job_id").orderBy("part"))
+    places = dealt.groupBy(*key).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"of_{c}") for c in key], (end - F.col("n")).alias("begin"), end.alias("end"))
+    arrays = dealt.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("metadata_results"))
+    same = F.col("processing_job_id").eqNullSafe(F.col("of_processing_job_id")) & F.col("part").eqNullSafe(F.col("of_part"))
+    return arrays.join(places, same).select(*key, "begin", "end", "metadata_results")
+
+
 def normalise_info(info: DataFrame) -> DataFrame:
     """Info records -> title, artist, folder_artist, album, download_type, total_tracks."""
     entries = F.filter(F.coalesce("entries", F.array().cast(info.schema["entries"].dataType)), lambda e: e.isNotNull())
