@@ -56,3 +56,8 @@ def test_job_snapshot_takes_all_items(spark):
         own = sorted((r for r in parts if r["processing_job_id"] == job), key=lambda r: r["part"])
         assert [x["id"] for r in own for x in r["metadata_results"]] == want
         assert [r["begin"] for r in own] == [0, *[r["end"] for r in own][:-1]] and own[-1]["end"] == len(want)
+
+
+def test_entries_nested_takes_all_orders(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert registry.queries()["entries_nested_whole"](spark, SF).count() == lines.select("l_orderkey").distinct().count()

@@ -25,11 +25,11 @@ def release_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.release_counts(X.releases(spark, sf_dir).withColumn("release_type", kind))
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nested(spark: SparkSession, sf_dir: str, orders: str = "true") -> DataFrame:
     """Each order as a full record, its lines as entries in order; some without an id."""
     from ..sources.storage import read_table
 
-    line = read_table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    line = read_table(spark, sf_dir, "lineitem").where(orders)
     entry = F.struct(F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("v"), F.col("l_partkey").cast("string"))).alias("id"),
                      F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("duration"))
     whole = line.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
@@ -72,10 +72,14 @@ QUERIES = {
     "release_type_counts": (_items(E.release_counts), I + "select coalesce(release_type, 'unknown') as release_type, count(*) as n from items group by 1"),
     "total_duration": (lambda s, d: X.releases(s, d).select("id", F.when(F.col("total_duration") > 0, F.col("total_duration")).alias("total_duration")),
                        R + "select id, case when total_duration > 0 then total_duration end as total_duration from releases"),
-    "entries_nested": (lambda s, d: E.full_metadata(_nested(s, d)).select("url", "track_count", "total_duration"),
+    "entries_nested": (lambda s, d: E.full_metadata(_nested(s, d, "l_orderkey % 5 = 0")).select("url", "track_count", "total_duration"),
                        """with numbered as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as rn from lineitem where l_orderkey % 5 = 0)
                        select 'u' || l_orderkey as url, count(*) filter (l_partkey % 9 <> 0) as track_count,
                        nullif(coalesce(sum(l_quantity) filter (l_partkey % 9 <> 0 and l_quantity > 10), 0), 0) as total_duration from numbered where rn <= 100 group by l_orderkey"""),
+    "entries_nested_whole": (lambda s, d: E.full_metadata(_nested(s, d)).select("url", "track_count", "total_duration"),
+                             """with numbered as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as rn from lineitem)
+                             select 'u' || l_orderkey as url, count(*) filter (l_partkey % 9 <> 0) as track_count,
+                             nullif(coalesce(sum(l_quantity) filter (l_partkey % 9 <> 0 and l_quantity > 10), 0), 0) as total_duration from numbered where rn <= 100 group by l_orderkey"""),
     "format_options": (_options, AUDIO_SQL),
     "default_format": (lambda s, d: M.default_format(_options(s, d)), AUDIO_SQL.replace("select * from options", "select record, coalesce(min_by(format_id, rank) filter (recommended), min_by(format_id, rank)) as format_id from options group by record")),
     "fallback_formats": (lambda s, d: M.fallback_options(s.createDataFrame([(1,), (2,)], "record long")),
