@@ -222,6 +222,23 @@ def test_url_models_tell_classes_apart(spark):
     assert sum(r["verdict"] == asked[r["page_id"] - 800][1] for r in rows) >= 95
 
 
+def test_url_counts_are_exact(spark):
+    """Every context and gram has a count of its own, also beyond 32,768 of them."""
+    common.ensure_importable(spark)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-/", k=60)) for _ in range(1500)]
+    want = {}
+    for i, t in enumerate(texts):
+        line = b"\2" * 4 + t.encode() + b"\3"
+        for at in range(4, len(line)):
+            for k in range(5):
+                for table, seen in enumerate((line[at - k : at], line[at - k : at + 1])):
+                    want.setdefault((table, k, seen), [0, 0])[i % 2] += 1
+    keys, counts = url_filter.count_model(spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, cls int"))
+    assert len(keys) == len(want) > 1 << 15
+    assert sorted(map(tuple, counts.T.tolist())) == sorted(map(tuple, want.values()))
+
+
 def brute_article(source):
     m = re.search(r"<article>(.*?)(</article>|\Z)", source, re.S)
     body = re.sub(r"<[^>]*(>|\Z)", "", re.sub(r"</?(p|h1|br)\b[^>]*(>|\Z)", " ", m[1])) if m else ""

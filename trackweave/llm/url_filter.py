@@ -13,8 +13,8 @@ from .urls import host_of, path_of
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
-#: Longest context in bytes; hashed slots of each table; weight of the shorter context's estimate.
-ORDER, SLOTS, SMOOTHING = 4, 1 << 15, 2.0
+#: Longest context in bytes, four at most in a key; weight of the shorter context's estimate.
+ORDER, SMOOTHING = 4, 2.0
 #: Scores are calibrated in so many bins for each unit, up to this bound either way.
 BINS, BOUND = 256, 8
 _START, _END = 2, 3
@@ -32,7 +32,7 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 
 
 def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each byte of each text, and each text's end: the text's number and the slots [order, byte] of its
+    """Of each byte of each text, and each text's end: the text's number and the 64-bit keys [order, byte] of its
     contexts and of the contexts with the byte."""
     coded = [bytes([_START] * ORDER) + t.encode() + bytes([_END]) for t in texts]
     line = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
@@ -41,68 +41,70 @@ def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(inside >= ORDER)
     contexts, grams = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
-    h = np.zeros(len(at), np.uint64)
+    packed = np.zeros(len(at), np.uint64)
     for k in range(ORDER + 1):
-        if k:
-            h = (h + line[at - k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        g = (h + line[at] + np.uint64(977)) * np.uint64(0xBF58476D1CE4E5B9)
-        contexts[k] = (h * np.uint64(0x94D049BB133111EB)) >> np.uint64(49)
-        grams[k] = (g ^ (g >> np.uint64(32))) % np.uint64(SLOTS)
-    return text[at], contexts % SLOTS, grams
+        if k:  # a byte of the context each; what is packed is exact, no two contexts share a key
+            packed |= line[at - k] << np.uint64(8 * (k - 1))
+        own = packed | np.uint64(2 * k << 40)
+        contexts[k] = own.view(np.int64)
+        grams[k] = (own | np.uint64(1 << 40) | line[at] << np.uint64(32)).view(np.int64)
+    return text[at], contexts, grams
 
 
-def _index(cls: int, table: int, k: int) -> int:
-    return ((cls * 2 + table) * (ORDER + 1) + k) * SLOTS
+#: The sorted keys of contexts and grams, and their counts [class, key].
+Model = tuple[np.ndarray, np.ndarray]
 
 
-def count_model(labelled: DataFrame) -> np.ndarray:
-    """Counts [class, contexts or grams, order, slot] over all rows of ``labelled`` (text, cls 0 or 1).
+def _counts_of(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Counts [class, key]; 0 for keys that the model has not seen."""
+    known, counts = model
+    if not len(known):
+        return np.zeros((2, len(keys)))
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+    return np.where(known[at] == distinct, counts[:, at], 0)[:, inverse]
 
-    Each task counts into tables of fixed size and gives their non-zero slots, which are summed by slot; so
-    2 * 2 * (ORDER + 1) * SLOTS rows reach the driver at most.
+
+def count_model(labelled: DataFrame) -> Model:
+    """Exact counts of the contexts and grams of all rows of ``labelled`` (text, cls 0 or 1).
+
+    Each task counts its batches; the sums by key reach the driver, a row for each distinct context or gram, so
+    they grow with the input's distinct grams.
     """
-    shape = (2, 2, ORDER + 1, SLOTS)
 
     def run(batches):
-        counts = np.zeros(int(np.prod(shape)), np.int64)
         for batch in batches:
             classes, texts = np.array(batch.column(1).to_pylist(), np.int64), batch.column(0).to_pylist()
             if not texts:
                 continue
             text, contexts, grams = _contexts(texts)
-            for cls in (0, 1):
-                own = classes[text] == cls
-                for k in range(ORDER + 1):
-                    for table, slots in enumerate((contexts, grams)):
-                        begin = _index(cls, table, k)
-                        counts[begin : begin + SLOTS] += np.bincount(slots[k][own], minlength=SLOTS)
-        slot = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
-
-    found = labelled.select("text", "cls").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    model = np.zeros(int(np.prod(shape)), np.float64)
-    model[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return model.reshape(shape)
-
-
-def log_ratio(texts: list[str], model: np.ndarray) -> np.ndarray:
+            keys, inverse = np.unique(np.concatenate([contexts, grams]), return_inverse=True)
+            accepted = np.tile(classes[text], 2 * (ORDER + 1))
+            both = np.bincount(inverse.ravel(), minlength=len(keys))
+            a = np.bincount(inverse.ravel()[accepted == 1], minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(both - a), pa.array(a)], names=["key", "r", "a"])
+
+    found = labelled.select("text", "cls").mapInArrow(run, "key long, r long, a long").groupBy("key").agg(F.sum("r").alias("r"), F.sum("a").alias("a")).toArrow()
+    keys = found["key"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], np.stack([found[c].to_numpy()[order].astype(np.float64) for c in "ra"])
+
+
+def log_ratio(texts: list[str], model: Model) -> np.ndarray:
     """Mean over each text's bytes and its end of ln p(accepted) - ln p(rejected)."""
     if not texts:
         return np.empty(0)
     text, contexts, grams = _contexts(texts)
-    logs = []
-    for cls in (0, 1):
-        p = np.full(len(text), 1 / 256)
-        for k in range(ORDER + 1):
-            p = (model[cls, 1, k][grams[k]] + SMOOTHING * p) / (model[cls, 0, k][contexts[k]] + SMOOTHING)
-        logs.append(np.log(np.minimum(p, 1.0)))
+    p = np.full((2, len(text)), 1 / 256)
+    for k in range(ORDER + 1):
+        p = (_counts_of(model, grams[k]) + SMOOTHING * p) / (_counts_of(model, contexts[k]) + SMOOTHING)
+    logs = np.log(p)
     return np.bincount(text, logs[1] - logs[0], len(texts)) / np.bincount(text, minlength=len(texts))
 
 
-def _scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` with the column ``score`` of the column ``text``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
     at = rows.columns.index("text")
 
     def run(batches):
@@ -139,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     The longest fitting rule decides. URLs that a rule allows or blocks are also what the models of accepted
     and rejected URLs are counted from, all of them but a fifth, on which the threshold of the mean log-likelihood
     difference is calibrated; a URL without a rule is allowed at that threshold or above. Without examples of
-    either class the score is 0 for all and allows. Only the bounded tables of counts and bins reach the driver.
+    either class the score is 0 for all and allows. The counts of distinct contexts and grams and the bins reach the driver.
 
     A null url or one without ``://`` has an empty host and path and no rule. Null and repeated ids and
     repeated rows each get their row; an empty table has none; other columns are not read.
@@ -150,12 +152,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     labelled = known.where("ruled is not null").select("text", (F.col("ruled") == "allow").cast("int").alias("cls"))
     held = F.crc32(F.col("text").cast("binary")) % 5 == 0
     model = count_model(labelled.where(~held))
-    if any(model[cls, 0, 0].sum() == 0 for cls in (0, 1)):
-        model[:] = 0
+    examples = bool(_counts_of(model, np.zeros(1, np.int64)).all())  # the key of the empty context is 0
+    if not examples:
+        model = (np.empty(0, np.int64), np.empty((2, 0)))
     at = F.greatest(F.lit(-BINS * BOUND), F.least(F.lit(BINS * BOUND), F.floor(F.col("score") * BINS))).cast("int")
     bins = _scored(labelled.where(held), model).groupBy(at.alias("bin")).agg(
         F.count_if(F.col("cls") == 0).alias("r"), F.count_if(F.col("cls") == 1).alias("a")).collect()
-    threshold = calibrate({x["bin"]: (x["r"], x["a"]) for x in bins}) if model.any() else 0.0
+    threshold = calibrate({x["bin"]: (x["r"], x["a"]) for x in bins}) if examples else 0.0
     out = _scored(known, model)
     judged = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score")
