@@ -72,6 +72,17 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0 and line_dedup.removed_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_any_length(spark):
+    """Lines of one or two words and lines without plain spaces take part."""
+    space = "\t\x0b\r\x85\xa0\u2003\u3000"
+    texts = ["Les.\nAnd ornd.\n一二三四五六七八\na\tb\tc\n", "les.\nand  ornd.\n一二三四五六七八\nc b a\n", "a\xa0b\u3000c\nnew\none\n \n\t\n", "one\rone\nOther\n" + "u" * 500, "u" * 500, None, ""]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    want = brute_lines([(k, t and re.sub(f"[{space}]", " ", t)) for k, t in rows], 1)
+    got = {r["doc_id"]: sorted(r["removed"]) for r in line_dedup.removed_lines_of_any_length(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {5: []}
+    assert got[1] == [0, 1, 2, 3] and got[2] == [0] and got[3] == [0] and got[4] == [0]
+
+
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 

@@ -17,6 +17,8 @@ BUCKET_BITS, CHUNK_BITS = 18, 12
 #: Words shared by more classes than this meet a pivot before they meet each other.
 HOT = 512
 CLASS = ["h1", "h2"]
+#: White space but the line feed and the plain space, for a class of a regular expression.
+WHITE_SPACE = r"\x09\x0B-\x0D\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def has_words(line: Column, least: int) -> Column:
@@ -228,6 +230,15 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"__doc.`{c}`") for c in names])
 
 
+def removed_lines_of_any_length(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """removed_lines of all lines with a word or more, words standing between white space of any kind (Unicode's).
+
+    White space but line feeds becomes a space first, so rows with one id whose texts differ only in its kind
+    are one document.
+    """
+    return removed_lines(docs.withColumn("text", F.regexp_replace("text", f"[{WHITE_SPACE}]", " ")), num, den, min_words=1)
+
+
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed and the removed lines' numbers (from 0); see dedup_lines."""
     kept = first_lines(docs, num, den, min_words)

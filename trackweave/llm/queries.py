@@ -32,6 +32,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
 
 
+def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.removed_lines_of_any_length(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
 
