@@ -287,6 +287,13 @@ def test_markup(source, want):
     assert html_extract.Page(source or "").text({}) == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>a<p>b</body></html>", "a b"), ("<head><link href=x><p>a</p><div>b</div>", "a b"), ("<head><title>T</title>a <b>c</b>", "a c"),
+    ("<head><title>T</title></head><body>a", "a"), ("<article>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</article>", "so x=1 holds")])
+def test_open_heads_and_formulas(source, want):
+    assert html_extract.Page(source).text({}) == want
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>t", "x"), (None, "http://h/", "", "x")], "page_id long, url string, html string, n_chars string")
     rows = html_extract.extract_text(pages).collect()

@@ -26,9 +26,11 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(class|id|role|style|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math textarea select option canvas audio video title".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template iframe object svg annotation annotation-xml textarea select option canvas audio video title".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
+#: What may stand in a head; anything else, text too, closes a head that is still open.
+METADATA = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opened element closes one of these that is still open, down to the nearest of the second set.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -79,11 +81,14 @@ class Page:
         self.parent, self.path, self.look, self.purpose, self.tags = [-1], [0], [""], [""], ["#root"]
         self.children: list[list[int]] = [[]]
         self.runs: list[tuple[int, str]] = []
-        stack, at, end = [0], 0, len(source)
+        stack, at, end, in_head = [0], 0, len(source), False
         while at < end:
             m = _TOKEN.search(source, at)
             stop = m.start() if m else end
             if stop > at:
+                if in_head and not source[at:stop].isspace():
+                    self._close(stack, {"head"}, set())
+                    in_head = False
                 self.runs.append((stack[-1], source[at:stop]))
             if not m:
                 break
@@ -104,6 +109,9 @@ class Page:
                 if tag not in INLINE:
                     self.runs.append((stack[-1], " "))
                 continue
+            if in_head and tag not in METADATA:
+                self._close(stack, {"head"}, set())
+                in_head = False
             if tag in RAW:
                 closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 if not (m[3] or "").rstrip().endswith("/"):
@@ -128,6 +136,7 @@ class Page:
             self.tags.append(tag)
             self.children.append([])
             stack.append(len(self.tags) - 1)
+            in_head |= tag == "head"
 
     def _close(self, stack: list[int], tags: set[str], within: set[str]) -> None:
         k = len(stack) - 1
