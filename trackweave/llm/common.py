@@ -10,10 +10,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a filter on hashes.
-FILTER_BITS = 1 << 20
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -55,18 +51,39 @@ def ensure_importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
 
 
-def filter_bits(wanted: DataFrame, value: Column) -> bytearray:
-    """A filter of FILTER_BITS on integers: what is wanted always passes, little else does while few are wanted."""
-    bit = F.pmod(value, F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bits = bytearray(FILTER_BITS // 8)
-    for r in found:
-        begin = (r["part"] - 1) * 4096
-        bits[begin : begin + 4096] = bytearray(r["bits"])
-    return bits
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once all that was made from it is written itself."""
+    spark = df.sparkSession
+    root = scratch_dir(spark).rstrip("/") + "/table-"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_array(rows: DataFrame, size: int) -> DataFrame:
+    """One row with an array of ``size`` longs: of each place that is left out 0, of others the bitwise or of their values.
+
+    ``rows``: (place, value). Queries read it by ``scalar()``, so that no plan holds its text.
+    """
+    zeros = rows.sparkSession.range(size).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("value"))
+    each = rows.groupBy("place").agg(F.bit_or("value").alias("value")).unionByName(zeros).groupBy("place").agg(F.bit_or("value").alias("value"))
+    return materialise(each.agg(F.sort_array(F.collect_list(F.struct("place", "value")))["value"].alias("values")))
+
+
+class HashFilter:
+    """A filter on hashes: all that is wanted pass, few others do. Its size follows the number of rows up to MOST bits;
+    beyond some millions of rows it lets more through, which costs time only."""
+
+    LEAST, MOST = 1 << 20, 1 << 23
 
+    def __init__(self, wanted: DataFrame, value: Column):
+        self.size = min(self.MOST, max(self.LEAST, 1 << (8 * wanted.count()).bit_length()))
+        at = value.bitwiseAND(F.lit(self.size - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+        self.table = small_array(wanted.select(F.shiftright(at, 6).alias("place"), bit.alias("value")), self.size >> 6)
 
-def passes_filter(value: Column, bits: bytearray) -> Column:
-    bit = F.pmod(value, F.lit(FILTER_BITS))
-    octet = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    def passes(self, value: Column) -> Column:
+        at = value.bitwiseAND(F.lit(self.size - 1))
+        word = F.get(self.table.scalar(), F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bits, materialise, passes_filter
+from .common import HashFilter, drop_table, materialise, small_array
 
 #: Buckets of word hashes whose occurrences are counted; a level of rarity is a quarter of a power of two.
-BUCKET_BITS, CHUNK_BITS = 18, 12
+BUCKET_BITS = 18
 #: Words shared by more classes than this meet a pivot before they meet each other.
 HOT = 512
-CLASS = ["h1", "h2"]
+CLASS, MARKS = ["h1", "h2"], ["mark", "mark2"]
 #: White space but the line feed and the plain space, for a class of a regular expression.
 WHITE_SPACE = r"\x09\x0B-\x0D\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -44,50 +44,48 @@ def _level(count: Column) -> Column:
     return F.least(F.lit(126), F.floor(4 * F.log2(count + 1))).cast("int") + 1
 
 
-def _rarity_levels(docs: DataFrame) -> bytes:
-    """A level of 1 to 127 for each bucket of word hashes, rarest first, from all words of all lines.
+def _rarity_levels(docs: DataFrame) -> DataFrame:
+    """One row: for each bucket of word hashes a level of 1 to 127, rarest first, in the upper bits of a long; from all words
+    of all lines.
 
-    The driver gets 2**BUCKET_BITS bytes, however large the input. The join is exact under any order
+    An array of 2**BUCKET_BITS numbers, however large the input. The join is exact under any order
     of words; rarity only keeps candidates few.
     """
-    word = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
-    counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BUCKET_BITS).alias("bucket")).agg(F.count("*").alias("n"))
-    none = docs.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
-    letters = counts.union(none).groupBy("bucket").agg(F.char(_level(F.sum("n"))).alias("letter"))
-    chunks = letters.groupBy(F.shiftright("bucket", CHUNK_BITS).alias("chunk")).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("bucket", "letter")))["letter"], "").alias("letters"))
-    return "".join(r["letters"] for r in sorted(chunks.collect())).encode()
+    word = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BUCKET_BITS).alias("place")).agg(F.count("*").alias("n"))
+    return small_array(counts.select("place", F.shiftleft(_level(F.col("n")).cast("long"), 56).alias("value")), 1 << BUCKET_BITS)
 
 
-def _sorted_keys(line: Column, levels: bytes) -> Column:
+def _sorted_keys(line: Column, level: Column) -> Column:
     """The distinct words of a line as integers that sort by rarity: level, then 56 bits of the hash."""
-    table = F.lit(bytearray(levels))
-
-    def key(h: Column) -> Column:
-        at = F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int") + 1
-        level = F.ascii(F.substring(table, at, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, key))
+    # few operations for each word, and none that could be null: arrays without nulls sort as plain numbers
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(
+        F.get(level, F.shiftrightunsigned(h, 64 - BUCKET_BITS)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))))
 
 
-def _mark(keys: Column, shift: int) -> Column:
-    """A word flips one of 64 bits, chosen by six bits of its key; marks of two sets differ in no more bits than there are
-    words that only one of the sets has."""
+def _mark(keys: Column) -> Column:
+    """A word flips one of 64 bits, chosen by six bits of its key."""
     return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
+        "shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+
+
+def _classes(docs: DataFrame, levels: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
+    """One row for each set of words: its hashes, size, first line, two marks of the rarer half of its words, and prefix."""
+    lines = _lines(_keyed(docs)).where(has_words(F.col("line"), min_words)).select("row", "line_no", "line", levels.scalar().alias("level"))
+    lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(F.col("line"), F.col("level")).alias("keys"))
+    size, odd = F.size("keys"), F.lit(64).cast("long")
+    lines = lines.select("first", "keys", size.alias("size"), F.slice("keys", 1, _half(size)).alias("half"))
+    halves = [F.filter("half", lambda k: k.bitwiseAND(odd) == x) for x in (F.lit(0).cast("long"), odd)]
+    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", "size",
+                           *[_mark(x).alias(m) for m, x in zip(MARKS, halves, strict=True)],
+                           F.slice("keys", 1, F.col("size") - _least_shared(F.col("size"), num, den) + 1).alias("prefix"))
+    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", *MARKS, "prefix")])
 
 
-def _classes(docs: DataFrame, levels: bytes, num: int, den: int, min_words: int) -> DataFrame:
-    """One row for each set of words: its hashes, size, first line, two marks and prefix."""
-    lines = _lines(_keyed(docs)).where(has_words(F.col("line"), min_words))
-    lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(F.col("line"), levels).alias("keys"))
-    size = F.size("keys")
-    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", size.alias("size"),
-                           _mark(F.col("keys"), 0).alias("mark"), _mark(F.col("keys"), 6).alias("mark2"),
-                           F.slice("keys", 1, size - _least_shared(size, num, den) + 1).alias("prefix"))
-    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", "mark", "mark2", "prefix")])
+def _half(size: Column) -> Column:
+    """How many of the rarest words of a set its marks stand for."""
+    return F.shiftright(size + 1, 1)
 
 
 def _least_shared(size: Column, num: int, den: int) -> Column:
@@ -96,23 +94,27 @@ def _least_shared(size: Column, num: int, den: int) -> Column:
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """(key, h1, mark, x) for each word of each prefix; x is the set's size and the word's place."""
-    each = classes.select("h1", "size", "mark", F.posexplode("prefix").alias("pos", "key"))
-    return each.select("key", "h1", "mark", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
-
-
-def _few_alone(na: Column, nb: Column, mark_a: Column, mark_b: Column, num: int, den: int) -> Column:
-    """Each bit in which the marks differ is a word that only one of the sets has; similar sets have few of these."""
-    return F.bit_count(mark_a.bitwiseXOR(mark_b)) * (num + den) <= (na + nb) * (den - num)
+    """(key, h1, marks, x) for each word of each prefix; x is the set's size and the word's place."""
+    each = classes.select("h1", "size", *MARKS, F.posexplode("prefix").alias("pos", "key"))
+    return each.select("key", "h1", *MARKS, (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
 
 
 def _could_match(num: int, den: int) -> Column:
-    """Filters that no similar pair fails at its first shared word: by length, by place and by mark."""
+    """Filters that no similar pair fails at its first shared word: by length, by place and by marks.
+
+    A word of one set's rarer half that the other set has at all is in the other's rarer half too, unless that
+    ends earlier; so the halves share all that must be shared but what the larger rest can hold, and each
+    bit in which the marks differ is a word that one half has alone.
+    """
     na, nb = F.shiftright("a.x", 32), F.shiftright("b.x", 32)
     rest_a, rest_b = na - F.col("a.x") % (1 << 32), nb - F.col("b.x") % (1 << 32)
     length = F.least(na, nb) * den >= F.greatest(na, nb) * num
     place = F.least(rest_a, rest_b) * (num + den) >= (na + nb) * num
-    return length & _few_alone(na, nb, F.col("a.mark"), F.col("b.mark"), num, den) & place
+    differ = F.lit(0)
+    for m in MARKS:
+        differ += F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}")))
+    alone = _half(na) + _half(nb) + 2 * F.greatest(F.shiftright(na, 1), F.shiftright(nb, 1)) - differ
+    return length & place & (alone * (num + den) >= 2 * (na + nb) * num)
 
 
 def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
@@ -121,23 +123,29 @@ def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
     return a.alias("a").join(b.alias("b"), met).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
 
 
-def _oriented(classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose second marks allow a match, as (early, late) by first lines, with these."""
+def _oriented(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes as (early, late) by first lines, with these, hashes and sizes."""
     ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
-    found = classes.where(passes_filter(F.col("h1"), filter_bits(ends, F.col("h1")))).join(ends, "h1", "left_semi")
-    found = materialise(found.select("h1", F.struct(*CLASS).alias("of"), "first", "size", "mark2"))
-    a, b = (found.select(F.col("h1").alias(x), F.struct("first", "of", "size").alias(f"of_{x}"), F.col("size").alias(f"n{x}"), F.col("mark2").alias(f"m{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(_few_alone(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den))
-    return materialise(both.select(F.least("of_a", "of_b").alias("early"), F.greatest("of_a", "of_b").alias("late")))
+    found = classes.where(HashFilter(ends, F.col("h1")).passes(F.col("h1"))).join(ends, "h1", "left_semi")
+    found = materialise(found.select("h1", F.struct("first", F.struct(*CLASS).alias("of"), "size").alias("c")))
+    both = pairs.join(found.toDF("a", "of_a"), "a").join(found.toDF("b", "of_b"), "b")
+    out = materialise(both.select(F.least("of_a", "of_b").alias("early"), F.greatest("of_a", "of_b").alias("late")))
+    drop_table(ends)
+    drop_table(found)
+    return out
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(of, line): the first line of each class of the pairs, read again; a filter of fixed size lets few others through."""
+    """(of, line): the first line of each class of the pairs, read again; only documents that may hold one are split."""
     wanted = materialise(pairs.select("early.first", "early.of").union(pairs.select("late.first", "late.of")).distinct())
-    lines = _lines(_keyed(docs)).select(F.struct("row", "line_no").alias("first"), "line")
-    lines = lines.where(passes_filter(F.xxhash64("first"), filter_bits(wanted, F.xxhash64("first"))))
+    keyed = _keyed(docs)
+    keyed = keyed.where(HashFilter(wanted, F.xxhash64("first.row")).passes(F.xxhash64("row")))
+    lines = _lines(keyed).select(F.struct("row", "line_no").alias("first"), "line")
+    lines = lines.where(HashFilter(wanted, F.xxhash64("first")).passes(F.xxhash64("first")))
     # a line as it stands takes a third of the room of its words in an array
-    return materialise(lines.join(wanted, "first").groupBy("of").agg(F.first("line").alias("line")))
+    out = materialise(lines.join(wanted, "first").groupBy("of").agg(F.first("line").alias("line")))
+    drop_table(wanted)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -153,7 +161,7 @@ def _repeats(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
     Each class is first compared with the earliest of its candidates, which settles most copies; only what is not
     like that one is compared with all others.
     """
-    oriented = _oriented(classes, pairs, num, den)
+    oriented = _oriented(classes, pairs)
     texts = _texts(docs, oriented)
     ends = [F.col("early.of").alias("early"), F.col("late.of").alias("late"), (F.col("early.size") + F.col("late.size")).alias("words")]
     earliest = materialise(oriented.groupBy("late").agg(F.min("early").alias("early")).select(*ends))
@@ -162,7 +170,10 @@ def _repeats(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
     rest = materialise(rest.join(earliest.select("early", "late"), ["early", "late"], "left_anti"))
     if rest.limit(1).count():
         gone = gone.union(_verified(rest, texts, num, den))
-    return gone.select("late.*").distinct()
+    gone = materialise(gone.select("late.*").distinct())
+    for done in (oriented, texts, earliest, rest):
+        drop_table(done)
+    return gone
 
 
 def _hot_keys(classes: DataFrame) -> DataFrame:
@@ -181,13 +192,13 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     entries, hot = _entries(classes), _hot_keys(classes)
     if hot.limit(1).count():
         warm = materialise(entries.join(hot, "key"))
-        ruled = classes.select("first", F.struct("h1", "size", "mark").alias("c"), F.posexplode("prefix").alias("pos", "key"))
-        ruler = F.struct("c.h1", "c.mark", (F.shiftleft(F.col("c.size").cast("long"), 32) + F.col("pos")).alias("x"))
+        ruled = classes.select("first", F.struct("h1", "size", *MARKS).alias("c"), F.posexplode("prefix").alias("pos", "key"))
+        ruler = F.struct("c.h1", *[f"c.{m}" for m in MARKS], (F.shiftleft(F.col("c.size").cast("long"), 32) + F.col("pos")).alias("x"))
         pivots = ruled.join(hot, "key").groupBy("key").agg(F.min_by(ruler, "first").alias("p"))
         pivots = materialise(pivots.select("key", "p.*"))
         cold = entries.join(hot, "key", "left_anti")
         pairs = materialise(_met(cold, cold, num, den).union(_met(pivots, warm, num, den)).distinct())
-        gone = materialise(_repeats(docs, classes, pairs, num, den))
+        gone = _repeats(docs, classes, pairs, num, den)
         left = warm.join(gone.select("h1"), "h1", "left_anti")
         again = materialise(_met(warm, left, num, den).join(pairs, ["a", "b"], "left_anti"))
         if again.limit(1).count():
@@ -198,12 +209,12 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     return stay.groupBy(F.col("first.row").alias("row")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept"))
 
 
-def _decided(docs: DataFrame, kept: DataFrame, min_words: int, columns: list[Column]) -> DataFrame:
-    """``docs`` with the array ``__lines`` of structs (line, stays)."""
-    keyed = docs.select(*columns, _row().alias("__row"), F.col("text").alias("__text"))
+def _decided(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` as structs ``__doc``, with the array ``__lines`` of structs (line, stays)."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), _row().alias("__row"))
     joined = keyed.join(kept.select(F.col("row").alias("__key"), F.col("kept").alias("__kept")), F.col("__row").eqNullSafe(F.col("__key")), "left")
     stays = F.coalesce("__kept", F.array().cast("array<int>"))
-    return joined.withColumn("__lines", F.transform(F.split("__text", "\n"), lambda line, i: F.struct(
+    return joined.withColumn("__lines", F.transform(F.split("__doc.text", "\n"), lambda line, i: F.struct(
         line.alias("line"),
         (~has_words(line, min_words) | F.array_contains(stays, i)).alias("stays"))))
 
@@ -218,8 +229,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     document and get the same result each; an empty table stays empty.
     """
     names = docs.columns
-    packed = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc")
-    out = _decided(docs, first_lines(docs, num, den, min_words), min_words, [packed])
+    out = _decided(docs, first_lines(docs, num, den, min_words), min_words)
     left = F.filter("__lines", lambda x: x["stays"])
     out = out.where(F.col("__lines").isNull() | (F.size(left) > 0))
     text = F.array_join(F.transform(left, lambda x: x["line"]), "\n")

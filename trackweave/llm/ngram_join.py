@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, filter_bits, materialise, passes_filter
+from .common import HashFilter, checkpoint, materialise
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +152,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: in
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cls, elements) of the wanted classes (cls, doc_id). Few other documents pass the filter on their ids."""
-    near = docs.where(passes_filter(F.xxhash64("doc_id"), filter_bits(wanted, F.xxhash64("doc_id")))).select("text")
+    near = docs.where(HashFilter(wanted, F.xxhash64("doc_id")).passes(F.xxhash64("doc_id"))).select("text")
 
     def run(batches):
         seen = set()
