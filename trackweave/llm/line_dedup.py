@@ -106,8 +106,7 @@ def _could_match(num: int, den: int) -> Column:
     ends earlier; so the halves share all that must be shared but what the larger rest can hold, and each
     bit in which the marks differ is a word that one half has alone.
     """
-    na, nb = F.shiftright("a.x", 32), F.shiftright("b.x", 32)
-    rest_a, rest_b = na - F.col("a.x") % (1 << 32), nb - F.col("b.x") % (1 << 32)
+    (na, rest_a), (nb, rest_b) = ((n := F.shiftright(x, 32), n - F.col(x).bitwiseAND(F.lit((1 << 32) - 1))) for x in ("a.x", "b.x"))
     length = F.least(na, nb) * den >= F.greatest(na, nb) * num
     place = F.least(rest_a, rest_b) * (num + den) >= (na + nb) * num
     differ = F.lit(0)

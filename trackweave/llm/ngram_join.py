@@ -12,58 +12,97 @@ components meet in pairs if the triangle inequality on their distances to the pi
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, checkpoint, materialise
+from .common import HashFilter, checkpoint, drop_table, materialise
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Words that are hashed at a time.
-PART_WORDS = 50_000
+#: A-Z in lower case, ASCII white space as spaces.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of texts that are hashed at a time.
+TOGETHER = 200_000
 #: Buckets whose shingles are counted, and a chunk of them in a row.
 BUCKETS, CHUNK = 1 << 18, 1 << 14
-#: Cells of up to this many classes are joined in pairs; larger ones get further pivots first, for so many rounds.
-SMALL_CELL, ROUNDS = 32, 2
+#: Cells of up to this many classes are joined in pairs; larger ones get further pivots first, while these pay.
+SMALL_CELL = 32
 
-_power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64 bits."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = h ^ (h >> np.uint64(shift))
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and 64 bits for each, mixed eight bytes at a time after the word's length."""
+    raw = b" " + raw + b" " * 8
+    blank = np.frombuffer(raw, np.uint8) == 0x20
+    begins = starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+    left = np.flatnonzero(~blank[:-1] & blank[1:]) - starts
+    eight = np.ndarray(len(raw) - 8, "<u8", raw, 1, (1,))
+    found = _mixed(left.astype(np.uint64))
+    own = slice(None)
+    while len(starts):
+        found[own] = _mixed(found[own] ^ (eight[starts] & _FIRST[np.minimum(left, 8)]))
+        longer = np.flatnonzero(left > 8)
+        own = longer if isinstance(own, slice) else own[longer]
+        starts, left = starts[longer] + 8, left[longer] - 8
+    return begins, found
+
+
+def _mixed_runs(words: np.ndarray, width: int) -> np.ndarray:
+    n = max(0, len(words) - width + 1)
+    found = np.full(n, width, np.uint64)
+    for k in range(width):
+        found += words[k : k + n]
+        found = _mixed(found)
+    return found
+
+
+def _distinct(found: np.ndarray) -> np.ndarray:
+    found = np.sort(found)
+    new = np.empty(len(found), bool)
+    new[:1] = True
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
+
+
+def all_shingles(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct ``width``-word shingles; a shorter text, if not empty, is one.
+
+    Texts are hashed some at a time, a long one alone, which takes about 40 bytes for each of theirs.
+    """
+    held: list[bytes] = []
+    size = 0
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power[0]) < n:
-        size = max(n, 2 * len(_power[0]))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _power[k] = np.cumprod(steps)
-    return _power[0][:n], _power[1][:n]
-
+    def flush() -> Iterator[np.ndarray]:
+        begins, words = _word_hashes(b" ".join(held))
+        runs = _mixed_runs(words, width)
+        bounds = np.searchsorted(begins, np.cumsum([0, *(len(x) + 1 for x in held)])).tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield _distinct(runs[a : b - width + 1]) if b - a >= width else _mixed_runs(words[a:b], b - a)[: b - a]
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    for text in texts:
+        held.append((text or "").encode().translate(_PLAIN))
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted 64-bit hashes of the distinct ``width``-word shingles; a shorter text, if not empty, is one."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    parts = []
-    for begin in range(0, max(1, len(words) - width + 1), PART_WORDS):
-        line = np.frombuffer(b" " + b" ".join(words[begin : begin + PART_WORDS + width - 1]) + b" ", np.uint8)
-        spaces = np.flatnonzero(line == 0x20)
-        up, down = _powers(len(line) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((line.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-        starts = spaces[: max(1, len(spaces) - width)] + 1
-        ends = spaces[width:] if len(spaces) > width else spaces[-1:]
-        parts.append(_mixed((sums[ends] - sums[starts]) * down[starts] ^ _mixed((ends - starts).astype(np.uint64))))
-    return np.unique(np.concatenate(parts))
+    return next(all_shingles([text], width))
 
 
 def _class_of(found: np.ndarray) -> bytes | None:
@@ -84,9 +123,8 @@ def _classified(docs: DataFrame, width: int) -> DataFrame:
         counts, empty = np.zeros(BUCKETS, np.int32), None
         for batch in batches:
             sizes, classes = [], []
-            for text in batch.column(2):
-                found = shingles(text.as_py(), width)
-                np.add.at(counts, _bucket(found), 1)
+            for found in all_shingles(batch.column(2).to_pylist(), width):
+                np.add.at(counts, _bucket(found), np.int32(1))
                 sizes.append(len(found))
                 classes.append(_class_of(found))
             n, empty = len(sizes), pa.nulls(1, batch.column(0).type)
@@ -130,8 +168,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: in
         seen: set[bytes] = set()
         for batch in batches:
             rows, at = [], []
-            for i, text in enumerate(batch.column(1)):
-                found = shingles(text.as_py(), width)
+            for i, found in enumerate(all_shingles(batch.column(1).to_pylist(), width)):
                 cls = _class_of(found)
                 if cls is None or cls in seen:
                     continue
@@ -159,8 +196,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 rows = []
-                for text in batch.column(0)[begin : begin + 500]:
-                    found = shingles(text.as_py(), width)
+                for found in all_shingles(batch.column(0)[begin : begin + 500].to_pylist(), width):
                     cls = _class_of(found)
                     if cls is not None and cls not in seen:
                         seen.add(cls)
@@ -191,6 +227,7 @@ def connected(links: DataFrame) -> DataFrame:
         lower, turn = checkpoint(lower), turn + 1
         labels = lower.select("node", "component")
         if lower.where("component <> was").limit(1).count() == 0:
+            drop_table(ends)
             return labels
 
 
@@ -212,10 +249,14 @@ def _measured(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, width: int
     """The promising ones of the pairs (a, b), with the sizes of their sets' intersection and union."""
     pairs = materialise(_promising(pairs, prefixes, num, den))
     ends = pairs.select("a").union(pairs.select("b")).toDF("cls").distinct()
-    sets = _sets(docs, materialise(prefixes.select("cls", "doc_id").join(ends, "cls", "left_semi")), width)
+    wanted = materialise(prefixes.select("cls", "doc_id").join(ends, "cls", "left_semi"))
+    sets = _sets(docs, wanted, width)
     shared = F.size(F.array_intersect("ea", "eb")).cast("long")
-    return materialise(pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select(
+    out = materialise(pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select(
         "a", "b", shared.alias("both"), (F.size("ea") + F.size("eb") - shared).alias("either")))
+    drop_table(pairs)
+    drop_table(wanted)
+    return out
 
 
 def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -235,30 +276,40 @@ def find_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFra
     open_cells = materialise(met.select("key", "cls", (F.shiftright("x", 26) % (1 << 28)).alias("n"), F.shiftright("x", 54).alias("central"),
                                         (F.col("x") % (1 << 26)).alias("pos")))
     close = F.col("both") * den >= F.col("either") * num
-    links = None
-    for turn in range(ROUNDS):
+    found, turn, left = [], 0, None
+    while True:
         pivot = F.struct(F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
         pivots = open_cells.groupBy("key").agg(F.max_by(pivot, F.struct("central", "cls")).alias("x"), F.count("*").alias("size"))
         pivots = pivots.where(F.col("size") > (SMALL_CELL if turn else 1)).select("key", "x.*")
         met = materialise(open_cells.join(pivots, "key", "left"))
+        drop_table(open_cells)
         pairs = met.where("cls <> p").where(_fits(F.col("n"), F.col("pn"), F.col("pos"), F.col("pp"), num, den)).select(F.col("cls").alias("a"), F.col("p").alias("b")).distinct()
         measured = _measured(docs, pairs, prefixes, width, num, den)
-        found = measured.where(close).select("a", "b")
-        links = found if links is None else links.union(found)
+        found.append(measured)
         # one component for sure: a pivot and what is linked to it, each class with the least of its pivots
-        sure = links.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("component"))
+        sure = _all(found).where(close).groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("component"))
         distance = measured.select(F.col("a").alias("cls"), F.col("b").alias("p"), (1 - F.col("both") / F.col("either")).alias("distance"))
         rest = met.where("p is null or cls <> p").join(distance, ["cls", "p"], "left").select("key", "cls", "n", "central", "pos", *_distances(turn), F.col("distance").alias(f"at{turn}"))
         rest = rest.join(sure, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = rest.groupBy("key").agg(F.count("*").alias("cell"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-        open_cells = materialise(rest.join(mixed.select("key", "cell"), "key"))
-        if open_cells.where(F.col("cell") > SMALL_CELL).limit(1).count() == 0:
+        open_cells, turn = materialise(rest.join(mixed.select("key", "cell"), "key")), turn + 1
+        drop_table(met)
+        # a further pivot has to halve the pairs that large cells would make
+        now = open_cells.where(F.col("cell") > SMALL_CELL).agg(F.sum("cell")).first()[0] or 0
+        if now == 0 or left is not None and 2 * now > left:
             break
-        open_cells = open_cells.drop("cell")
-    pairs = materialise(_window_pairs(open_cells, _distances(turn + 1), num, den))
+        left, open_cells = now, open_cells.drop("cell")
+    pairs = materialise(_window_pairs(open_cells, _distances(turn), num, den))
     if pairs.limit(1).count():
-        links = links.union(_measured(docs, pairs, prefixes, width, num, den).where(close).select("a", "b"))
-    return classified.where("chunk is null"), connected(links)
+        found.append(_measured(docs, pairs, prefixes, width, num, den))
+    components = connected(_all(found).where(close).select("a", "b"))
+    for done in (open_cells, pairs, prefixes, shared, *found):
+        drop_table(done)
+    return classified.where("chunk is null"), components
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _distances(turns: int) -> list[str]:
@@ -286,7 +337,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     ``num/den`` or more; component_id is the least doc_id that links reach. Null and empty texts have no
     shingles and no links and are their own component. A null id is no candidate for component_id (rows with
     only null ids have a null one); rows with one id but different texts are linked only if their texts are.
-    Repeated rows each get theirs; an empty table has no rows; other columns are not read.
+    Repeated rows each get theirs; ties in rarity are ordered by hash and change no result; an empty table has no rows; other
+    columns are not read. Whole texts count, of up to 2**28 distinct shingles. Shingles are told apart by
+    64 bits and sets by 128 bits of their hashes, which are not polynomials of the text.
     """
     rows, components = find_links(docs, width, num, den)
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
