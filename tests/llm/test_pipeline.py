@@ -49,3 +49,18 @@ def test_all_queries_are_registered(spark):
 
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()} and "pipeline" in names
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the operators use themselves, and names with dots."""
+    more = ["found", "__found", "__text_3", "__whole", "__score", "score", "row", "a.b", "__doc", "__row", "__lines", "cls", "label", "first"]
+    rows = [(k, t, "en", "web", len(t or ""), *[f"{k}{c}" for c in more]) for k, t in enumerate(["One line of good plain text here, and a few more words.", None, "", "Another line of text.\nAnother line of text."])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in more))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[c] for c in more] == [f"{r['doc_id']}{c}" for c in more], name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r["doc_id"] for r in packed.collect()} == {0, 1, 2, 3}

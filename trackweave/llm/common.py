@@ -14,6 +14,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """One column ``row`` that holds the columns ``names`` (all by default), so that no name clashes with what is added."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in names or df.columns]).alias("row"))
+
+
+def unpacked_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in names])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

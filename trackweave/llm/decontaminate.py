@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_table, materialise, packed_rows, quoted, unpacked_rows
+
 #: Words of a text that is not lower-cased yet: runs of ASCII letters and digits and of all characters beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -113,6 +115,30 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, width: int, shar
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, text_col: str, item_col: str, shard_bytes: int, keep: list[str]) -> DataFrame:
+    """(row, found): the columns ``keep`` of each row as a struct, and what find_contamination says."""
+    names = list(dict.fromkeys([*keep, text_col]))
+    out = packed_rows(docs, names).withColumn("found", F.lit(None).cast(f"struct<{_STATE.replace(' long', ':bigint').replace(' array', ':array')}>"))
+    kind, at = out.schema, names.index(text_col)
+    shards = _shards(benchmark, item_col, "text", width, shard_bytes)
+    for part in shards:
+        items = [(r["item"], r["text"]) for r in part.collect()]
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, sent=sent):
+            automaton = Automaton(sent.value, width)
+            for batch in batches:
+                texts, before = batch.column(0).field(at), batch.column(1)
+                found = [_report(automaton, t.as_py(), (b.as_py() or {}).get("spans") or []) for t, b in zip(texts, before, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, batch.schema[1].type)], schema=batch.schema)
+
+        before, out = out, out.mapInArrow(run, kind)
+        if len(shards) > 1:
+            out = materialise(out)
+            drop_table(before)
+    return out
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", shard_bytes: int = AUTOMATON_BYTES,
                        keep: list[str] | None = None) -> DataFrame:
@@ -124,33 +150,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
     to ``shard_bytes`` is one automaton; a larger one is dealt into several, which scan one after
     another, each adding to what the ones before found, with the state written between them.
 
-    A null or empty text has no words and no hits. A null item id counts as the item "null". Repeated
-    items count once, repeated documents each get their row, and an empty benchmark hits nothing.
+    A null or empty text has no words and no hits; a long one is scanned whole. A null item id counts as the item
+    "null". Repeated items count once, windows of several items count for each, repeated documents each get their
+    row, and an empty benchmark hits nothing. An empty table has no rows; other columns are not read. ``keep`` may
+    hold any names; one called "found" stands beside the struct.
     """
-    from .common import materialise
-
     keep = list(keep or [id_col])
-    text_at = f"__text_{len(keep)}"
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text_at),
-                      F.lit(None).cast(f"struct<{_STATE.replace(' long', ':bigint').replace(' array', ':array')}>").alias("__found"))
-    kind = out.schema
-    shards = _shards(benchmark, item_col, "text", width, shard_bytes)
-    for part in shards:
-        items = [(r["item"], r["text"]) for r in part.collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches, sent=sent):
-            automaton = Automaton(sent.value, width)
-            for batch in batches:
-                texts, before = batch.column(len(keep)), batch.column(len(keep) + 1)
-                found = [_report(automaton, t.as_py(), (b.as_py() or {}).get("spans") or []) for t, b in zip(texts, before, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(found, batch.schema[-1].type)], schema=batch.schema)
-
-        out = out.mapInArrow(run, kind)
-        if len(shards) > 1:
-            out = materialise(out)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__found").alias("found"))
+    return _scanned(docs, benchmark, width, text_col, item_col, shard_bytes, keep).select(*[F.col(f"row.{quoted(c)}").alias(c) for c in keep], "found")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -163,9 +169,12 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents without any hit, all their columns as they were."""
-    found = find_contamination(docs, benchmark, width, keep=docs.columns)
-    return found.where(F.col("found.n_hit") == 0).drop("found")
+    """The documents without any hit, all their columns as they were, whatever their names.
+
+    Nulls, long texts, repeated rows and empty tables: see find_contamination.
+    """
+    scanned = _scanned(docs, benchmark, width, "text", "item_id", AUTOMATON_BYTES, docs.columns)
+    return unpacked_rows(scanned.where(F.col("found.n_hit") == 0), docs.columns)
 
 
 def items_digest(items: list[str]) -> str:

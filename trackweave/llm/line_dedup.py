@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, drop_table, materialise, small_array
+from .common import HashFilter, drop_table, materialise, quoted, small_array
 
 #: Buckets of word hashes whose occurrences are counted; a level of rarity is a quarter of a power of two.
 BUCKET_BITS = 18
@@ -210,7 +210,7 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
 
 def _decided(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
     """``docs`` as structs ``__doc``, with the array ``__lines`` of structs (line, stays)."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), _row().alias("__row"))
+    keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__doc"), _row().alias("__row"))
     joined = keyed.join(kept.select(F.col("row").alias("__key"), F.col("kept").alias("__kept")), F.col("__row").eqNullSafe(F.col("__key")), "left")
     stays = F.coalesce("__kept", F.array().cast("array<int>"))
     return joined.withColumn("__lines", F.transform(F.split("__doc.text", "\n"), lambda line, i: F.struct(
@@ -236,7 +236,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     if "n_chars" in names:
         changed["n_chars"] = F.when(F.exists("__lines", lambda x: ~x["stays"]), F.length(text).cast(docs.schema["n_chars"].dataType)) \
             .otherwise(F.col("__doc.n_chars"))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"__doc.`{c}`") for c in names])
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"__doc.{quoted(c)}").alias(c) for c in names])
 
 
 def removed_lines_of_any_length(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, checkpoint, drop_table, materialise
+from .common import HashFilter, checkpoint, drop_table, materialise, quoted
 
 #: A-Z in lower case, ASCII white space as spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -361,7 +361,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int
     best = own.groupBy("component").agg(F.min("row").alias("row"), F.count("*").alias("size")).select("row.*")
     bare = rows.where("cls is null").select(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "t1").distinct()
     stay = materialise(best.union(bare))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__t1"))
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__t1"))
 
     def those(keys: DataFrame) -> DataFrame:
         met = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__t1") == F.col("t1"))
@@ -375,4 +375,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int
     else:  # only the few rows that repeat are compared with each other
         once = stay.alias("s").join(twice.alias("r"), again, "left_anti")
         kept = those(once).unionByName(those(twice).dropDuplicates(["__id", "__t1"]))
-    return kept.select(*[F.col(f"__doc.`{c}`") for c in names])
+    return kept.select(*[F.col(f"__doc.{quoted(c)}").alias(c) for c in names])

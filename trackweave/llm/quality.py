@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import packed_rows, unpacked_rows
 
 #: Labelled rows that training looks at, at most; which ones is decided by a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -149,20 +152,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
 
 
 def _with_scores(docs: DataFrame, forest: Forest, keep: list[str], least: float | None = None) -> DataFrame:
-    """The columns ``keep`` and ``__score`` of each row; with ``least``, only of rows with that score or more."""
+    """(row, score): the columns ``keep`` of each row as a struct; with ``least``, only rows with that score or more."""
     sent = docs.sparkSession.sparkContext.broadcast(forest)
+    names = list(dict.fromkeys([*keep, "text"]))
+    rows = packed_rows(docs, names)
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            score = sent.value.scores(np.stack([statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)]))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*keep, "__score"])
+            score = sent.value.scores(np.stack([statistics(t.as_py()) for t in batch.column(0).field(at)]))
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["row", "score"])
             yield out if least is None else out.filter(pa.array(score >= least))
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__whole"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, __score double")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -170,13 +174,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     Labels, ids and all columns but the text have no part in a score. A null text scores as an empty one; a null
     id is not held out; repeated rows each get their row; without usable labels every score is 0.5; an empty
-    table has no rows; other columns are not read.
+    table has no rows; other columns are not read. All of a text counts, however long. Ties: of an id's labels the
+    mean decides, a half is label 1; a score of just ``threshold`` is predicted 1.
     """
-    out = _with_scores(docs, fit(docs, labels, sample_rows), ["doc_id"])
-    return out.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
-                      (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    out = _with_scores(docs, fit(docs, labels, sample_rows), ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return out.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents with a score of ``threshold`` or more, all their columns as they were."""
-    return _with_scores(docs, fit(docs, labels, sample_rows), docs.columns, threshold).drop("__score")
+    """The documents with a score of ``threshold`` or more, all their columns as they were, whatever their names.
+
+    Nulls, long texts, ties, repeated rows and empty tables: see score_documents.
+    """
+    return unpacked_rows(_with_scores(docs, fit(docs, labels, sample_rows), docs.columns, threshold), docs.columns)
