@@ -22,13 +22,15 @@ from .common import materialise
 from .urls import host_of
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+    # a quote opens a value only after "="; what the end of the page leaves open goes
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|style|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg annotation annotation-xml textarea select option canvas audio video title".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
+#: Elements that begin and end a block; all others, unknown ones too, are part of a line.
+BLOCKS = CLOSES_P | set("html body head li dt dd tr td th caption thead tbody tfoot colgroup optgroup option legend summary hgroup search dialog frameset noframes title".split())
 #: What may stand in a head; anything else, text too, closes a head that is still open.
 METADATA = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opened element closes one of these that is still open, down to the nearest of the second set.
@@ -42,6 +44,9 @@ sidebar rail widget widgets related recommended recommendations share sharing so
 menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc
 comment comments commentlist discussion disqus replies reply respond
 footer copyright legal skip""".split())
+#: What a compound name may hold beside one of these and still name furniture; "social-science" does not.
+COMPANIONS = set("""area bar block body bottom box button buttons container content cta form group header holder icons inner item items left link links list
+main news panel posts pane right row section site slot strip text title top unit wrap wrapper""".split())
 #: Cut outside the article only: within it, these hold its title.
 OUTER_NAMES = set("header masthead topbar top hero search side".split())
 ARTICLE_NAMES = {"articlebody", "article-body", "post-content", "entry-content", "article-content"}
@@ -58,13 +63,14 @@ def _look(tag: str, attributes: str) -> tuple[str, str]:
         return "", look
     if tag in FURNITURE_TAGS or named.get("role") in FURNITURE_ROLES or (attributes and _HIDDEN.search(named.get("style", "") if "style" in named else re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes))):
         return "furniture", look
-    words = set(re.findall(r"[a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}"))
-    if words & FURNITURE_NAMES:
+    names = f"{named.get('class', '')} {named.get('id', '')}".split()
+    parts = [set(re.findall(r"[a-z]+", x)) for x in names]
+    if any(p & FURNITURE_NAMES and p <= FURNITURE_NAMES | COMPANIONS for p in parts if len(p) == 1 or tag not in ("article", "main")):
         return "furniture", look
     if tag in ("article", "main") or named.get("role") in ("main", "article") or named.get("itemprop") == "articlebody" or \
-            ARTICLE_NAMES & set(f"{named.get('class', '')} {named.get('id', '')}".split()):
+            ARTICLE_NAMES & set(names):
         return "article", look
-    if tag == "header" or words & OUTER_NAMES:
+    if tag == "header" or any(p & OUTER_NAMES and p <= OUTER_NAMES | COMPANIONS for p in parts):
         return "outer", look
     return "", look
 
@@ -106,7 +112,7 @@ class Page:
                     k -= 1
                 if k:
                     del stack[k:]
-                if tag not in INLINE:
+                if tag in BLOCKS:
                     self.runs.append((stack[-1], " "))
                 continue
             if in_head and tag not in METADATA:
@@ -116,13 +122,14 @@ class Page:
                 closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 if not (m[3] or "").rstrip().endswith("/"):
                     at = closing.end() if closing else (end if tag in ("script", "style") else at)
-                self.runs.append((stack[-1], " ")) if tag not in INLINE else None
+                if tag in BLOCKS:
+                    self.runs.append((stack[-1], " "))
                 continue
             if tag in CLOSES_P:
                 self._close(stack, {"p"}, {"table", "td", "th", "button", "object"})
             if tag in SIBLINGS:
                 self._close(stack, *SIBLINGS[tag])
-            if tag not in INLINE:
+            if tag in BLOCKS:
                 self.runs.append((stack[-1], " "))
             if tag in VOID:
                 continue
