@@ -30,7 +30,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template iframe object svg annotation annotation-xml textarea select option canvas audio video title".split())
 CLOSES_P = set("address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
 #: Elements that begin and end a block; all others, unknown ones too, are part of a line.
-BLOCKS = CLOSES_P | set("html body head li dt dd tr td th caption thead tbody tfoot colgroup optgroup option legend summary hgroup search dialog frameset noframes title".split())
+BLOCKS = CLOSES_P | set("br html body head li dt dd tr td th caption thead tbody tfoot colgroup optgroup option legend summary hgroup search dialog frameset noframes title".split())
 #: What may stand in a head; anything else, text too, closes a head that is still open.
 METADATA = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opened element closes one of these that is still open, down to the nearest of the second set.
