@@ -193,6 +193,23 @@ def test_nearest(spark):
     assert ann.nearest(vectors.limit(0)).count() == 0
 
 
+def test_ties_of_multiples(spark):
+    """Multiples of one vector are at one distance; the smaller ids come first, in whatever shard they are."""
+    common.ensure_importable(spark)
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 2.0, 3.0])] + [(989 + k, [2.0**e * x for x in (1.0, 2.0, 3.0)]) for k, e in enumerate(rng.permutation(12).tolist())]
+    rows += [(k, [float(x) for x in rng.normal(size=3)]) for k in range(1, 300) if k % 50]
+    rows += [(2000 + k, [0.0, 3.0 * 2.0**k, -2.0 * 2.0**k]) for k in range(150)] + [(1500, [0.0, 0.0, 1e-200]), (1550, [0.0, 0.0, 1e200])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (16, 4096):
+        got = {}
+        for r in ann.nearest(vectors, shard_rows=shard_rows).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+        assert [got[0][k][0] for k in range(1, 6)] == [989, 990, 991, 992, 993] and got[0][1][1] == got[0][5][1]
+        assert [got[2050][k][0] for k in range(1, 6)] == [2000, 2001, 2002, 2003, 2004]
+        assert got[1500][1] == (1550, 1.0)
+
+
 def test_relaxed_search_keeps_recall():
     rng = np.random.default_rng(2)
     points = rng.normal(size=(3000, 16))

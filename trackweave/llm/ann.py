@@ -13,6 +13,10 @@ from .common import materialise
 
 #: Distinct vectors in a shard, about; queries in a block; vectors in a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 4096, 256, 48
+#: Distances of unit vectors are off by less: the root of a few rounding errors.
+ROUNDING = 1e-6
+#: Pairs of vectors that are compared at a time.
+PAIRS = 20_000
 
 
 class VantagePointTree:
@@ -101,11 +105,46 @@ class VantagePointTree:
             visit(0, np.arange(len(queries)), np.zeros(len(queries)))
         return best, far
 
+    def within(self, queries: np.ndarray, reach: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, vector) no further apart than the query's ``reach``, by their indices."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def visit(node: int, who: np.ndarray, bound: np.ndarray) -> None:
+            near = bound * factor <= reach[who]
+            who, bound = who[near], bound[near]
+            if not len(who):
+                return
+            point = self.point[node]
+            own = self.order[slice(*self.span[node])] if point < 0 else np.array([point])
+            d = np.sqrt(np.maximum(0, 2 - 2 * (queries[who] @ self.units[own].T)))
+            q, p = np.nonzero(d <= reach[who][:, None])
+            found.append((who[q], own[p]))
+            if point >= 0:
+                a, b, c, e = self.bounds[node]
+                d = d[:, 0]
+                for half, limit in zip(self.child[node], (np.maximum(d - b, a - d), np.maximum(d - e, c - d)), strict=True):
+                    visit(half, who, np.maximum(bound, limit))
+
+        if len(self.point) and len(queries):
+            visit(0, np.arange(len(queries)), np.zeros(len(queries)))
+        return tuple(np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *found, strict=True))
+
 
 def _units(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max(1, initial=0, keepdims=True)  # else squares of very large or small numbers are lost
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the vectors as they are; of their directions where their squares are beyond double precision."""
+    with np.errstate(all="ignore"):
+        squares = (a * a).sum(1), (b * b).sum(1)
+        score = (a * b).sum(1) / (np.sqrt(squares[0]) * np.sqrt(squares[1]))
+    lost = ~np.isfinite(score) | (np.minimum(*squares) < 1e-290)
+    score[lost] = (_units(a[lost]) * _units(b[lost])).sum(1)
+    return score
+
+
 def _packed(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -163,7 +202,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
 
     Vectors that are null or zero or hold null or non-finite components take no part, nor do null ids; rows that
     repeat id and vector count once, and a query's own id is never its neighbour. Vectors of different lengths are
-    never compared. An empty table has no rows; other columns are not read.
+    never compared. Multiples of one vector are as near as each other, and any number of ties is ranked by id. An empty
+    table has no rows; other columns are not read.
     """
     usable = materialise(_usable(vectors))
     queries = usable.where(F.col("vec_id") % every == 0)
@@ -178,17 +218,17 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
             for tree_bytes, query_bytes in zip(batch.column(0), batch.column(1), strict=True):
                 held, asked = np.load(io.BytesIO(tree_bytes.as_py())), np.load(io.BytesIO(query_bytes.as_py()))
                 points, ids, owner, own, at = held["points"], held["ids"], held["owner"], asked["ids"], asked["points"]
-                # one more than asked for, as a query finds itself; and one against rounding at the border
                 tree = VantagePointTree(**{x: held[x] for x in VantagePointTree.ARRAYS})
-                best, _ = tree.search(_units(at), min(k + 2, len(points)), factor)
-                who, which = np.nonzero(best >= 0)
-                point = best[who, which]
+                # one more than asked for, as a query finds itself; then all that are as near but for rounding, so that ties are whole
+                units = _units(at)
+                _, far = tree.search(units, min(k + 1, len(points)), factor)
+                who, point = tree.within(units, far.max(1) + ROUNDING, factor)
                 first, last = np.searchsorted(owner, point), np.searchsorted(owner, point, side="right")
                 each = np.repeat(np.arange(len(point)), last - first)
                 member = np.arange(len(each)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[each]
                 who, point, found = who[each], point[each], ids[member]
-                a, b = at[who], points[point]
-                score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+                parts = [slice(x, x + PAIRS) for x in range(0, len(who), PAIRS)]
+                score = np.concatenate([np.empty(0), *[_cosine(at[who[x]], points[point[x]]) for x in parts]])
                 other = own[who] != found
                 who, found, score = who[other], found[other], score[other]
                 order = np.lexsort((found, -score, who))
