@@ -42,7 +42,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.packed_matrices(read_table(spark, sf_dir, "documents"), digest=True)
+    return token_output.packed_matrices(read_table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
