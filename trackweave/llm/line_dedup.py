@@ -45,15 +45,16 @@ def _level(count: Column) -> Column:
 
 
 def _rarity_levels(docs: DataFrame) -> DataFrame:
-    """One row: for each bucket of word hashes a level of 1 to 127, rarest first, in the upper bits of a long; from all words
-    of all lines.
+    """One row: for each bucket of word hashes (their upper bits) what puts its level, 1 to 127 and rarest first, in the place of
+    the upper eight bits by an exclusive or; from all words of all lines.
 
     An array of 2**BUCKET_BITS numbers, however large the input. The join is exact under any order
     of words; rarity only keeps candidates few.
     """
     word = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BUCKET_BITS).alias("place")).agg(F.count("*").alias("n"))
-    return small_array(counts.select("place", F.shiftleft(_level(F.col("n")).cast("long"), 56).alias("value")), 1 << BUCKET_BITS)
+    upper = F.shiftright("place", BUCKET_BITS - 8).bitwiseXOR(_level(F.col("n")).cast("long"))
+    return small_array(counts.select("place", F.shiftleft(upper, 56).alias("value")), 1 << BUCKET_BITS)
 
 
 def _sorted_keys(line: Column, level: Column) -> Column:
@@ -61,7 +62,7 @@ def _sorted_keys(line: Column, level: Column) -> Column:
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # few operations for each word, and none that could be null: arrays without nulls sort as plain numbers
     return F.sort_array(F.transform(hashes, lambda h: F.coalesce(
-        F.get(level, F.shiftrightunsigned(h, 64 - BUCKET_BITS)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))))
+        F.get(level, F.shiftrightunsigned(h, 64 - BUCKET_BITS)).bitwiseXOR(h), F.lit(0).cast("long"))))
 
 
 def _mark(keys: Column) -> Column:
