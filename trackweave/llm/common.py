@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -58,7 +61,11 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, if they have no copy of their own."""
+    """Let Python workers import this package from where the driver did, if they have no copy of their own; and let whole
+    texts come to them BATCH_ROWS at a time, unless the session says otherwise: Spark's 10,000 are too many for a
+    worker and its executor where texts are long."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
