@@ -115,6 +115,26 @@ def test_near_duplicates(spark, monkeypatch, width, num, den, small):
     assert sorted(tuple(r) for r in got) == sorted(brute_components(rows, width, num, den))
 
 
+def test_words_of_one_structure_are_told_apart():
+    """Complementary Thue-Morse words, which polynomials modulo a power of two can't tell apart."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert ngram_join.shingles(word, 4).tolist() != ngram_join.shingles(other, 4).tolist()
+    assert not set(ngram_join.shingles(f"x {word} y z w", 4).tolist()) & set(ngram_join.shingles(f"x {other} y z", 4).tolist())
+
+
+@pytest.mark.parametrize("width", [1, 4, 5])
+def test_shingles_of_texts_hashed_together(monkeypatch, width):
+    monkeypatch.setattr(ngram_join, "TOGETHER", 100)
+    rng = random.Random(width)
+    texts = ["".join(rng.choices("ab AB\t\n\x0b é\x00x", k=rng.randint(0, 60))) for _ in range(500)] + [None, "", " ", "long " * 200_000, "a" * 100_000]
+    for text, found in zip(texts, ngram_join.all_shingles(texts, width), strict=True):
+        words = WORDS.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+        assert len(found) == (len({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}) if words else 0)
+
+
 def test_star_of_near_copies(spark):
     """Copies that are linked to their original and not to each other, with a chain at the end."""
     rng = random.Random(3)
