@@ -15,11 +15,13 @@ VIDEO = "|".join([
     r"\(official\s+video\)", r"\(music\s+video\)", r"\(official\s+music\s+video\)", r"\(lyric\s+video\)", r"\(official\s+lyric\s+video\)",
     r"\(live\s+video\)", r"\(performance\s+video\)", r"\(visuali[sz]er\)", r"\(official\s+visuali[sz]er\)", r"\bmv\b", r"official\s+mv\b"])
 VIDEO_SECONDS = (120, 480)
+#: Word boundaries and white space of patterns are Unicode's on every version of Java.
+UNICODE = "(?U)"
 RELEASE_TYPES = ["album", "ep", "single", "playlist"]
 
 
 def is_live(title: Column) -> Column:
-    return F.lower(title).rlike(LIVE)
+    return F.lower(title).rlike(UNICODE + LIVE)
 
 
 def is_music_video(title: Column, tracks: Column, kind: Column, duration: Column) -> Column:
@@ -27,8 +29,8 @@ def is_music_video(title: Column, tracks: Column, kind: Column, duration: Column
     lower = F.lower(title)
     one = F.coalesce(tracks == 1, F.lit(False))
     typed = F.contains(F.lower(F.coalesce(kind, F.lit(""))), F.lit("video"))
-    long_enough = F.coalesce(duration.between(*VIDEO_SECONDS), F.lit(False)) & ~lower.rlike(r"(album|ep)\b")
-    return (tracks.isNull() | (tracks == 1)) & (lower.rlike(VIDEO) | (one & typed) | (one & long_enough))
+    long_enough = F.coalesce(duration.between(*VIDEO_SECONDS), F.lit(False)) & ~lower.rlike(UNICODE + r"(album|ep)\b")
+    return (tracks.isNull() | (tracks == 1)) & (lower.rlike(UNICODE + VIDEO) | (one & typed) | (one & long_enough))
 
 
 def release_type(tab: Column, title: Column, tracks: Column, kind: Column, duration: Column, *explicit: Column) -> Column:
@@ -38,7 +40,7 @@ def release_type(tab: Column, title: Column, tracks: Column, kind: Column, durat
     chain = F.when(tab != "releases", "playlist").when(is_music_video(title, tracks, kind, duration), "music_video")
     chain = chain.when(given.isin("ep", "album", "single"), given)
     for name in ("single", "ep", "album"):
-        chain = chain.when(lower.rlike(rf"[-–]\s*{name}\s*$"), name)
+        chain = chain.when(lower.rlike(UNICODE + rf"[-–]\s*{name}\s*$"), name)
     return chain.when(tracks <= 4, "single").when(tracks <= 7, "ep").otherwise("album")
 
 

@@ -89,12 +89,6 @@ def release_buckets(items: DataFrame) -> DataFrame:
     return items.groupBy(C.release_bucket(F.col("release_type")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def job_snapshot(items: DataFrame) -> DataFrame:
-    """All items of each job as one array, in order; a job is one channel's list."""
-    names = [c for c in items.columns if c not in ("processing_job_id", "progress")]
-    return items.groupBy("processing_job_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("metadata_results"), F.count("*").alias("processed_items"))
-
-
 def job_snapshot_parts(items: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
     """All items of each job in order as rows (processing_job_id, part, begin, end, metadata_results).
 
