@@ -44,13 +44,21 @@ def batch_ids(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("outcome = 'queued'").groupBy("batch").agg(F.sort_array(F.collect_list("id")).alias("download_ids"))
 
 
-def _changed(rows: DataFrame, when: Column, **values: Column) -> DataFrame:
+def utc_now() -> Column:
+    """The time of the query in UTC, without a zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
+
+
+def _changed(rows: DataFrame, when: Column, now: Column | None = None, **values: Column) -> DataFrame:
+    """``rows`` with new values where ``when`` holds; a column ``updated_at`` is set to ``now`` in these rows."""
+    if "updated_at" in rows.columns:
+        values["updated_at"] = utc_now() if now is None else now
     return rows.withColumns({k: F.when(when, v).otherwise(F.col(k)) for k, v in values.items()})
 
 
-def resume(rows: DataFrame) -> DataFrame:
+def resume(rows: DataFrame, now: Column | None = None) -> DataFrame:
     """After a restart what was downloading is queued again; what was processing stays as it is."""
-    return _changed(rows, F.col("status") == "downloading", status=F.lit("queued"), progress=F.lit(0.0))
+    return _changed(rows, F.col("status") == "downloading", now, status=F.lit("queued"), progress=F.lit(0.0))
 
 
 def pending(rows: DataFrame) -> DataFrame:
@@ -58,16 +66,16 @@ def pending(rows: DataFrame) -> DataFrame:
     return resume(rows).where("status = 'queued'").orderBy(F.asc_nulls_first("created_at"), "id")
 
 
-def cancel(rows: DataFrame, which: Column) -> DataFrame:
-    return _changed(rows, which & F.col("status").isin(P.CANCELLABLE), status=F.lit("cancelled"))
+def cancel(rows: DataFrame, which: Column, now: Column | None = None) -> DataFrame:
+    return _changed(rows, which & F.col("status").isin(P.CANCELLABLE), now, status=F.lit("cancelled"))
 
 
-def cancel_job(jobs: DataFrame, which: Column) -> DataFrame:
-    return _changed(jobs, which & F.col("status").isin(P.CANCELLABLE_JOBS), status=F.lit("cancelled"))
+def cancel_job(jobs: DataFrame, which: Column, now: Column | None = None) -> DataFrame:
+    return _changed(jobs, which & F.col("status").isin(P.CANCELLABLE_JOBS), now, status=F.lit("cancelled"))
 
 
-def retry(rows: DataFrame, which: Column) -> DataFrame:
-    return _changed(rows, which & F.col("status").isin(P.RETRYABLE), status=F.lit("queued"), progress=F.lit(0.0), error_message=F.lit(None).cast("string"))
+def retry(rows: DataFrame, which: Column, now: Column | None = None) -> DataFrame:
+    return _changed(rows, which & F.col("status").isin(P.RETRYABLE), now, status=F.lit("queued"), progress=F.lit(0.0), error_message=F.lit(None).cast("string"))
 
 
 def bulk_delete(rows: DataFrame, status: str) -> DataFrame:
@@ -75,20 +83,22 @@ def bulk_delete(rows: DataFrame, status: str) -> DataFrame:
     return rows.where(F.col("status") != status)
 
 
-def complete(rows: DataFrame, results: DataFrame) -> DataFrame:
+def complete(rows: DataFrame, results: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows after results (id, title, artist, album, done_tracks, total_tracks): the track counts are always
-    overwritten, the names only by what is there."""
+    overwritten, the names only by what is there; ``updated_at``, if there is one, becomes ``now``."""
     new = results.select("id", *[F.col(c).alias(f"new_{c}") for c in ("title", "artist", "album", "done_tracks", "total_tracks")], F.lit(True).alias("done"))
     joined = rows.join(new, "id", "left")
     kept = {c: F.coalesce(f"new_{c}", c) for c in ("title", "artist", "album")}
     over = {c: F.when(F.col("done"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("done_tracks", "total_tracks")}
     state = {"status": F.when(F.col("done"), "completed").otherwise(F.col("status")), "progress": F.when(F.col("done"), 100.0).otherwise(F.col("progress"))}
+    if "updated_at" in rows.columns:
+        state["updated_at"] = F.when(F.col("done"), utc_now() if now is None else now).otherwise(F.col("updated_at"))
     return joined.withColumns(kept | over | state).select(*rows.columns)
 
 
-def invalid_transitions(events: DataFrame) -> DataFrame:
-    """(key, ts, status) -> events whose state may not follow the one before."""
-    before = F.lag("status").over(Window.partitionBy("key").orderBy("ts", "status"))
+def invalid_transitions(events: DataFrame, tie: str = "seq") -> DataFrame:
+    """(key, ts, status, ``tie``) -> events whose state may not follow the one before, in the order of ``ts`` and ``tie``."""
+    before = F.lag("status").over(Window.partitionBy("key").orderBy("ts", tie))
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     return events.withColumn("was", before).where(
         F.col("was").isNotNull() & (F.col("was") != F.col("status")) & ~F.array_contains(F.try_element_at(allowed, F.col("was")), F.col("status")))

@@ -139,11 +139,11 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.latest(X.status_events(spark, sf_dir)).select("key", "status", "seq", "value")
 
 
-def _latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _latest_stream(spark: SparkSession, sf_dir: str, every: str | None = None) -> DataFrame:
     schema = read_table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     latest = T.latest(X.as_status_events(stream)).select("key", "status", "seq", "value")
-    return T.run_available(latest, spark, f"{shared_folder(spark).rstrip('/')}/latest-{uuid.uuid4().hex}")
+    return T.run(latest, spark, f"{shared_folder(spark).rstrip('/')}/latest-{uuid.uuid4().hex}", every)
 
 
 def _snapshot_then_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,5 +206,6 @@ QUERIES = {
     "frame_routing": (lambda s, d: T.route(T.parse_frames(_frames(s)), "download_update").select("id", "status", "progress"), "select * from (values (1::bigint, 'queued', 0.0::double), (3, 'failed', 12.5)) t(id, status, progress)"),
     "latest_status_batch": (_latest, LATEST_SQL),
     "latest_status_stream": (_latest_stream, LATEST_SQL),
+    "polled_status_stream": (lambda s, d: _latest_stream(s, d, "2 seconds"), LATEST_SQL),
     "snapshot_then_deltas": (_snapshot_then_deltas, LATEST_SQL),
 }

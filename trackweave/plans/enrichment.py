@@ -29,26 +29,33 @@ def full_metadata(playlists: DataFrame) -> DataFrame:
         "playlist_count", "release_date", "release_year", "description", "availability", "modified_date", "view_count", "like_count")
 
 
-def flat_entries(channels: DataFrame, tab: str = "releases", count_entries: bool = True) -> DataFrame:
+def flat_entries(channels: DataFrame, tab: str = "releases", count_entries: bool = True, live: bool = True) -> DataFrame:
     """Channel records -> one row for each entry with a url or an id, in order: pos, id, url, title, track_count, ...
 
-    ``count_entries``: without any count, the entries that the record itself lists are counted.
+    ``count_entries``: without any count, the entries that the record itself lists are counted. ``live``: keep live
+    albums. ``nth`` and ``of`` number the kept entries within their record. All this is done inside each record, which
+    lists one channel, so nothing is shuffled.
     """
+    texts = {"release_type": "explicit", "album_type": "album_type", "playlist_type": "playlist_type", "_type": "kind", "duration": "duration"}
+
+    def named(e: Column, pos: Column) -> Column:
+        key = S.first_true(e["id"], e["playlist_id"])
+        link = S.first_true(e["url"], e["webpage_url"], F.when(S.first_true(key, F.lit(None).cast("string")).isNotNull(), S.playlist_url(key)))
+        counts = S.first_true(*[e[n] for n in ("playlist_count", "n_entries", "entry_count", "video_count", "track_count")], empty=0)
+        if count_entries:
+            counts = F.coalesce(counts, F.when(F.size(e["entries"]) > 0, F.size(e["entries"]).cast("long")))
+        thumb = S.first_true(F.try_element_at(e["thumbnails"], F.lit(-1))["url"], e["thumbnail"])
+        return F.when(e.isNotNull(), F.struct(
+            pos.alias("pos"), key.alias("id"), link.alias("url"), thumb.alias("thumbnail"), counts.alias("track_count"),
+            S.first_true(e["title"], F.lit(UNTITLED)).alias("title"), F.lit(tab).alias("source_tab"), *[e[n].alias(to) for n, to in texts.items()]))
+
+    kept = F.filter(F.transform("entries", named), lambda x: F.coalesce(x["url"], F.lit("")) != "")
+    if not live:
+        kept = F.filter(kept, lambda x: ~C.is_live(x["title"]))
     rows = channels.select(S.first_true(F.col("channel"), F.col("uploader"), F.col("title")).alias("channel"),
-                           S.first_true(F.col("channel_url"), F.col("uploader_url")).alias("channel_url"), F.posexplode("entries").alias("pos", "e")).where("e is not null")
-    e = {n: F.col(f"e.{n}") for n in ("id", "playlist_id", "url", "webpage_url", "thumbnail", "thumbnails", "title", "entries", "release_type",
-                                      "album_type", "playlist_type", "_type", "duration")}
-    key = S.first_true(e["id"], e["playlist_id"])
-    link = S.first_true(e["url"], e["webpage_url"], F.when(S.first_true(key, F.lit(None).cast("string")).isNotNull(), S.playlist_url(key)))
-    counts = S.first_true(*[F.col(f"e.{n}") for n in ("playlist_count", "n_entries", "entry_count", "video_count", "track_count")], empty=0)
-    if count_entries:
-        counts = F.coalesce(counts, F.when(F.size(e["entries"]) > 0, F.size(e["entries"]).cast("long")))
-    thumb = S.first_true(F.try_element_at(e["thumbnails"], F.lit(-1))["url"], e["thumbnail"])
-    return rows.select(
-        "channel", "channel_url", "pos", key.alias("id"), link.alias("url"), thumb.alias("thumbnail"), counts.alias("track_count"),
-        S.first_true(e["title"], F.lit(UNTITLED)).alias("title"), F.lit(tab).alias("source_tab"), e["release_type"].alias("explicit"),
-        e["album_type"].alias("album_type"), e["playlist_type"].alias("playlist_type"), e["_type"].alias("kind"), e["duration"].alias("duration")
-    ).where(F.coalesce("url", F.lit("")) != "")
+                           S.first_true(F.col("channel_url"), F.col("uploader_url")).alias("channel_url"), kept.alias("kept"))
+    rows = rows.select("channel", "channel_url", F.size("kept").alias("of"), F.posexplode("kept").alias("nth", "e"))
+    return rows.select("channel", "channel_url", (F.col("nth") + 1).alias("nth"), "of", "e.*")
 
 
 def _classified(entries: DataFrame, full: DataFrame, extra: list[Column]) -> DataFrame:
@@ -74,10 +81,7 @@ def processed_items(channels: DataFrame, full: DataFrame, job: str) -> DataFrame
 
     Progress is 10 to 90 over all entries that are not live, also those left out later.
     """
-    entries = flat_entries(channels, count_entries=False).where(~C.is_live(F.col("title")))
-    # a job is one channel, so its window is bounded by the channel's list
-    own = Window.partitionBy("channel_url")
-    entries = entries.withColumn("progress", 10 + F.row_number().over(own.orderBy("pos")) / F.count("*").over(own) * 80)
+    entries = flat_entries(channels, count_entries=False, live=False).withColumn("progress", 10 + F.col("nth") / F.col("of") * 80)
     return _classified(entries, full, [F.lit(job).alias("processing_job_id"), F.col("progress")])
 
 

@@ -49,7 +49,7 @@ def _reduced(rows: DataFrame) -> DataFrame:
 
 
 def _events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.invalid_transitions(X.status_events(spark, sf_dir).select("key", "ts", "status")).groupBy("was", "status").agg(F.count("*").alias("n"))
+    return Q.invalid_transitions(X.status_events(spark, sf_dir).select("key", "ts", "status"), tie="status").groupBy("was", "status").agg(F.count("*").alias("n"))
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schemas import FRAME
 
@@ -32,12 +33,32 @@ def with_snapshot(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return latest(snapshot.unionByName(events))
 
 
-def run_available(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Run a complete-mode stream over what is there now; each batch's result replaces the table at ``path``."""
+def run(stream: DataFrame, spark: SparkSession, path: str, every: str | None = None) -> DataFrame:
+    """Run an aggregation by ``key`` over what is there now and return the last row of each key.
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
+    In update mode each batch writes the keys it changed to a folder of its own, so that a repeated batch replaces
+    itself and no reader meets a table that is being overwritten. ``every``: poll at that interval, such as
+    "2 seconds", until all that is there was read; without it all available data is read at once.
+    """
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(store).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(store)
+    if every is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = writer.trigger(processingTime=every).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return current(spark, stream.schema, path)
+
+
+def current(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """What the batches under ``path`` have written so far: of each key the row of its last batch."""
+    versions = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", f"{path}/table").parquet(f"{path}/table")
+    rest = [c for c in schema.names if c != "key"]
+    newest = versions.groupBy("key").agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select("key", "r.*").select(*schema.names)
