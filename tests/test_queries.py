@@ -61,3 +61,51 @@ def test_job_snapshot_takes_all_items(spark):
 def test_entries_nested_takes_all_orders(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert registry.queries()["entries_nested_whole"](spark, SF).count() == lines.select("l_orderkey").distinct().count()
+
+
+def test_ids_follow_the_order(spark):
+    from trackweave.sources.storage import with_ids
+
+    rows = spark.createDataFrame([((k * 7919) % 1000,) for k in range(1000)], "v long").repartition(7)
+    got = {r["v"]: r["id"] for r in with_ids(rows, "v", start=5).collect()}
+    assert got == {v: v + 5 for v in range(1000)}
+    assert with_ids(rows.limit(0), "v").count() == 0
+
+
+def test_stream_keeps_the_last_row_of_each_key(spark, tmp_path):
+    from trackweave.streaming import status
+
+    schema = "key long, ts timestamp_ntz, seq long, status string"
+    at = datetime.datetime(2024, 1, 1)
+    batches = [[(1, at, 1, "queued"), (2, at, 2, "queued")], [(1, at, 3, "downloading"), (3, at, 4, "queued")], [(1, at, 0, "failed")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{k}")
+    for name, every in (("now", None), ("polled", "1 second")):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+        got = status.run(status.latest(stream), spark, f"file://{tmp_path}/{name}", every).collect()
+        assert {r["key"]: (r["seq"], r["status"]) for r in got} == {1: (3, "downloading"), 2: (2, "queued"), 3: (4, "queued")}
+
+
+def test_state_changes_leave_other_rows_alone(spark):
+    from pyspark.sql import functions as F
+
+    from trackweave.operators import queue
+
+    old, now = datetime.datetime(2020, 1, 1), datetime.datetime(2025, 1, 1)
+    rows = spark.createDataFrame([(1, "queued", 3.0, None, old), (2, "failed", 4.0, "x", old), (3, None, 5.0, None, None)],
+                                 "id long, status string, progress double, error_message string, updated_at timestamp_ntz")
+    got = {r["id"]: tuple(r)[1:] for r in queue.retry(rows, F.lit(True), F.lit(now).cast("timestamp_ntz")).collect()}
+    assert got == {1: ("queued", 3.0, None, old), 2: ("queued", 0.0, None, now), 3: (None, 5.0, None, None)}
+    later = {r["id"]: r["updated_at"] for r in queue.cancel(rows, F.lit(True)).collect()}
+    assert later[1] > now and later[2] == old and later[3] is None
+
+
+def test_entries_are_numbered_within_each_record(spark):
+    from trackweave.plans import enrichment
+    from trackweave.schemas import CHANNEL
+
+    entry = CHANNEL["entries"].dataType.elementType.names
+    titles = ["a", "Live at b", None, "c"]
+    rows = [(None, "U", None, None, None, [None] + [tuple({"id": str(k), "title": t}.get(f) for f in entry) for k, t in enumerate(titles)]), (None, None, None, "x", None, None), (None, None, None, "y", None, [])]
+    got = enrichment.flat_entries(spark.createDataFrame(rows, CHANNEL), live=False).collect()
+    assert [(r["pos"], r["nth"], r["of"], r["title"]) for r in got] == [(1, 1, 3, "a"), (3, 2, 3, "Unknown Playlist"), (4, 3, 3, "c")]

@@ -179,3 +179,22 @@ STATE_LABELS = {"queued": "Queued", "downloading": "Downloading", "processing":
 def state_label(status: Column) -> Column:
     pairs = [F.lit(x) for kv in STATE_LABELS.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), status), status)
+
+
+#: The colours of states and of release types, and what unknown ones have.
+STATE_COLOURS = {"queued": "#F59E0B", "downloading": "#8B5CF6", "processing": "#8B5CF6", "completed": "#10B981", "failed": "#EF4444", "cancelled": "#6B7280"}
+UNKNOWN_STATE = "queued"
+RELEASE_COLOURS = {"album": "primary", "ep": "info", "single": "secondary", "playlist": "default"}
+UNKNOWN_RELEASE = "default"
+
+
+def _looked_up(table: dict[str, str], key: Column, other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
+
+
+def state_colour(status: Column) -> Column:
+    return _looked_up(STATE_COLOURS, status, STATE_COLOURS[UNKNOWN_STATE])
+
+
+def release_colour(kind: Column) -> Column:
+    return _looked_up(RELEASE_COLOURS, kind, UNKNOWN_RELEASE)

@@ -48,16 +48,16 @@ def existing_downloads(requests: DataFrame, downloads: DataFrame) -> DataFrame:
     return L.wire_download(L.latest_per(active, "url"))
 
 
-def cancel_download(downloads: DataFrame, key: int) -> DataFrame:
-    return Q.cancel(downloads, F.col("id") == key)
+def cancel_download(downloads: DataFrame, key: int, now: Column | None = None) -> DataFrame:
+    return Q.cancel(downloads, F.col("id") == key, now)
 
 
-def retry_download(downloads: DataFrame, key: int) -> DataFrame:
-    return Q.retry(downloads, F.col("id") == key)
+def retry_download(downloads: DataFrame, key: int, now: Column | None = None) -> DataFrame:
+    return Q.retry(downloads, F.col("id") == key, now)
 
 
-def retry_all(downloads: DataFrame) -> DataFrame:
-    return Q.retry(downloads, F.col("status") == "failed")
+def retry_all(downloads: DataFrame, now: Column | None = None) -> DataFrame:
+    return Q.retry(downloads, F.col("status") == "failed", now)
 
 
 def delete_downloads(downloads: DataFrame, status: str) -> DataFrame:
@@ -110,8 +110,8 @@ def job_items(items: DataFrame, job: str, limit: int = DEFAULTS.items_page, offs
     return L.wire_item(L.page(L.oldest_first(items.where(F.col("processing_job_id") == job)), limit, offset, DEFAULTS.items_page_most))
 
 
-def cancel_job(jobs: DataFrame, job: str) -> DataFrame:
-    return Q.cancel_job(jobs, F.col("id") == job)
+def cancel_job(jobs: DataFrame, job: str, now: Column | None = None) -> DataFrame:
+    return Q.cancel_job(jobs, F.col("id") == job, now)
 
 
 def select_items(items: DataFrame, ids: DataFrame, selected: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -70,9 +70,10 @@ def _classified(entries: DataFrame, full: DataFrame, extra: list[Column]) -> Dat
 
 
 def channel_releases(channels: DataFrame, full: DataFrame) -> DataFrame:
-    """The listing path: the first entry of each id (or url), then no live albums, enriched and without music videos."""
+    """The listing path: a channel's first entry of each id (or url), then no live albums, enriched and without music videos."""
     entries = flat_entries(channels)
-    entries = first_per(entries, S.first_true(F.col("id"), F.col("url")), F.col("pos")).where(~C.is_live(F.col("title")))
+    key = F.struct("channel_url", S.first_true(F.col("id"), F.col("url")))
+    entries = first_per(entries, key, F.col("pos")).where(~C.is_live(F.col("title")))
     return _classified(entries, full, [])
 
 
