@@ -51,14 +51,15 @@ def _touched_sql(which: str, to: str) -> str:
       count(error_message) filter (not ({which}) or '{to}' <> 'queued') as errors from downloads group by 1"""
 
 
-# requests for downloads: some with blanks around the url, some of another scheme
-REQUESTS_SQL = """requests as (select case when idx % 11 = 0 then 'ftp://bad/' || idx else url end as url, idx from candidates)"""
+# requests for downloads: some with blanks around the url, some of another scheme, a quarter of urls that no download has
+REQUESTS_SQL = """requests as (select case when idx % 11 = 0 then 'ftp://bad/' || idx when idx % 4 = 1 then 'https://music.youtube.com/playlist?list=N' || idx % 800 else url end as url, idx from candidates)"""
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("idx")
-    url = F.when(key % 11 == 0, F.concat(F.lit("ftp://bad/"), key.cast("string"))).when(key % 13 == 0, F.concat(F.lit("  "), "url", F.lit(" "))).otherwise(F.col("url"))
-    return X.candidates(spark, sf_dir).select(url.alias("url"), "idx")
+    url = F.when(key % 4 == 1, F.concat(F.lit("https://music.youtube.com/playlist?list=N"), (key % 800).cast("string"))).otherwise(F.col("url"))
+    blank = F.when(key % 13 == 0, F.concat(F.lit("  "), url, F.lit(" "))).otherwise(url)
+    return X.candidates(spark, sf_dir).select(F.when(key % 11 == 0, F.concat(F.lit("ftp://bad/"), key.cast("string"))).otherwise(blank).alias("url"), "idx")
 
 
 def _created(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,7 @@ def full_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").where(part % 3 == 0).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FULL_PLAYLIST.fields])
 
 
-INFO_SQL = """info as (select *, case when many then n_list - (n_list >= 2)::int else 1 end as n_there from (select c_custkey as k, 'https://music.youtube.com/playlist?list=C' || c_custkey as url,
+INFO_SQL = """info as (select *, case when many then n_list - (n_list >= 2)::int else 1 end as n_there from (select c_custkey as k, 'https://music.youtube.com/playlist?list=' || case when c_custkey % 4 = 1 and c_custkey < 800 then 'N' else 'C' end || c_custkey as url,
   c_custkey % 2 = 0 as many, case when c_custkey % 4 = 0 then 'OLAK5uy_' else 'PL' end || c_custkey as list_id, case when c_custkey % 7 <> 0 then c_name end as raw_title,
   case when c_custkey % 3 <> 0 then 'Artist ' || c_custkey end as raw_artist, case when c_custkey % 5 = 0 then '' else 'Up & Co ' || c_nationkey end as uploader,
   case when c_custkey % 15 <> 0 then 'Channel ' || c_nationkey end as channel, case when c_custkey % 6 <> 0 then 'Album ' || c_custkey end as raw_album,
@@ -180,7 +180,7 @@ def info_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.when(nation % 5 > 0, F.transform(F.sequence(F.lit(1), nation % 5), lambda i: F.when(i != 2, F.struct(
         text(i).alias("id"), F.when(key % 10 != 0, F.concat(F.lit("EA"), text(i))).alias("artist"), F.concat(F.lit("EU"), text(i)).alias("uploader"), F.lit("u").alias("url")))))
     given = {
-        "url": F.concat(F.lit("https://music.youtube.com/playlist?list=C"), text(key)), "_type": F.when(key % 2 == 0, "playlist"),
+        "url": F.concat(F.lit("https://music.youtube.com/playlist?list="), F.when((key % 4 == 1) & (key < 800), "N").otherwise("C"), text(key)), "_type": F.when(key % 2 == 0, "playlist"),
         "id": F.concat(F.when(key % 4 == 0, "OLAK5uy_").otherwise("PL"), text(key)), "title": F.when(key % 7 != 0, F.col("c_name")), "artist": F.when(key % 3 != 0, F.concat(F.lit("Artist "), text(key))),
         "uploader": F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("Up & Co "), text(nation))), "channel": F.when(key % 15 != 0, F.concat(F.lit("Channel "), text(nation))),
         "album": F.when(key % 6 != 0, F.concat(F.lit("Album "), text(key))), "playlist_count": F.when(key % 8 == 0, 0).otherwise(key % 12), "entries": F.when(key % 2 == 0, entries)}
