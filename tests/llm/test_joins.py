@@ -1,8 +1,10 @@
 """Joins, searches and page operators against brute force."""
 
 import html
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -287,6 +289,44 @@ def test_url_counts_are_exact(spark):
     assert sorted(map(tuple, counts.T.tolist())) == sorted(map(tuple, want.values()))
 
 
+@pytest.mark.parametrize("bits", [2, 12])
+def test_url_scores_equal_a_plain_model(spark, monkeypatch, bits):
+    """Blocks of four URLs and of all; among them a very long URL, repeated ones and non-ASCII."""
+    common.ensure_importable(spark)
+    monkeypatch.setattr(url_filter, "BLOCK_BITS", bits)
+    rng = random.Random(8)
+    words = ["news", "wiki", "é", "pills", "a-1", "中文"]
+    urls = [f"http://{rng.choice(words)}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['de', 'fr', 'x'])}/{'/'.join(rng.choices(words, k=3))}" for _ in range(120)]
+    urls += [urls[0], "http://long.net/" + "ab/" * 20_000, "http://long.org/" + "cd/" * 20_000, None, "x"]
+    rules = [("org", "/", "allow"), ("com", "/", "block")]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), rules).collect()
+    texts = {r["page_id"]: r["host"] + r["path"] for r in got}
+    seen = [{}, {}]
+    for r in got:
+        if r["rule"] and zlib.crc32(texts[r["page_id"]].encode()) % 5:
+            line = b"\2" * 4 + texts[r["page_id"]].encode() + b"\3"
+            for at in range(4, len(line)):
+                for k in range(5):
+                    for key in ((k, line[at - k : at]), (k, line[at - k : at + 1], "gram")):
+                        mine = seen[r["verdict"] == "allow"]
+                        mine[key] = mine.get(key, 0) + 1
+
+    def plain(text):
+        line, total = b"\2" * 4 + text.encode() + b"\3", 0.0
+        for at in range(4, len(line)):
+            p = [1 / 256, 1 / 256]
+            for k in range(5):
+                p = [(seen[c].get((k, line[at - k : at + 1], "gram"), 0) + 2.0 * p[c]) / (seen[c].get((k, line[at - k : at]), 0) + 2.0) for c in (0, 1)]
+            total += math.log(p[1]) - math.log(p[0])
+        return total / (len(line) - 4)
+
+    assert len(got) == len(urls)
+    for r in got:
+        assert r["score"] == pytest.approx(plain(texts[r["page_id"]]), abs=1e-9)
+    allowed = [r["score"] for r in got if not r["rule"] and r["verdict"] == "allow"]
+    assert min(allowed, default=math.inf) > max((r["score"] for r in got if not r["rule"] and r["verdict"] == "block"), default=-math.inf)
+
+
 def brute_article(source):
     m = re.search(r"<article>(.*?)(</article>|\Z)", source, re.S)
     body = re.sub(r"<[^>]*(>|\Z)", "", re.sub(r"</?(p|h1|br)\b[^>]*(>|\Z)", " ", m[1])) if m else ""

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_table, materialise
 from .urls import host_of, path_of
 
 #: (host, path, verdict)
@@ -18,6 +19,8 @@ ORDER, SMOOTHING = 4, 2.0
 #: Scores are calibrated in so many bins for each unit, up to this bound either way.
 BINS, BOUND = 256, 8
 _START, _END = 2, 3
+#: URLs of a block, as a power of two: a block's distinct contexts and grams are looked up together.
+BLOCK_BITS = 12
 
 
 def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -65,11 +68,11 @@ def _counts_of(model: Model, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == distinct, counts[:, at], 0)[:, inverse]
 
 
-def count_model(labelled: DataFrame) -> Model:
-    """Exact counts of the contexts and grams of all rows of ``labelled`` (text, cls 0 or 1).
+def count_table(labelled: DataFrame) -> DataFrame:
+    """(key, r, a): exact counts of the contexts and grams of all rows of ``labelled`` (text, cls 0 or 1).
 
-    Each task counts its batches; the sums by key reach the driver, a row for each distinct context or gram, so
-    they grow with the input's distinct grams.
+    Each task counts its batches, so that what is shuffled is a row for each distinct key of a batch. The table has a row
+    for each distinct context or gram, and stays on Spark however many there are.
     """
 
     def run(batches):
@@ -84,12 +87,20 @@ def count_model(labelled: DataFrame) -> Model:
             a = np.bincount(inverse.ravel()[accepted == 1], minlength=len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(both - a), pa.array(a)], names=["key", "r", "a"])
 
-    found = labelled.select("text", "cls").mapInArrow(run, "key long, r long, a long").groupBy("key").agg(F.sum("r").alias("r"), F.sum("a").alias("a")).toArrow()
+    return labelled.select("text", "cls").mapInArrow(run, "key long, r long, a long").groupBy("key").agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
+
+
+def _model_of(found: pa.Table) -> Model:
     keys = found["key"].to_numpy()
     order = np.argsort(keys)
     return keys[order], np.stack([found[c].to_numpy()[order].astype(np.float64) for c in "ra"])
 
 
+def count_model(labelled: DataFrame) -> Model:
+    """The counts of count_table in one place: for few URLs, to look at or to score single ones by log_ratio."""
+    return _model_of(count_table(labelled).toArrow())
+
+
 def log_ratio(texts: list[str], model: Model) -> np.ndarray:
     """Mean over each text's bytes and its end of ln p(accepted) - ln p(rejected)."""
     if not texts:
@@ -102,18 +113,27 @@ def log_ratio(texts: list[str], model: Model) -> np.ndarray:
     return np.bincount(text, logs[1] - logs[0], len(texts)) / np.bincount(text, minlength=len(texts))
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` with the column ``score`` of the column ``text``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    at = rows.columns.index("text")
+def _scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` (block, text, ...), as they were written, with the column ``score``.
 
-    def run(batches):
+    The distinct contexts and grams of each block are joined with their counts, and each block is scored with those
+    that it needs: no task holds more than a block and its keys, and nothing is sent to all tasks.
+    """
+
+    def needed(batches):
         for batch in batches:
-            score = log_ratio(batch.column(at).to_pylist(), sent.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            blocks, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for block in np.unique(blocks):
+                _, contexts, grams = _contexts([t for t, x in zip(texts, blocks, strict=True) if x == block])
+                keys = np.unique(np.concatenate([contexts, grams]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys)], names=["block", "key"])
+
+    def score(own: pa.Table, known: pa.Table) -> pa.Table:
+        return own.append_column("score", pa.array(log_ratio(own["text"].to_pylist(), _model_of(known)), pa.float64()))
 
+    keys = rows.select("block", "text").mapInArrow(needed, "block long, key long").distinct().join(counts, "key")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(score, f"{kinds}, score double")
 
 
 def calibrate(bins: dict[int, tuple[int, int]]) -> float:
@@ -141,25 +161,28 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     The longest fitting rule decides. URLs that a rule allows or blocks are also what the models of accepted
     and rejected URLs are counted from, all of them but a fifth, on which the threshold of the mean log-likelihood
     difference is calibrated; a URL without a rule is allowed at that threshold or above. Without examples of
-    either class the score is 0 for all and allows. The counts of distinct contexts and grams and the bins reach the driver.
+    either class the score is 0 for all and allows. Only the bins, of a fixed number, reach the driver.
 
-    A null url or one without ``://`` has an empty host and path and no rule. Null and repeated ids and
-    repeated rows each get their row; an empty table has none; other columns are not read.
+    A null url or one without ``://`` has an empty host and path and no rule. A URL is judged whole, however long. URLs
+    with equal host and path get equal scores. Null and repeated ids and repeated rows each get their row; an empty
+    table has none; other columns are not read.
     """
     known = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     known = known.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
-    labelled = known.where("ruled is not null").select("text", (F.col("ruled") == "allow").cast("int").alias("cls"))
+    rows = materialise(known.select("*", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")))
     held = F.crc32(F.col("text").cast("binary")) % 5 == 0
-    model = count_model(labelled.where(~held))
-    examples = bool(_counts_of(model, np.zeros(1, np.int64)).all())  # the key of the empty context is 0
-    if not examples:
-        model = (np.empty(0, np.int64), np.empty((2, 0)))
-    at = F.greatest(F.lit(-BINS * BOUND), F.least(F.lit(BINS * BOUND), F.floor(F.col("score") * BINS))).cast("int")
-    bins = _scored(labelled.where(held), model).groupBy(at.alias("bin")).agg(
-        F.count_if(F.col("cls") == 0).alias("r"), F.count_if(F.col("cls") == 1).alias("a")).collect()
-    threshold = calibrate({x["bin"]: (x["r"], x["a"]) for x in bins}) if examples else 0.0
-    out = _scored(known, model)
+    counts = materialise(count_table(rows.where("ruled is not null").where(~held).select("text", (F.col("ruled") == "allow").cast("int").alias("cls"))))
+    seen = counts.where("key = 0").first()  # the key of the empty context
+    out, threshold = rows.withColumn("score", F.lit(0.0)), 0.0
+    if seen and seen["r"] and seen["a"]:
+        out = materialise(_scored(rows, counts))
+        at = F.greatest(F.lit(-BINS * BOUND), F.least(F.lit(BINS * BOUND), F.floor(F.col("score") * BINS))).cast("int")
+        bins = out.where("ruled is not null").where(held).groupBy(at.alias("bin")).agg(
+            F.count_if(F.col("ruled") == "block").alias("r"), F.count_if(F.col("ruled") == "allow").alias("a")).collect()
+        threshold = calibrate({x["bin"]: (x["r"], x["a"]) for x in bins})
+        drop_table(rows)
+    drop_table(counts)
     judged = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score")
 
