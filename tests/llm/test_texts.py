@@ -91,6 +91,22 @@ def test_patterns_use_each_piece_once(counts):
     assert used == counts and len(patterns) <= 2 * max(1, len(counts))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 300), st.data())
+def test_patterns_fill_like_piece_by_piece(capacity, data):
+    """The same free room as placing one piece after the other, longest first, where there is most room."""
+    pieces = sorted(data.draw(st.lists(st.integers(1, capacity), max_size=200)), reverse=True)
+    rooms = []
+    for length in pieces:
+        at = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+        if at is None or rooms[at] < length:
+            rooms.append(capacity - length)
+        else:
+            rooms[at] -= length
+    patterns = packing.pack_histogram({n: pieces.count(n) for n in set(pieces)}, capacity)
+    assert sorted(capacity - sum(pattern) for pattern, n in patterns for _ in range(n)) == sorted(rooms)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=60))
 def test_best_fit_decreasing(sizes):

@@ -160,7 +160,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256 (of the comma-joined sorted items), contaminated."""
+    """Per document: n_words, n_hit, n_items, items_sha256 (of the comma-joined sorted items), contaminated.
+
+    Nulls, long texts, ties, repeated rows and empty tables: see find_contamination. Without items the hash is that of an
+    empty string. Other columns of the documents are not returned.
+    """
     found = find_contamination(docs, benchmark, width)
     return found.select(
         "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),

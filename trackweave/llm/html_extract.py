@@ -238,8 +238,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     with any share of the pages is spread over all tasks; the second joins each page with its host's tree, which Spark
     broadcasts only if the written table is small enough, and cuts the page.
 
-    A null or empty html gives an empty text; so does a page without text. A null url or one without a host shares the
-    tree of the empty host. Repeated rows each get their row; an empty table has none; other columns are not read.
+    A null or empty html gives an empty text; so does a page without text. A page is parsed and returned whole, however
+    long. A null url or one without a host shares the tree of the empty host. Null and repeated ids and repeated rows each
+    get their row, and repeated pages count in their tree each time; which of them comes first changes nothing. An
+    empty table has none; other columns are not read, whatever they are named.
     """
     known = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     trees = materialise(site_styles(known))

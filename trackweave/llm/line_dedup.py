@@ -250,7 +250,13 @@ def removed_lines_of_any_length(docs: DataFrame, num: int = 4, den: int = 5) ->
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
-    """One row for each document: doc_id, n_lines, n_removed and the removed lines' numbers (from 0); see dedup_lines."""
+    """One row for each document: doc_id, n_lines, n_removed and the removed lines' numbers (from 0); see dedup_lines.
+
+    ``n_lines`` counts lines of ``min_words`` words or more, and only these are removed. A null text has no lines, an empty
+    one none that count; texts and lines are taken whole, however long. Of equal or similar lines the first stays, in the
+    order that dedup_lines states. Rows that repeat id and text get the same result each; null ids come last; an empty
+    table has no rows; columns other than doc_id and text are not read, whatever they are named.
+    """
     kept = first_lines(docs, num, den, min_words)
     flags = _keyed(docs).select("row", F.when(F.col("text").isNull(), F.array().cast("array<boolean>")).otherwise(F.transform(
         F.split("text", "\n"), lambda line: has_words(line, min_words))).alias("eligible"))

@@ -110,8 +110,10 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, separator: int = SEPAR
     the task plus the sum over earlier tasks, and its rank picks the slot of a pattern: no length is
     gathered in one place, whatever share of the pieces it has.
 
-    A null text is an empty one: the separator alone. Null and repeated ids and repeated rows are packed
-    each for itself; an empty table has no rows. Other columns are not read.
+    A null text is an empty one: the separator alone. A text of any length is cut into full sequences and a rest, and
+    loses nothing. Pieces of equal length are alike to the patterns; they are dealt out in the order of tasks and rows.
+    Null and repeated ids and repeated rows are packed each for itself; an empty table has no rows. Other columns
+    are not read, whatever they are named.
     """
     pieces = materialise(cut_documents(docs, capacity, separator, with_ids, vocabulary_file))
     per_task = materialise(pieces.groupBy("task", "length").agg(F.count("*").alias("n")))

@@ -18,8 +18,9 @@ def count_tokens(docs: DataFrame, limit: int = 1024, vocabulary_file: str = voca
 
     Blocks of texts are taken from each partition as they come; the distinct pre-tokens of a block are
     counted once and joined to its texts inside the task, so nothing is shuffled. Only the two named
-    columns are read. A null text counts as empty (0 bytes, 0 tokens); null and repeated ids and
-    repeated rows are kept as they are; an empty table gives an empty result.
+    columns are read, whatever the others are named. A null text counts as empty (0 bytes, 0 tokens); a text is counted
+    whole, and one longer than a block is a block of its own. A count that equals ``limit`` is not over it. Null and
+    repeated ids and repeated rows are kept as they are; an empty table gives an empty result.
     """
 
     def blocks(batch: pa.RecordBatch):
