@@ -23,8 +23,9 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
     """Packing patterns (lengths in order, how many sequences) for ``counts[length]`` pieces of each length.
 
     Lengths are placed longest first, each into the packs with most room; all packs of one pattern are
-    filled at a time, so the work follows the number of lengths and not of pieces. Each step either uses up
-    a length or a pattern, so there are at most two patterns for each length.
+    filled at a time, so the work follows the number of lengths and not of pieces. Where no pack has room, new ones are
+    opened one after the other and each filled with that length before the next, as if pieces came one by one. Each step
+    uses up a pattern, or else a length with at most two patterns more.
     """
     by_room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     rooms: list[int] = []
@@ -39,7 +40,11 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
         left = counts[length]
         while left:
             if not rooms or rooms[-1] < length:
-                put((length,), left)
+                full, rest = divmod(left, capacity // length)
+                if full:
+                    put((length,) * (capacity // length), full)
+                if rest:
+                    put((length,) * rest, 1)
                 break
             room = rooms[-1]
             pattern, n = by_room[room].pop()
