@@ -6,7 +6,9 @@ import math
 import numpy as np
 import pytest
 
-from trackweave.llm import fingerprints, whitening
+from pyspark.sql import functions as F
+
+from trackweave.llm import fingerprints, hard_negatives, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -121,3 +123,62 @@ def test_likeness_of_columns(spark):
     share = sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / fingerprints.SAMPLES
     row = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.likeness("a", "b").alias("l")).first()
     assert row.l == share and 0 < share < 1
+
+
+def _brute_negatives(rows, is_anchor, positives=5, negatives=10, scale=256):
+    valid = [(k, y, [math.floor(scale * c) for c in v]) for k, v, y in rows if k is not None and y is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    out = []
+    for k, y, q in valid:
+        if not is_anchor(k):
+            continue
+        scored = sorted((-dot(q, r), i, z == y) for i, z, r in valid)
+        for s, p, _ in [x for x in scored if x[2] and x[1] != k][:positives]:
+            inside = [x for x in scored if not x[2] and 30 * -s <= 100 * -x[0] <= 90 * -s][:negatives]
+            out += [(k, p, rank, i, -s, -t) for rank, (t, i, _) in enumerate(inside, 1)]
+    return sorted(out)
+
+
+def _mined(spark, rows, **more):
+    kind = "vec_id long, embedding array<double>, label int, id int, norm int, q int"
+    data = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], kind)
+    return sorted(map(tuple, hard_negatives.mine(data, F.col("id") % 4 == 0, **more).collect()))
+
+
+def _vectors(n, d, labels, spread, seed):
+    random = np.random.default_rng(seed)
+    v = random.standard_normal((n, d)) * np.exp(random.uniform(0, spread, (n, 1)))
+    return [(i, [float(c) for c in x], int(random.integers(0, labels))) for i, x in enumerate(v)]
+
+
+@pytest.mark.parametrize("spread,labels", [(0.0, 3), (3.0, 2), (3.0, 40)])
+def test_hard_negatives_against_brute_force(spark, monkeypatch, spread, labels):
+    for name, value in (("BUCKET_ROWS", 8), ("CHUNK_ROWS", 16), ("TILE_ANCHORS", 10)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = _vectors(240, 6, labels, spread, labels)
+    rows[100:180] = [(i, rows[0][1], y) for i, _, y in rows[100:180]]  # a third of all are copies
+    rows += rows[4:8] + [(300, [0.0] * 6, 1), (304, [0.0] * 6, 1)]  # repeated ids, zero vectors
+    assert _mined(spark, rows) == _brute_negatives(rows, lambda k: k % 4 == 0)
+
+
+def test_hard_negatives_of_large_and_missing_values(spark):
+    rows = [(k, [c * 1e5 for c in v], y) for k, v, y in _vectors(60, 4, 2, 0.5, 3)]  # products beyond 2**53
+    odd = [(60, None, 1), (64, [1.0, None, 0.0, 0.0], 1), (68, [float("nan")] * 4, 1), (72, [1.0] * 4, None), (None, [1.0] * 4, 1), (76, [math.inf] * 4, 0)]
+    assert _mined(spark, rows + odd) == _brute_negatives(rows, lambda k: k % 4 == 0)
+    assert _mined(spark, rows + [(80, [1e30] * 4, 1), (84, [1.0], 1), (88, [], 1)]) == _brute_negatives(rows, lambda k: k % 4 == 0)
+    assert _mined(spark, odd) == [] and _mined(spark, rows[:1]) == []
+    assert _mined(spark, rows, positives=2, negatives=3) == _brute_negatives(rows, lambda k: k % 4 == 0, 2, 3)
+
+
+def test_norm_bounds_leave_buckets_out(spark, monkeypatch):
+    for name, value in (("BUCKET_ROWS", 8), ("CHUNK_ROWS", 8), ("TILE_ANCHORS", 8)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = [(i, [math.exp(-i / 20), 0.0], i % 2) for i in range(400)]
+    plain = hard_negatives.integer_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    search = hard_negatives.Search(plain, plain.where("id < 4"))
+    seen = []
+    real = hard_negatives.materialise
+    monkeypatch.setattr(hard_negatives, "materialise", lambda df: seen.append(df.columns == ["tile", "chunk"] and df.count()) or real(df))
+    search.best(search.whole(), 5, True).collect()
+    pairs = [n for n in seen if n is not False]
+    assert len(pairs) == 2 and pairs[1] < search.chunks.count() / 2

@@ -43,4 +43,13 @@ reach(a, b) as (select a, b from links union select reach.a, links.b from reach
 least_ as (select a as doc_id, min(b) as m from reach group by a)
 select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id from d left join n using (doc_id) left join least_ using (doc_id)"""
 
-ORACLES = {"op1_decontamination": OP1, "op2_line_dedup": OP2, "op10_ngram_join": OP10}
+OP12 = """
+with v as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end::bigint as label, list_transform(embedding, lambda c: floor(256 * c::double)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.id as a, b.id as b, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as s from v a join v b on a.id % 100 = 0 and a.id <> b.id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.a, p.b order by s.s desc, s.b)::int as rank, s.b as negative_id, p.s as positive_score, s.s as negative_score
+from p join s on s.a = p.a and not same and 30 * p.s <= 100 * s.s and 100 * s.s <= 90 * p.s
+qualify row_number() over (partition by p.a, p.b order by s.s desc, s.b) <= 10"""
+
+ORACLES = {"op1_decontamination": OP1, "op2_line_dedup": OP2, "op10_ngram_join": OP10, "op12_hard_negatives": OP12}

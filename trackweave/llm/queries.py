@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, fingerprints, html_extract, line_dedup, ngram_join, packing, quality, token_counts, token_output, url_filter, whitening
+from . import ann, decontaminate, fingerprints, hard_negatives, html_extract, line_dedup, ngram_join, packing, quality, token_counts, token_output, url_filter, whitening
 from .common import ensure_importable, read_table
 from .oracles import ORACLES
 
@@ -73,6 +73,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("id") % 100 == 0)
+
+
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
