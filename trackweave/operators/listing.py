@@ -36,6 +36,27 @@ def page(rows: DataFrame, limit: int, offset: int = 0, most: int = 1000) -> Data
     return rows.offset(offset).limit(limit) if offset else rows.limit(limit)
 
 
+def page_after(rows: DataFrame, last: tuple[object, int] | None, limit: int, most: int = 1000) -> DataFrame:
+    """The page, newest first, behind the row with (created_at, id) ``last``; the first page for None.
+
+    What it costs does not grow with the rows before it: each task keeps ``limit`` of those behind the cursor, which the
+    scan filters by. Rows that are added meanwhile, newer than the cursor, shift nothing. Without a time means the end of the list.
+    """
+    P.checked_page(limit, 0, most)
+    if last is None:
+        return newest_first(rows).limit(limit)
+    at, key = F.lit(last[0]).cast(rows.schema["created_at"].dataType), F.col("id") < F.lit(last[1])
+    time = F.col("created_at")
+    behind = time.isNull() & key if last[0] is None else ((time <= at) | time.isNull()) & ((time < at) | time.isNull() | key)
+    return newest_first(rows.where(behind)).limit(limit)
+
+
+def cursor(page_rows: DataFrame) -> tuple[object, int] | None:
+    """(created_at, id) of a page's last row; None for an empty page, behind which there is nothing."""
+    last = page_rows.orderBy(F.asc_nulls_first("created_at"), "id").select("created_at", "id").first()
+    return None if last is None else tuple(last)
+
+
 def envelope(rows: DataFrame, limit: int, offset: int = 0, most: int = 1000) -> DataFrame:
     """One row: how many rows there are, how many the page has, and whether more follow."""
     P.checked_page(limit, offset, most)
@@ -75,6 +96,11 @@ def status_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.count_if(F.coalesce(F.col("status") == s, F.lit(False))).alias(s) for s in DOWNLOAD_STATES], F.count("id").alias("total"))
 
 
+def client_histogram(rows: DataFrame) -> DataFrame:
+    """One row: how many rows the client's list has in the states that it counts, and in all."""
+    return rows.agg(*[F.count_if(F.coalesce(F.col("status") == s, F.lit(False))).alias(s) for s in ("queued", "downloading", "completed", "failed")], F.count("*").alias("total"))
+
+
 def tab_counts(rows: DataFrame) -> DataFrame:
     """(tab, n) for all, active and each state that there is."""
     tabs = F.array(F.lit("all"), F.col("status"), F.when(F.col("status").isin(P.ACTIVE_IN_CLIENT), "active"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import scalars as S
+from ..sources.storage import with_ids
+from ..sources.versions import VersionedTable
+from .scans import with_previous
 
 #: Which state may follow which.
 TRANSITIONS = {
@@ -32,6 +35,30 @@ def enqueue_skipped(candidates: DataFrame, downloads: DataFrame) -> DataFrame:
     return tagged.where(F.coalesce("active", F.lit(False)) | (F.col("idx") > F.col("first"))).select(*candidates.columns)
 
 
+def append_new(table: VersionedTable, requests: DataFrame) -> int:
+    """Queue requests (url, idx, title) in a table that others write to as well; how many were new.
+
+    Ids follow the last committed one, in the order of ``idx``; where another writer was first, urls are compared with
+    its rows and ids are given again. So ids have no gaps, and no url is active twice.
+    """
+    added = 0
+
+    def make(rows: DataFrame, facts: dict):
+        last = facts.get("last_id", 0)
+        new = with_ids(enqueue_new(requests, rows).select("idx", "url", "title"), "idx", start=last + 1)
+
+        def told(written: DataFrame) -> dict:
+            nonlocal added
+            added = written.count()
+            return {"last_id": last + added}
+
+        return new.withColumns({"status": F.lit("queued"), "progress": F.lit(0.0)}), told
+
+    if not enqueue_new(requests, table.read()).isEmpty():
+        table.append(make)
+    return added
+
+
 def batch_summary(outcomes: DataFrame) -> DataFrame:
     """(batch, outcome queued, skipped or failed) -> counts and progress of each batch."""
     counts = {x: F.count_if(F.col("outcome") == x) for x in ("queued", "skipped", "failed")}
@@ -66,6 +93,11 @@ def pending(rows: DataFrame) -> DataFrame:
     return resume(rows).where("status = 'queued'").orderBy(F.asc_nulls_first("created_at"), "id")
 
 
+def depth(rows: DataFrame) -> DataFrame:
+    """One row: how many rows wait in the queue."""
+    return rows.agg(F.count_if(F.coalesce(F.col("status") == "queued", F.lit(False))).alias("depth"))
+
+
 def cancel(rows: DataFrame, which: Column, now: Column | None = None) -> DataFrame:
     return _changed(rows, which & F.col("status").isin(P.CANCELLABLE), now, status=F.lit("cancelled"))
 
@@ -83,9 +115,17 @@ def bulk_delete(rows: DataFrame, status: str) -> DataFrame:
     return rows.where(F.col("status") != status)
 
 
+def _last_of(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The last row of each id by those of the columns ``order`` that there are; of equal ones the largest."""
+    by = F.struct(*[F.col(c) for c in order if c in rows.columns], *[F.col(c) for c in rows.columns if c not in order])
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), by).alias("r")).select("r.*")
+
+
 def complete(rows: DataFrame, results: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows after results (id, title, artist, album, done_tracks, total_tracks): the track counts are always
-    overwritten, the names only by what is there; ``updated_at``, if there is one, becomes ``now``."""
+    overwritten, the names only by what is there; ``updated_at``, if there is one, becomes ``now``. Of several results
+    of an id the last counts, by their own ``updated_at`` and ``seq`` if they have them."""
+    results = _last_of(results, ("updated_at", "seq"))
     new = results.select("id", *[F.col(c).alias(f"new_{c}") for c in ("title", "artist", "album", "done_tracks", "total_tracks")], F.lit(True).alias("done"))
     joined = rows.join(new, "id", "left")
     kept = {c: F.coalesce(f"new_{c}", c) for c in ("title", "artist", "album")}
@@ -96,12 +136,18 @@ def complete(rows: DataFrame, results: DataFrame, now: Column | None = None) ->
     return joined.withColumns(kept | over | state).select(*rows.columns)
 
 
-def invalid_transitions(events: DataFrame, tie: str = "seq") -> DataFrame:
-    """(key, ts, status, ``tie``) -> events whose state may not follow the one before, in the order of ``ts`` and ``tie``."""
-    before = F.lag("status").over(Window.partitionBy("key").orderBy("ts", tie))
+def is_invalid(was: Column, status: Column) -> Column:
+    """Whether a state may not follow another: what is known may only go where TRANSITIONS says, or stay."""
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-    return events.withColumn("was", before).where(
-        F.col("was").isNotNull() & (F.col("was") != F.col("status")) & ~F.array_contains(F.try_element_at(allowed, F.col("was")), F.col("status")))
+    return was.isNotNull() & (was != status) & ~F.array_contains(F.try_element_at(allowed, was), status)
+
+
+def invalid_transitions(events: DataFrame, tie: str = "seq") -> DataFrame:
+    """(key, ts, status, ``tie``) -> events whose state may not follow the one before (``was``), in the order of ``ts`` and ``tie``.
+
+    The state before comes from a scan over sorted ranges, so that a key with any share of the events is spread over all tasks.
+    """
+    return with_previous(events, "key", ["ts", tie], {"status": "was"}).where(is_invalid(F.col("was"), F.col("status")))
 
 
 def select_items(items: DataFrame, ids: DataFrame, selected: bool = True) -> DataFrame:
@@ -120,6 +166,11 @@ def queue_selected(items: DataFrame, job: str) -> DataFrame:
     return items.where((F.col("processing_job_id") == job) & F.col("selected_for_download"))
 
 
+def visible(items: DataFrame, kinds: list[str]) -> DataFrame:
+    """Items of the release types that are shown; without a type they are not."""
+    return items.where(F.col("release_type").isin(kinds))
+
+
 def all_selected(items: DataFrame) -> DataFrame:
     """One row: whether all are selected; none is not all."""
     return items.agg(F.coalesce(F.bool_and("selected_for_download"), F.lit(False)).alias("all_selected"))
@@ -134,5 +185,6 @@ def remove_from_selection(selection: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def upsert(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
-    """A snapshot with changed rows in place of its own, and new ones added."""
+    """A snapshot with changed rows in place of its own, and new ones added; of an id's changes the last, by ``updated_at`` and ``seq``."""
+    changes = _last_of(changes, ("updated_at", "seq"))
     return snapshot.join(changes.select("id"), "id", "left_anti").unionByName(changes)

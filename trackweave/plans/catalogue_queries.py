@@ -59,7 +59,7 @@ def _items(f):
 
 
 def _visible(items: DataFrame, *kinds: str) -> DataFrame:
-    return items.where(F.col("release_type").isin(*kinds)).select("id")
+    return Q.visible(items, list(kinds)).select("id")
 
 
 def _selection(items: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ QUERIES = {
     "items_page": (_items(lambda i: L.page(i.where("processing_job_id = 'j1'").orderBy("id"), 1000, 0, 5000).select("id", "title")), I + "select id, title from items where processing_job_id = 'j1' order by id limit 1000"),
     "selected_to_queue": (_items(lambda i: Q.queue_selected(i, "j1").select(F.col("playlist_id").alias("id"), "title", "url", "track_count", "release_type")),
                           I + "select playlist_id as id, title, url, track_count, release_type from items where processing_job_id = 'j1' and selected_for_download"),
-    "visible_types": (_items(lambda i: i.where(F.col("release_type").isin("ep", "single")).select("id", "release_type")), I + "select id, release_type from items where release_type in ('ep', 'single')"),
+    "visible_types": (_items(lambda i: Q.visible(i, ["ep", "single"]).select("id", "release_type")), I + "select id, release_type from items where release_type in ('ep', 'single')"),
     "selection_union": (_items(lambda i: Q.add_to_selection(_selection(i), _visible(i, "ep"))), I + "select id from items where selected_for_download union select id from items where release_type = 'ep'"),
     "selection_except": (_items(lambda i: Q.remove_from_selection(_selection(i), _visible(i, "ep"))), I + "select id from items where selected_for_download except select id from items where release_type = 'ep'"),
     "selection_visible": (_items(lambda i: _visible(i, "album", "ep")), I + "select id from items where release_type in ('album', 'ep')"),

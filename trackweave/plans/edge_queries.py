@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import scalars as S
 from ..sources import fixtures as X
-from ..sources.storage import read_table, shared_folder
+from ..sources.storage import new_folder, read_table
 from ..streaming import status as T
 from . import enrichment as E
 
@@ -143,7 +142,7 @@ def _latest_stream(spark: SparkSession, sf_dir: str, every: str | None = None) -
     schema = read_table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     latest = T.latest(X.as_status_events(stream)).select("key", "status", "seq", "value")
-    return T.run(latest, spark, f"{shared_folder(spark).rstrip('/')}/latest-{uuid.uuid4().hex}", every)
+    return T.run(latest, spark, new_folder(spark, "latest"), every)
 
 
 def _snapshot_then_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:

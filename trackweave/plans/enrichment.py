@@ -102,11 +102,12 @@ def job_snapshot_parts(items: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
     summed over the parts of a job alone, one row each; the arrays are not moved for it.
     """
     names = [c for c in items.columns if c not in ("processing_job_id", "progress")]
-    dealt = items.withColumn("part", F.floor(F.col("id") / part_ids))
+    # an item goes as one struct, so that no column of its own clashes with the part's
+    dealt = items.select("processing_job_id", F.floor(F.col("id") / part_ids).alias("part"), F.struct(*names).alias("item"))
     key = ["processing_job_id", "part"]
     end = F.sum("n").over(Window.partitionBy("processing_job_id").orderBy("part"))
     places = dealt.groupBy(*key).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"of_{c}") for c in key], (end - F.col("n")).alias("begin"), end.alias("end"))
-    arrays = dealt.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("metadata_results"))
+    arrays = dealt.groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias("metadata_results"))
     same = F.col("processing_job_id").eqNullSafe(F.col("of_processing_job_id")) & F.col("part").eqNullSafe(F.col("of_part"))
     return arrays.join(places, same).select(*key, "begin", "end", "metadata_results")
 

@@ -48,8 +48,15 @@ def _reduced(rows: DataFrame) -> DataFrame:
     return rows.select("id", "status", "progress", "error_message")
 
 
-def _events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.invalid_transitions(X.status_events(spark, sf_dir).select("key", "ts", "status"), tie="status").groupBy("was", "status").agg(F.count("*").alias("n"))
+def _invalid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.invalid_transitions(X.status_events(spark, sf_dir).select("key", "ts", "seq", "status")).select("key", "seq", "was", "status")
+
+
+#: Which state may follow which, written out again.
+ALLOWED_SQL = """allowed(was, status) as (values ('queued', 'downloading'), ('queued', 'cancelled'), ('downloading', 'processing'), ('downloading', 'completed'), ('downloading', 'failed'),
+  ('downloading', 'queued'), ('downloading', 'cancelled'), ('processing', 'completed'), ('processing', 'failed'), ('failed', 'queued'), ('cancelled', 'queued'))"""
+STEPS_SQL = f"with {X.EVENTS_SQL}" + """, steps as (select key, seq, status, lag(status) over (partition by key order by ts, seq) as was from status_events)"""
+INVALID_SQL = f"{STEPS_SQL}, {ALLOWED_SQL} select key, seq, was, status from steps where was is not null and was <> status and (was, status) not in (select was, status from allowed)"
 
 
 QUERIES = {
@@ -82,7 +89,7 @@ QUERIES = {
                     D + f"select {WIRE_SQL} from downloads where status in ('queued', 'downloading')"),
     "active_client": (_over_downloads(lambda d: d.where(F.col("status").isin(P.ACTIVE_IN_CLIENT)).select("id", "status")),
                       D + "select id, status from downloads where status in ('downloading', 'processing')"),
-    "client_histogram": (_over_downloads(lambda d: d.agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("queued", "downloading", "completed", "failed")], F.count("*").alias("total"))),
+    "client_histogram": (_over_downloads(L.client_histogram),
                          D + "select " + ", ".join(f"count(*) filter (status = '{x}') as {x}" for x in ("queued", "downloading", "completed", "failed")) + ", count(*) as total from downloads"),
     "open_histogram": (_over_downloads(lambda d: d.groupBy(F.coalesce("artist", F.lit("?")).alias("artist")).agg(F.count("*").alias("n"))),
                        D + "select coalesce(artist, '?') as artist, count(*) as n from downloads group by 1"),
@@ -93,7 +100,7 @@ QUERIES = {
     "any_processing": (_over_downloads(lambda d: L.any_with(d, ["pending", "processing"])),
                        D + """select coalesce(bool_or(status in ('pending', 'processing')), false) as "any" from downloads"""),
     "any_processing_of_none": (_over_downloads(lambda d: L.any_with(d.where("id < 0"), ["processing"])), 'select false as "any"'),
-    "queue_depth": (_over_downloads(lambda d: d.where("status = 'queued'").agg(F.count("*").alias("depth"))), D + "select count(*) as depth from downloads where status = 'queued'"),
+    "queue_depth": (_over_downloads(Q.depth), D + "select count(*) as depth from downloads where status = 'queued'"),
     "status_labels": (_over_downloads(lambda d: d.select("id", S.state_label(F.col("status")).alias("label"), S.release_label(
         F.col("artist"), F.col("album"), F.col("done_tracks"), F.col("total_tracks")).alias("detail"))),
         D + """select id, upper(substr(status, 1, 1)) || substr(status, 2) as label, concat_ws(' · ', nullif(artist, ''), nullif(nullif(album, 'Unknown Album'), ''),
@@ -126,9 +133,7 @@ QUERIES = {
                       D + """select id, title, case when id % 3 = 0 then 'New' else artist end as artist, album, case when id % 3 = 0 then 'completed' else status end as status,
                       case when id % 3 = 0 then 100.0 else progress end as progress, case when id % 3 = 0 then 9 else done_tracks end as done_tracks,
                       case when id % 3 = 0 then null else total_tracks end as total_tracks from downloads"""),
-    "invalid_transitions": (_events_by_user, f"with {X.EVENTS_SQL}" + """, steps as (select status, lag(status) over (partition by key order by ts, status) as was from status_events),
-                            allowed(was, status) as (values """ + ", ".join(f"('{a}', '{b}')" for a, bs in Q.TRANSITIONS.items() for b in bs) + """)
-                            select was, status, count(*) as n from steps where was is not null and was <> status and (was, status) not in (select was, status from allowed) group by was, status"""),
+    "invalid_transitions": (_invalid_rows, INVALID_SQL),
     "client_page": (_over_downloads(lambda d: L.client_page(d.where("status = 'failed'"), 9999, 25)),
                     D + """select count(*) as n, ceil(count(*) / 25)::bigint as pages, ceil(count(*) / 25)::bigint as page, ((ceil(count(*) / 25) - 1) * 25 + 1)::bigint as "from", count(*) as "to"
                     from downloads where status = 'failed'"""),

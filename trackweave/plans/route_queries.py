@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import formats as M
 from ..operators import listing as L
 from ..operators import queue as Q
+from ..operators.scans import with_previous
 from ..schemas import CHANNEL
 from ..sources import fixtures as X
-from ..sources.storage import append, job_ids, read_records, read_table, shared_folder, with_ids
+from ..sources.storage import append, job_ids, new_folder, read_records, read_table, with_ids
 from . import api
 from . import enrichment as E
 from .catalogue_queries import AUDIO_SQL
 from .edge_queries import FOLDER_SQL, RELEASE_SQL
-from .list_queries import WIRE_SQL
+from .list_queries import INVALID_SQL, WIRE_SQL
 
 NOW = datetime.datetime(2025, 1, 2, 3, 4, 5)
 NOW_SQL = "timestamp '2025-01-02 03:04:05'"
@@ -37,10 +37,6 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.downloads(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _touched(rows: DataFrame) -> DataFrame:
     """How many rows are in each state, and how many of them were changed now."""
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("updated_at") == _now()).alias("changed"), F.count("error_message").alias("errors"))
@@ -73,7 +69,7 @@ CREATED_SQL = C_ + f""", {REQUESTS_SQL}, {X.INFO_SQL}, created as (select idx, r
 
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even requests are written first, then odd ones with the ids that follow."""
-    new, path = _created(spark, sf_dir).select("idx", "url", "title", "status"), _folder(spark, "downloads")
+    new, path = _created(spark, sf_dir).select("idx", "url", "title", "status"), new_folder(spark, "downloads")
     append(with_ids(new.where("idx % 2 = 0"), "idx"), path)
     last = spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     append(with_ids(new.where("idx % 2 = 1"), "idx", start=last + 1), path)
@@ -81,14 +77,14 @@ def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "items")
+    path = new_folder(spark, "items")
     append(_processed(spark, sf_dir), path)
     return E.release_counts(spark.read.parquet(path))
 
 
 def _records_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as lines of JSON and read back by their schema."""
-    path = _folder(spark, "records")
+    path = new_folder(spark, "records")
     X.channel_records(spark, sf_dir).write.json(path)
     return E.flat_entries(read_records(spark, path, CHANNEL)).select("channel", "channel_url", "pos", "id", "url", "title", "track_count", "kind")
 
@@ -127,19 +123,15 @@ def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds that each event of a user would have waited, one an hour being allowed."""
-    before = F.lag("ts").over(Window.partitionBy("key").orderBy("ts", "seq"))
-    since = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(before.cast("timestamp")) / 1e6
-    rows = X.status_events(spark, sf_dir).select("seq", since.alias("since"))
-    return rows.where("since is not null").select("seq", F.round(S.throttle_wait(F.col("since"), F.lit(3600.0)), 3).alias("wait"))
+    rows = with_previous(X.status_events(spark, sf_dir).select("key", "ts", "seq"), "key", ["ts", "seq"], {"ts": "before"})
+    since = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("before").cast("timestamp")) / 1e6
+    return rows.where("before is not null").select("seq", F.round(S.throttle_wait(since, F.lit(3600.0)), 3).alias("wait"))
 
 
 def _by_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.invalid_transitions(X.status_events(spark, sf_dir)).groupBy("was", "status").agg(F.count("*").alias("n"))
 
 
-ALLOWED_SQL = ", ".join(f"('{a}', '{b}')" for a, after in Q.TRANSITIONS.items() for b in after)
-
-
 def _labels(rows: DataFrame) -> DataFrame:
     status = F.col("status")
     return rows.select("id", F.length(S.short_error(F.repeat("error_message", F.lit(200)))).alias("error_chars"), S.counted(F.col("total_tracks"), "track").alias("tracks"),
@@ -186,6 +178,5 @@ QUERIES = {
                     "select count(distinct l_orderkey) as n, count(distinct l_orderkey) as ids, 8 as short from lineitem"),
     "throttle_waits": (_waits, f"with {X.EVENTS_SQL}, steps as (select seq, epoch_us(ts) / 1e6 - epoch_us(lag(ts) over (partition by key order by ts, seq)) / 1e6 as since from status_events) "
                        "select seq, round(greatest(3600.0::double - since, 0), 3) as wait from steps where since is not null"),
-    "invalid_transitions_in_order": (_by_seq, f"""with {X.EVENTS_SQL}, steps as (select status, lag(status) over (partition by key order by ts, seq) as was from status_events)
-                                     select was, status, count(*) as n from steps where was is not null and was <> status and (was, status) not in (values {ALLOWED_SQL}) group by all"""),
+    "invalid_transitions_in_order": (_by_seq, f"select was, status, count(*) as n from ({INVALID_SQL}) group by all"),
 }

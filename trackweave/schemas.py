@@ -41,6 +41,7 @@ DOWNLOADS = _struct(
     "id long not null, url string not null, title string, artist string, album string, download_type string not null, "
     "status string not null, progress double not null, error_message string, file_path string, total_tracks long, "
     "done_tracks long, format_id string, created_at timestamp_ntz, updated_at timestamp_ntz")
+QUEUED = _struct("id long, url string, title string, status string, progress double")
 PROCESSING_ITEMS = _struct(
     "id long not null, processing_job_id string not null, playlist_id string, title string not null, url string not null, "
     "thumbnail string, track_count long, channel string, channel_url string, source_tab string, release_type string, "

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..schemas import QUEUED
+from .versions import VersionedTable
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +33,7 @@ def with_ids(rows: DataFrame, *order: str, start: int = 1) -> DataFrame:
     its range plus the rows of the ranges before. Only one count of each range is summed in one place.
     """
     spark = rows.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    path = new_folder(spark, "ranges")
     # a number of its own for each row: the range in the upper bits, the place in the lower 33
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
     placed.write.parquet(path)
@@ -43,8 +46,49 @@ def with_ids(rows: DataFrame, *order: str, start: int = 1) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trackweave-")
+    """The folder that all executors share, from ``spark.checkpoint.dir``; in local mode one of the session's own where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.trackweave.scratch", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="trackweave-")
+        spark.conf.set("spark.trackweave.scratch", folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def downloads_table(spark: SparkSession, path: str) -> VersionedTable:
+    """A table of downloads that several writers append to; ``queue.append_new`` adds rows."""
+    return VersionedTable(spark, path, QUEUED)
+
+
+#: Parts that a table is dealt to by a hash of its key; rows of a file at most.
+KEY_PARTS, FILE_ROWS = 64, 4_000_000
+
+
+def _part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def write_by_key(rows: DataFrame, path: str, key: str, parts: int = KEY_PARTS) -> None:
+    """Rows in folders by a hash of ``key`` and sorted by it, for ``read_by_key``.
+
+    The rows of a hot key are split over tasks where they are too many for one (a rebalance), and files have a bounded
+    number of rows. A column named ``__of`` must not be there.
+    """
+    dealt = rows.withColumn("__of", _part_of(F.col(key), parts)).hint("rebalance", "__of")
+    dealt.sortWithinPartitions("__of", key).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("__of").parquet(path)
+
+
+def read_by_key(spark: SparkSession, path: str, schema: StructType, key: str, value: object, parts: int = KEY_PARTS) -> DataFrame:
+    """The rows whose key is ``value``: of one folder, and inside its files of the row groups that can hold it."""
+    whole = StructType([*schema.fields, StructField("__of", IntegerType())])
+    wanted = F.lit(value).cast(schema[key].dataType)
+    found = spark.read.schema(whole).parquet(path)
+    return found.where((F.col("__of") == _part_of(wanted, parts)) & (F.col(key) == wanted)).select(*schema.names)
 
 
 def job_ids(rows: DataFrame) -> DataFrame:
