@@ -116,7 +116,8 @@ def overall_progress(p: Column) -> Column:
 
 
 def stored_progress(percent: Column) -> Column:
-    return F.least(percent, F.lit(99.9))
+    """At most 99.9; null for what tells no progress."""
+    return F.when(percent.isNotNull(), F.least(percent, F.lit(99.9)))
 
 
 def batch_progress(queued: Column, skipped: Column, failed: Column, total: Column) -> Column:
@@ -156,9 +157,9 @@ def media_path(root: Column, artist: Column, album: Column, track: Column, title
     return F.concat_ws("/", root, artist_folder(artist), safe_name(album), name)
 
 
-def first_ids(ids: Column, shown: int = 5) -> Column:
-    """The first ids, and how many more there are."""
-    more = F.size(ids) - shown
+def first_ids(ids: Column, shown: int = 5, n: Column | None = None) -> Column:
+    """The first ids, and how many more there are: of ``n``, or of the array's own."""
+    more = (F.size(ids) if n is None else n) - shown
     return F.concat(F.array_join(F.transform(F.slice(ids, 1, shown), lambda x: x.cast("string")), ", "),
                     F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -60,17 +60,27 @@ def append_new(table: VersionedTable, requests: DataFrame) -> int:
 
 
 def batch_summary(outcomes: DataFrame) -> DataFrame:
-    """(batch, outcome queued, skipped or failed) -> counts and progress of each batch."""
+    """(batch, outcome queued, skipped or failed) -> counts and progress of each batch, and the format it asked for, if there is one."""
     counts = {x: F.count_if(F.col("outcome") == x) for x in ("queued", "skipped", "failed")}
-    return outcomes.groupBy("batch").agg(F.count("*").alias("total"), *[c.alias(x) for x, c in counts.items()]).withColumn(
+    more = [F.max("format_id").alias("format_id")] if "format_id" in outcomes.columns else []
+    return outcomes.groupBy("batch").agg(F.count("*").alias("total"), *[c.alias(x) for x, c in counts.items()], *more).withColumn(
         "progress", S.batch_progress(F.col("queued"), F.col("skipped"), F.col("failed"), F.col("total")))
 
 
 def batch_ids(outcomes: DataFrame) -> DataFrame:
-    """The ids that each batch queued, in order. A batch is a request, whose size the caller bounds."""
+    """The ids that each batch queued, in order. A batch is a request, whose size the caller bounds; of others ``first_batch_ids`` tells the first."""
     return outcomes.where("outcome = 'queued'").groupBy("batch").agg(F.sort_array(F.collect_list("id")).alias("download_ids"))
 
 
+def first_batch_ids(outcomes: DataFrame, shown: int = 5) -> DataFrame:
+    """(batch, ids): the first ids that a batch of any size queued, and how many more. Each task keeps ``shown`` of a batch."""
+    queued = outcomes.where("outcome = 'queued'").select("batch", "id")
+    first = queued.withColumn("nth", F.row_number().over(Window.partitionBy("batch").orderBy("id"))).where(F.col("nth") <= shown)
+    lists = first.groupBy("batch").agg(F.sort_array(F.collect_list("id")).alias("first"))
+    counts = queued.groupBy("batch").agg(F.count("*").alias("n"))
+    return lists.join(counts, "batch").select("batch", S.first_ids(F.col("first"), shown, F.col("n")).alias("ids"))
+
+
 def utc_now() -> Column:
     """The time of the query in UTC, without a zone."""
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())

@@ -81,17 +81,26 @@ def channel_playlists(channels: DataFrame, full: DataFrame) -> DataFrame:
     return E.channel_releases(channels, E.full_metadata(full))
 
 
-def queue_channel(playlists: DataFrame, downloads: DataFrame, batch: str) -> DataFrame:
-    """Outcomes (batch, idx, url, outcome) of queueing playlists (pos, url)."""
+def queue_channel(playlists: DataFrame, downloads: DataFrame, batch: str, format_id: str = M.AUTO_FORMAT) -> DataFrame:
+    """Outcomes (batch, idx, url, outcome, format_id) of queueing playlists (pos, url)."""
     cand = playlists.select("url", F.col("pos").cast("long").alias("idx"))
     new = Q.enqueue_new(cand, downloads).withColumn("outcome", F.lit("queued"))
-    return new.unionByName(Q.enqueue_skipped(cand, downloads).withColumn("outcome", F.lit("skipped"))).withColumn("batch", F.lit(batch))
+    skipped = Q.enqueue_skipped(cand, downloads).withColumn("outcome", F.lit("skipped"))
+    return new.unionByName(skipped).withColumns({"batch": F.lit(batch), "format_id": F.lit(format_id)})
+
+
+def queue_selected_items(items: DataFrame, downloads: DataFrame, job: str, batch: str, format_id: str = M.AUTO_FORMAT) -> DataFrame:
+    """Outcomes (batch, id, url, outcome, format_id) of queueing a job's selected items, in the order of their ids."""
+    chosen = Q.queue_selected(items, job).select("url", F.col("id").alias("pos"))
+    return queue_channel(chosen, downloads, batch, format_id).withColumnRenamed("idx", "id")
 
 
 def batch_status(outcomes: DataFrame, batch: str) -> DataFrame:
-    """Counts, progress and ids of a batch, without the format it asked for."""
+    """Counts, progress and first ids of a batch of any size; what it says of the format stays inside."""
     own = outcomes.where(F.col("batch") == batch)
-    return Q.batch_summary(own).join(Q.batch_ids(own.withColumnRenamed("idx", "id")), "batch", "left").drop("format_id")
+    own = own.withColumnRenamed("idx", "id") if "id" not in own.columns else own
+    ids = Q.first_batch_ids(own).withColumnRenamed("ids", "download_ids")
+    return Q.batch_summary(own).drop("format_id").join(ids, "batch", "left")
 
 
 def process_channel(channels: DataFrame, full: DataFrame, job: str) -> DataFrame:

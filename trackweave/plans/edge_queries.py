@@ -190,7 +190,7 @@ QUERIES = {
     "size_labels": _projected(SIZES, "k long, mb double", "label", lambda: S.size_label(F.col("mb")), "case when mb is null or mb = 0 then '~Unknown size' when mb < 1 then '~' || floor(mb * 1024 + 0.5)::bigint || ' KB' else '~' || printf('%.1f', mb) || ' MB' end", "k"),
     "origin_lists": _projected(CORS, "k long, v string", "origins", lambda: F.array_join(S.origins(F.col("v")), ";"), "case when trim(v) = '*' then '*' else array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x: x <> ''), ';') end", "k"),
     "first_true": _projected(COALESCE, "k long, a long, b long, c long", "x", lambda: S.first_true(F.col("a"), F.col("b"), F.col("c"), empty=0), "coalesce(nullif(a, 0), nullif(b, 0), c)", "k"),
-    "progress_overall": _projected(PROGRESS, PROGRESS_SCHEMA, "progress", lambda: S.stored_progress(S.overall_progress(_progress())), f"least({PROGRESS_SQL}, 99.9)", "k"),
+    "progress_overall": _projected(PROGRESS, PROGRESS_SCHEMA, "progress", lambda: S.stored_progress(S.overall_progress(_progress())), f"(select case when x is not null then least(x, 99.9) end from (select {PROGRESS_SQL} as x))", "k"),
     "backoff": (lambda s, d: s.range(0, 8).select(F.col("id").alias("attempt"), S.linear_backoff(F.lit(60), F.col("id")).alias("linear"), S.jittered_backoff(F.lit(0.1), F.col("id"), F.lit(0.5)).alias("jittered"), S.reconnect_delay(F.col("id")).alias("reconnect")),
                 "select i as attempt, 60 * i as linear, 0.1::double * pow(2.0::double, i) * (0.5::double + 0.5::double * 0.5::double) as jittered, least(1000 * pow(2.0, i), 30000.0)::double as reconnect from range(0, 8) t(i)"),
     "media_paths": (lambda s, d: X.searchable(s, d).select("id", S.media_path(F.lit("/music"), F.col("artist"), F.col("album"), F.col("id") % 100, F.col("title"), F.lit("mp3")).alias("path")),

@@ -116,7 +116,7 @@ QUERIES = {
                         select idx, url from ranked where rn > 1 or url in (select url from downloads where status in ('queued', 'downloading', 'processing', 'completed'))"""),
     "batch_summary": (lambda s, d: Q.batch_summary(_outcomes(s, d)), OUTCOMES_SQL + """select batch, count(*) as total, count(*) filter (outcome = 'queued') as queued,
                       count(*) filter (outcome = 'skipped') as skipped, count(*) filter (outcome = 'failed') as failed, 100.0::double as progress from outcomes group by batch"""),
-    "batch_ids": (lambda s, d: Q.batch_ids(_outcomes(s, d)).select("batch", S.first_ids(F.col("download_ids")).alias("ids")),
+    "batch_ids": (lambda s, d: Q.first_batch_ids(_outcomes(s, d)),
                   OUTCOMES_SQL + """, lists as (select batch, list(id order by id) as ids from outcomes where outcome = 'queued' group by batch)
                   select batch, array_to_string(ids[1:5], ', ') || case when len(ids) > 5 then ' +' || (len(ids) - 5) || ' more' else '' end as ids from lists"""),
     "resume_reset": (_over_downloads(lambda d: _reduced(Q.resume(d))),

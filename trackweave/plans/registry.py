@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import api_queries, catalogue_queries, edge_queries, list_queries, route_queries, stream_queries
+from . import api_queries, catalogue_queries, edge_queries, list_queries, route_queries, stream_queries, table_queries
 
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = list_queries.QUERIES | catalogue_queries.QUERIES | edge_queries.QUERIES | api_queries.QUERIES | route_queries.QUERIES | stream_queries.QUERIES
+_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = list_queries.QUERIES | catalogue_queries.QUERIES | edge_queries.QUERIES | api_queries.QUERIES | route_queries.QUERIES | stream_queries.QUERIES | table_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
