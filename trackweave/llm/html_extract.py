@@ -25,7 +25,10 @@ _TOKEN = re.compile(
     # a quote opens a value only after "="; what the end of the page leaves open goes
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|style|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_VALUES = re.compile(r"""=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'>]+)""")
+_HIDDEN, _NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?=\s|/|$)", re.I), re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
+#: The words of a name: its parts between signs, digits and changes of case.
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg annotation annotation-xml textarea select option canvas audio video title".split())
 CLOSES_P = set("address article aside blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
@@ -39,14 +42,18 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 FURNITURE_TAGS = set("head nav aside footer form button dialog menu".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 FURNITURE_NAMES = set("""ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion
-cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register paywall
+cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription paywall
 sidebar rail widget widgets related recommended recommendations share sharing social follow
 menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc
-comment comments commentlist discussion disqus replies reply respond
-footer copyright legal skip""".split())
-#: What a compound name may hold beside one of these and still name furniture; "social-science" does not.
-COMPANIONS = set("""area bar block body bottom box button buttons container content cta form group header holder icons inner item items left link links list
-main news panel posts pane right row section site slot strip text title top unit wrap wrapper""".split())
+comment comments commentlist replies reply
+footer copyright skip""".split())
+#: Words that name furniture beside an article, but may name its subject or parts within it.
+OUTER_WORDS = set("alert legal login signup register discussion disqus respond".split())
+#: Names of reader comments, which may be articles themselves.
+COMMENT_NAMES = set("comment comments commentlist replies reply".split())
+#: What a compound name may hold beside one of these and still name furniture, as it may hold parts of two letters or one; "social-science" does not.
+COMPANIONS = set("""area bar block body bottom box button buttons container content cta entry facebook form group header holder icons inner item items left link links list
+main news page panel post posts pane reader right row section site slot story strip text title top twitter unit user users wrap wrapper""".split())
 #: Cut outside the article only: within it, these hold its title.
 OUTER_NAMES = set("header masthead topbar top hero search side".split())
 ARTICLE_NAMES = {"articlebody", "article-body", "post-content", "entry-content", "article-content"}
@@ -54,23 +61,33 @@ ARTICLE_NAMES = {"articlebody", "article-body", "post-content", "entry-content",
 MIN_PAGES, GAMMA, LEAST_IMPORTANCE = 4, 0.9, 0.3
 
 
+def _named(words: list[set[str]], among: set[str], alone: bool = False) -> bool:
+    """Whether a name has one of these words and, beside it, none that says something else."""
+    return any(w & among and (w <= among if alone else all(len(x) < 3 or x in among or x in COMPANIONS for x in w)) for w in words)
+
+
 @lru_cache(100_000)
 def _look(tag: str, attributes: str) -> tuple[str, str]:
-    """What an element is for ("", "article", "furniture" or "outer"), and its look (tag, classes)."""
-    named = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)} if attributes else {}
+    """What an element is for and its look (tag, classes). Purposes: "furniture"; "frame", furniture unless a page's only
+    article is in it; "outer", furniture outside of the article; "article"; "" for all else."""
+    given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)} if attributes else {}
+    named = {k: v.lower() for k, v in given.items()}
     look = f"{tag}.{'.'.join(sorted(named.get('class', '').split()))}"
     if tag in ("html", "body"):
         return "", look
-    if tag in FURNITURE_TAGS or named.get("role") in FURNITURE_ROLES or (attributes and _HIDDEN.search(named.get("style", "") if "style" in named else re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes))):
-        return "furniture", look
-    names = f"{named.get('class', '')} {named.get('id', '')}".split()
-    parts = [set(re.findall(r"[a-z]+", x)) for x in names]
-    if any(p & FURNITURE_NAMES and p <= FURNITURE_NAMES | COMPANIONS for p in parts if len(p) == 1 or tag not in ("article", "main")):
+    if attributes and (_NOT_SHOWN.search(named.get("style", "")) or _HIDDEN.search(_VALUES.sub(" ", attributes))):
         return "furniture", look
-    if tag in ("article", "main") or named.get("role") in ("main", "article") or named.get("itemprop") == "articlebody" or \
-            ARTICLE_NAMES & set(names):
+    names = f"{given.get('class', '')} {given.get('id', '')}".split()
+    words = [{x.lower() for x in _WORDS.findall(n)} for n in names]
+    if tag in ("article", "main"):
+        return ("furniture" if _named(words, COMMENT_NAMES) else "article"), look
+    if tag in FURNITURE_TAGS or named.get("role") in FURNITURE_ROLES:
+        return ("frame" if tag == "form" or named.get("role") == "form" else "furniture"), look
+    if named.get("role") in ("main", "article") or named.get("itemprop") == "articlebody" or ARTICLE_NAMES & {n.lower() for n in names}:
         return "article", look
-    if tag == "header" or any(p & OUTER_NAMES and p <= OUTER_NAMES | COMPANIONS for p in parts):
+    if _named(words, FURNITURE_NAMES):
+        return "frame", look
+    if tag == "header" or _named(words, OUTER_NAMES) or _named(words, OUTER_WORDS):
         return "outer", look
     return "", look
 
@@ -87,15 +104,16 @@ class Page:
         self.parent, self.path, self.look, self.purpose, self.tags = [-1], [0], [""], [""], ["#root"]
         self.children: list[list[int]] = [[]]
         self.runs: list[tuple[int, str]] = []
-        stack, at, end, in_head = [0], 0, len(source), False
+        self._stack, self._open = [0], {}
+        at, end, in_head, endless = 0, len(source), False, set()
         while at < end:
             m = _TOKEN.search(source, at)
             stop = m.start() if m else end
             if stop > at:
                 if in_head and not source[at:stop].isspace():
-                    self._close(stack, {"head"}, set())
+                    self._close({"head"})
                     in_head = False
-                self.runs.append((stack[-1], source[at:stop]))
+                self.runs.append((self._stack[-1], source[at:stop]))
             if not m:
                 break
             at = m.end()
@@ -105,53 +123,61 @@ class Page:
             if m[1]:
                 if tag in RAW or tag in VOID:
                     if tag == "br":
-                        self.runs.append((stack[-1], " "))
+                        self._break()
                     continue
-                k = len(stack) - 1
-                while k and self.tags[stack[k]] != tag:
-                    k -= 1
-                if k:
-                    del stack[k:]
+                self._close({tag})
                 if tag in BLOCKS:
-                    self.runs.append((stack[-1], " "))
+                    self._break()
                 continue
             if in_head and tag not in METADATA:
-                self._close(stack, {"head"}, set())
+                self._close({"head"})
                 in_head = False
             if tag in RAW:
-                closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 if not (m[3] or "").rstrip().endswith("/"):
-                    at = closing.end() if closing else (end if tag in ("script", "style") else at)
+                    # an end that was not found once is not looked for again
+                    closing = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+                    if closing:
+                        at = closing.end()
+                    else:
+                        endless.add(tag)
+                        at = end if tag in ("script", "style") else at
                 if tag in BLOCKS:
-                    self.runs.append((stack[-1], " "))
+                    self._break()
                 continue
             if tag in CLOSES_P:
-                self._close(stack, {"p"}, {"table", "td", "th", "button", "object"})
+                self._close({"p"}, {"table", "td", "th", "button", "object"})
             if tag in SIBLINGS:
-                self._close(stack, *SIBLINGS[tag])
+                self._close(*SIBLINGS[tag])
             if tag in BLOCKS:
-                self.runs.append((stack[-1], " "))
+                self._break()
             if tag in VOID:
                 continue
             purpose, look = _look(tag, m[3] or "")
-            parent = stack[-1]
+            parent = self._stack[-1]
             self.children[parent].append(len(self.tags))
             self.parent.append(parent)
             self.path.append(_path(self.path[parent], look))
             self.look.append(look)
             self.purpose.append(purpose)
+            self._open.setdefault(tag, []).append(len(self._stack))
+            self._stack.append(len(self.tags))
             self.tags.append(tag)
             self.children.append([])
-            stack.append(len(self.tags) - 1)
             in_head |= tag == "head"
 
-    def _close(self, stack: list[int], tags: set[str], within: set[str]) -> None:
-        k = len(stack) - 1
-        while k and self.tags[stack[k]] not in within:
-            if self.tags[stack[k]] in tags:
-                del stack[k:]
-                return
-            k -= 1
+    def _break(self) -> None:
+        self.runs.append((self._stack[-1], " "))
+
+    def _close(self, tags: set[str], within: set[str] = frozenset()) -> None:
+        """Close the innermost open element of ``tags`` and all in it, unless one of ``within`` was opened after it.
+
+        The places of open elements are kept by tag, so this costs no walk over what is open; each element is closed once.
+        """
+        k, barrier = (max((self._open[t][-1] for t in own if self._open.get(t)), default=0) for own in (tags, within))
+        if k > barrier:
+            for element in reversed(self._stack[k:]):
+                self._open[self.tags[element]].pop()
+            del self._stack[k:]
 
     def features(self) -> set[tuple[int, int, int]]:
         """(path, kind, feature): kind 0 the looks of the children, 1 the element's own text, 2 that the page has the path."""
@@ -174,12 +200,22 @@ class Page:
     def text(self, model: dict[int, tuple[int, float, float | None]]) -> str:
         """The main text. ``model``: path -> (presentations, importance of presentation, importance of text or None)."""
         n = len(self.tags)
-        article = [False] * n
-        cut = [False] * n
-        for k in range(1, n):
-            up = self.parent[k]
-            cut[k] = cut[up] or self.purpose[k] == "furniture" or (self.purpose[k] == "outer" and not article[up])
-            article[k] = not cut[k] and (article[up] or self.purpose[k] == "article")
+
+        def marked_by(purpose: list[str]) -> tuple[list[bool], list[bool]]:
+            article, cut = [False] * n, [False] * n
+            for k in range(1, n):
+                up = self.parent[k]
+                cut[k] = cut[up] or purpose[k] in ("furniture", "frame") or (purpose[k] == "outer" and not article[up])
+                article[k] = not cut[k] and (article[up] or purpose[k] == "article")
+            return article, cut
+
+        article, cut = marked_by(self.purpose)
+        if "article" in self.purpose and not any(article):
+            # the page's articles are all in forms or in what a name calls furniture: what is around one of them isn't
+            around = [p == "article" for p in self.purpose]
+            for k in range(n - 1, 0, -1):
+                around[self.parent[k]] |= around[k]
+            article, cut = marked_by(["" if p in ("frame", "outer") and around[k] else p for k, p in enumerate(self.purpose)])
         holds = article[:]
         importance = [1.0] * n
         for k in range(n - 1, 0, -1):
