@@ -41,7 +41,7 @@ def windows(text: str | None, width: int) -> list[bytes]:
 class Automaton:
     """All windows of the given (item, text) pairs in one automaton over normalised text."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         import ahocorasick
 
         self.items = [item for item, _ in items]
@@ -71,6 +71,10 @@ class Automaton:
         return len(words), [(int(a), int(b), ks) for a, b, (_, (_, ks)) in zip(starts, ends, found, strict=True)]
 
 
+def _in_order(item: str | None) -> tuple[bool, str]:
+    return item is not None, item or ""
+
+
 def _report(automaton: Automaton, text: str | None, before: list[dict]) -> dict:
     """Words, hit words, items and character spans, with those of earlier automata merged in."""
     n, found = automaton.scan(text)
@@ -87,8 +91,8 @@ def _report(automaton: Automaton, text: str | None, before: list[dict]) -> dict:
                 reach = max(reach, marks[k][1])
                 k += 1
             hit += b <= reach
-    return {"n_words": n, "n_hit": hit, "items": sorted({i for _, _, i in spans}),
-            "spans": [{"start": a, "end": b, "item": i} for a, b, i in sorted(spans)]}
+    return {"n_words": n, "n_hit": hit, "items": sorted({i for _, _, i in spans}, key=_in_order),
+            "spans": [{"start": a, "end": b, "item": i} for a, b, i in sorted(spans, key=lambda s: (*s[:2], _in_order(s[2])))]}
 
 
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, width: int, shard_bytes: int) -> list[DataFrame]:
@@ -106,8 +110,9 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, width: int, shar
                     texts.append(b" ".join(words[s : s + step + width - 1]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
 
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
-                             F.col(text_col).alias("text")).mapInArrow(deal, "item string, text string")
+    # repeated rows count once, here and in the sum: what is collected is what was summed
+    items = materialise(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+                        .mapInArrow(deal, "item string, text string").distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     if n == 1:
@@ -150,8 +155,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
     to ``shard_bytes`` is one automaton; a larger one is dealt into several, which scan one after
     another, each adding to what the ones before found, with the state written between them.
 
-    A null or empty text has no words and no hits; a long one is scanned whole. A null item id counts as the item
-    "null". Repeated items count once, windows of several items count for each, repeated documents each get their
+    A null or empty text has no words and no hits; a long one is scanned whole. A null item id is an item
+    of its own, which stands first and is null in the lists. Repeated items count once, windows of several items count for each, repeated documents each get their
     row, and an empty benchmark hits nothing. An empty table has no rows; other columns are not read. ``keep`` may
     hold any names; one called "found" stands beside the struct.
     """
@@ -161,6 +166,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256 (of the comma-joined sorted items), contaminated.
+    An item without an id counts, but has no part in the hash.
 
     Nulls, long texts, ties, repeated rows and empty tables: see find_contamination. Without items the hash is that of an
     empty string. Other columns of the documents are not returned.

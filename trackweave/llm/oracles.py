@@ -11,7 +11,7 @@ lengths as (select distinct n from windows),
 dw as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from d, lengths where len(w) >= n),
 hits as (select doc_id, item_id, i, dw.n from dw join windows on windows.n = dw.n and s = array_to_string(w[i : i + dw.n - 1], ' ')),
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
-items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hits group by doc_id)
+items as (select doc_id, count(distinct coalesce('i' || item_id::varchar, '')) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hits group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)"""
 
