@@ -31,7 +31,7 @@ def made(seed, groups=12, copies=6):
     return [(k, t, len(t or ""), "x", "y") for k, t in enumerate(out)]
 
 
-def brute_lines(rows, min_words=3):
+def brute_lines(rows):
     seen, kept = [], {}
     for k, text, *_ in sorted(rows, key=lambda r: r[0]):
         if text is None:
@@ -39,7 +39,7 @@ def brute_lines(rows, min_words=3):
         gone = []
         for i, line in enumerate(text.split("\n")):
             words = {w for w in line.lower().split(" ") if w}
-            if sum(w != "" for w in line.split(" ")) < min_words:
+            if not words:
                 continue
             if any(5 * len(words & s) >= 4 * len(words | s) for s in seen):
                 gone.append(i)
@@ -79,7 +79,7 @@ def test_lines_of_any_length(spark):
     space = "\t\x0b\r\x85\xa0\u2003\u3000"
     texts = ["Les.\nAnd ornd.\n一二三四五六七八\na\tb\tc\n", "les.\nand  ornd.\n一二三四五六七八\nc b a\n", "a\xa0b\u3000c\nnew\none\n \n\t\n", "one\rone\nOther\n" + "u" * 500, "u" * 500, None, ""]
     rows = [(k, t) for k, t in enumerate(texts)]
-    want = brute_lines([(k, t and re.sub(f"[{space}]", " ", t)) for k, t in rows], 1)
+    want = brute_lines([(k, t and re.sub(f"[{space}]", " ", t)) for k, t in rows])
     got = {r["doc_id"]: sorted(r["removed"]) for r in line_dedup.removed_lines_of_any_length(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want | {5: []}
     assert got[1] == [0, 1, 2, 3] and got[2] == [0] and got[3] == [0] and got[4] == [0]

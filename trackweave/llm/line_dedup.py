@@ -21,9 +21,9 @@ CLASS, MARKS = ["h1", "h2"], ["mark", "mark2"]
 WHITE_SPACE = r"\x09\x0B-\x0D\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def has_words(line: Column, least: int) -> Column:
-    """Whether a line has ``least`` words or more, repeated ones too; reads no further than these."""
-    return line.rlike(f"^ *([^ ]+ +){{{least - 1}}}[^ ]")
+def has_words(line: Column) -> Column:
+    """Whether a line has any word: all else but lines of spaces alone takes part."""
+    return F.trim(line) != ""
 
 
 def _row() -> Column:
@@ -71,16 +71,21 @@ def _mark(keys: Column) -> Column:
         "shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
-def _classes(docs: DataFrame, levels: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """One row for each set of words: its hashes, size, first line, two marks of the rarer half of its words, and prefix."""
-    lines = _lines(_keyed(docs)).where(has_words(F.col("line"), min_words)).select("row", "line_no", "line", levels.scalar().alias("level"))
+def _classes(docs: DataFrame, levels: DataFrame, num: int, den: int) -> DataFrame:
+    """One row for each set of words: its hashes, size, first line, two marks of the rarer half of its words, and prefix.
+
+    A set so small that even one word more or less makes it unlike (up to three words at 4/5) is like equal sets
+    alone, which are its class: it has no prefix and meets no other.
+    """
+    lines = _lines(_keyed(docs)).where(has_words(F.col("line"))).select("row", "line_no", "line", levels.scalar().alias("level"))
     lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(F.col("line"), F.col("level")).alias("keys"))
     size, odd = F.size("keys"), F.lit(64).cast("long")
     lines = lines.select("first", "keys", size.alias("size"), F.slice("keys", 1, _half(size)).alias("half"))
     halves = [F.filter("half", lambda k: k.bitwiseAND(odd) == x) for x in (F.lit(0).cast("long"), odd)]
     classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", "size",
                            *[_mark(x).alias(m) for m, x in zip(MARKS, halves, strict=True)],
-                           F.slice("keys", 1, F.col("size") - _least_shared(F.col("size"), num, den) + 1).alias("prefix"))
+                           F.slice("keys", 1, F.when(F.col("size") * (den - num) < num, 0).otherwise(
+                               F.col("size") - _least_shared(F.col("size"), num, den) + 1)).alias("prefix"))
     return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", *MARKS, "prefix")])
 
 
@@ -182,13 +187,13 @@ def _hot_keys(classes: DataFrame) -> DataFrame:
     return materialise(key.groupBy("key").count().where(F.col("count") > HOT).select("key"))
 
 
-def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
-    """(row, kept): for each document the numbers of its lines that stay, of those with ``min_words`` words or more.
+def first_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(row, kept): for each document the numbers of its lines that stay, of those with any word.
 
     Words of up to HOT classes are met at once. Classes with a word of more are first measured against that word's earliest class;
     only what is not like it meets the others.
     """
-    classes = materialise(_classes(docs, _rarity_levels(docs), num, den, min_words))
+    classes = materialise(_classes(docs, _rarity_levels(docs), num, den))
     entries, hot = _entries(classes), _hot_keys(classes)
     if hot.limit(1).count():
         warm = materialise(entries.join(hot, "key"))
@@ -209,27 +214,27 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
     return stay.groupBy(F.col("first.row").alias("row")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept"))
 
 
-def _decided(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
+def _decided(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """``docs`` as structs ``__doc``, with the array ``__lines`` of structs (line, stays)."""
     keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__doc"), _row().alias("__row"))
     joined = keyed.join(kept.select(F.col("row").alias("__key"), F.col("kept").alias("__kept")), F.col("__row").eqNullSafe(F.col("__key")), "left")
     stays = F.coalesce("__kept", F.array().cast("array<int>"))
     return joined.withColumn("__lines", F.transform(F.split("__doc.text", "\n"), lambda line, i: F.struct(
         line.alias("line"),
-        (~has_words(line, min_words) | F.array_contains(stays, i)).alias("stays"))))
+        (~has_words(line) | F.array_contains(stays, i)).alias("stays"))))
 
 
-def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """Documents without the lines that repeat an earlier one; all columns as they were, ``n_chars`` brought up to date.
 
     Two lines match if the Jaccard similarity of their sets of lower-case words is ``num/den`` or more; a line
     goes if any earlier line matches it. Order: by doc_id (nulls last), among equal ids by a hash of the text,
-    then by line number. Lines of fewer than ``min_words`` words always stay. A document whose lines all go
+    then by line number. Words stand between plain spaces; lines of these alone always stay. A document whose lines all go
     is dropped. A null or empty text stays as it is; rows that repeat id and text count as one
     document and get the same result each; an empty table stays empty.
     """
     names = docs.columns
-    out = _decided(docs, first_lines(docs, num, den, min_words), min_words)
+    out = _decided(docs, first_lines(docs, num, den))
     left = F.filter("__lines", lambda x: x["stays"])
     out = out.where(F.col("__lines").isNull() | (F.size(left) > 0))
     text = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
@@ -241,25 +246,25 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3)
 
 
 def removed_lines_of_any_length(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """removed_lines of all lines with a word or more, words standing between white space of any kind (Unicode's).
+    """removed_lines with words that stand between white space of any kind (Unicode's).
 
     White space but line feeds becomes a space first, so rows with one id whose texts differ only in its kind
     are one document.
     """
-    return removed_lines(docs.withColumn("text", F.regexp_replace("text", f"[{WHITE_SPACE}]", " ")), num, den, min_words=1)
+    return removed_lines(docs.withColumn("text", F.regexp_replace("text", f"[{WHITE_SPACE}]", " ")), num, den)
 
 
-def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 3) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed and the removed lines' numbers (from 0); see dedup_lines.
 
-    ``n_lines`` counts lines of ``min_words`` words or more, and only these are removed. A null text has no lines, an empty
+    ``n_lines`` counts lines with any word, and only these are removed. A null text has no lines, an empty
     one none that count; texts and lines are taken whole, however long. Of equal or similar lines the first stays, in the
     order that dedup_lines states. Rows that repeat id and text get the same result each; null ids come last; an empty
     table has no rows; columns other than doc_id and text are not read, whatever they are named.
     """
-    kept = first_lines(docs, num, den, min_words)
+    kept = first_lines(docs, num, den)
     flags = _keyed(docs).select("row", F.when(F.col("text").isNull(), F.array().cast("array<boolean>")).otherwise(F.transform(
-        F.split("text", "\n"), lambda line: has_words(line, min_words))).alias("eligible"))
+        F.split("text", "\n"), lambda line: has_words(line))).alias("eligible"))
     joined = flags.join(kept.withColumnRenamed("row", "key"), F.col("row").eqNullSafe(F.col("key")), "left")
     stays = F.coalesce("kept", F.array().cast("array<int>"))
     eligible = F.filter(F.transform("eligible", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())

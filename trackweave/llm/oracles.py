@@ -18,7 +18,7 @@ from d left join words using (doc_id) left join items using (doc_id)"""
 OP2 = """
 with l as (select doc_id, i - 1 as line_no, list_distinct(list_filter(string_split(lower(ls[i]), ' '), lambda x: x <> '')) as w, len(list_filter(string_split(ls[i], ' '), lambda x: x <> '')) as n_words
   from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))),
-e as (select * from l where n_words >= 3),
+e as (select * from l where n_words >= 1),
 sets as (select list_sort(w) as w, min((doc_id, line_no)) as first, row_number() over () as k from e group by list_sort(w)),
 tokens as (select k, unnest(w) as t, len(w) as n from sets),
 df as (select t, count(*) as c from tokens group by t),
@@ -29,8 +29,9 @@ alike as (select x.first as fa, y.first as fb, a, b from pairs join sets x on x.
 gone as (select distinct case when fa < fb then b else a end as k from alike),
 kept as (select first from sets where k not in (select k from gone)),
 removed as (select doc_id, line_no from e where (doc_id, line_no) not in (select first from kept))
-select d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(ids, '') as removed from documents d
-left join (select doc_id, count(*) as n_removed, string_agg(line_no::varchar, ',' order by line_no) as ids from removed group by doc_id) using (doc_id)"""
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(ids, '') as removed from documents d
+left join (select doc_id, count(*) as n_removed, string_agg(line_no::varchar, ',' order by line_no) as ids from removed group by doc_id) using (doc_id)
+left join (select doc_id, count(*) as n_lines from e group by doc_id) using (doc_id)"""
 
 OP10 = f"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
@@ -52,4 +53,4 @@ select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.a
 from p join s on s.a = p.a and not same and 30 * p.s <= 100 * s.s and 100 * s.s <= 90 * p.s
 qualify row_number() over (partition by p.a, p.b order by s.s desc, s.b) <= 10"""
 
-ORACLES = {"op1_decontamination": OP1, "op2_line_dedup": OP2, "op10_ngram_join": OP10, "op12_hard_negatives": OP12}
+ORACLES = {"op1_decontamination": OP1, "op2_line_dedup": OP2, "op2_line_dedup_whole": OP2, "op10_ngram_join": OP10, "op12_hard_negatives": OP12}
