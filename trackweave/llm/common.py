@@ -32,11 +32,13 @@ def unpacked_rows(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; in local mode one of the session's own where that is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.conf.get("spark.trackweave.scratch", None)
         if not configured:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             configured = "file://" + tempfile.mkdtemp(prefix="trackweave-")
             spark.conf.set("spark.trackweave.scratch", configured)
         spark.sparkContext.setCheckpointDir(configured)
@@ -72,6 +74,11 @@ def ensure_importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once all that was made from it is written itself."""
     spark = df.sparkSession
@@ -79,7 +86,7 @@ def drop_table(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(spark, folder)
 
 
 def small_array(rows: DataFrame, size: int) -> DataFrame:
