@@ -26,18 +26,27 @@ def plain(v):
     return v.isoformat() if isinstance(v, datetime.datetime) else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+PAIRS = {name: (query, registry.oracle_sql()[name]) for name, query in registry.queries().items()} | registry.cases()
+
+
+@pytest.mark.parametrize("name", sorted(PAIRS))
 def test_query_equals_sql(spark, oracle, name):
-    df = registry.queries()[name](spark, SF)
+    query, sql = PAIRS[name]
+    df = query(spark, SF)
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
-    cursor = oracle.execute(registry.oracle_sql()[name])
+    cursor = oracle.execute(sql)
     at = [d[0] for d in cursor.description]
     assert sorted(at) == names
     want = sorted((tuple(plain(r[at.index(c)]) for c in names) for r in cursor.fetchall()), key=repr)
     assert got == want
 
 
+def test_queries_read_tables(spark):
+    """None runs on literal rows alone."""
+    assert not set(registry.queries()) & set(registry.cases()) and set(registry.queries()) == set(registry.oracle_sql())
+
+
 def test_release_histogram_counts(spark):
     rows = {r["release_type"]: r["n"] for r in registry.queries()["release_histogram"](spark, SF).collect()}
     assert rows == {"album": 77, "ep": 470, "single": 953}

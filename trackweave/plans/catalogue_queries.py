@@ -92,7 +92,7 @@ QUERIES = {
     "selection_toggle": (lambda s, d: s.createDataFrame([(1, [1, 2, 3], 2), (2, [1, 3], 2), (3, [], 5)], "k long, ids array<long>, item long").select("k", F.array_join(F.transform(S.toggled(F.col("ids"), F.col("item")), lambda x: x.cast("string")), ",").alias("ids")),
                          "select * from (values (1::bigint, '1,3'), (2::bigint, '1,3,2'), (3::bigint, '5')) t(k, ids)"),
     "type_fully_selected": (_items(lambda i: Q.all_selected(i.where("release_type = 'ep'"))), I + "select coalesce(bool_and(selected_for_download), false) as all_selected from items where release_type = 'ep'"),
-    "no_type_fully_selected": (_items(lambda i: Q.all_selected(i.where("release_type = 'nothing'"))), "select false as all_selected"),
+    "no_type_fully_selected": (_items(lambda i: Q.all_selected(i.where("release_type = 'nothing'"))), I + "select coalesce(bool_and(selected_for_download), false) as all_selected from items where release_type = 'nothing'"),
     "select_items": (_items(lambda i: Q.select_items(i, i.where("id % 7 = 0").select("id")).select("id", "selected_for_download")),
                      I + "select id, selected_for_download or id % 7 = 0 as selected_for_download from items"),
     "deselect_items": (_items(lambda i: Q.select_items(i, i.where("id % 8 = 0").select("id"), False).select("id", "selected_for_download")),

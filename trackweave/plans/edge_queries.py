@@ -64,7 +64,11 @@ RELEASES = [
     ("releases", "Step", 1, 200.0, None, None), ("releases", "Song", 1, None, None, "video"), ("releases", "Some MV", 1, None, None, None), ("releases", "Deep Visualiser (Visualiser)", None, None, None, None),
     ("playlists", "Plain", 3, None, None, None), ("releases", "The Album", 1, 200.0, None, None), ("releases", "y - ep  ", 9, None, None, None)]
 RELEASE_SCHEMA = "tab string, title string, tracks long, duration double, explicit string, kind string"
-VIDEO_SQL = f"""((tracks is null or tracks = 1) and (regexp_matches(lower(title), '{C.VIDEO}') or (coalesce(tracks = 1, false) and contains(lower(coalesce(kind, '')), 'video'))
+#: The rules again, for the twins.
+LIVE_RULE = r"\blive\b|\(live\)|\blive at\b|\blive from\b|\blive in\b|in concert|concert at|recorded live|live recording|live session|live performance|at.*(arena|stadium|hall|center|theatre|theater|opera house|club)"
+VIDEO_RULE = r"\((official|music|official\s+music|lyric|official\s+lyric|live|performance)\s+video\)|\((official\s+)?visuali[sz]er\)|\bmv\b|official\s+mv\b"
+TABS_RULE = "/(videos|shorts|streams|about|community|featured|store|playlists|releases)$"
+VIDEO_SQL = f"""((tracks is null or tracks = 1) and (regexp_matches(lower(title), '{VIDEO_RULE}') or (coalesce(tracks = 1, false) and contains(lower(coalesce(kind, '')), 'video'))
   or (coalesce(tracks = 1, false) and coalesce(duration between 120 and 480, false) and not regexp_matches(lower(title), '(album|ep)\\b'))))"""
 RELEASE_SQL = f"""case when tab <> 'releases' then 'playlist' when {VIDEO_SQL} then 'music_video' when lower(trim(explicit)) in ('ep', 'album', 'single') then lower(trim(explicit))
   when regexp_matches(lower(title), '[-–]\\s*single\\s*$') then 'single' when regexp_matches(lower(title), '[-–]\\s*ep\\s*$') then 'ep' when regexp_matches(lower(title), '[-–]\\s*album\\s*$') then 'album'
@@ -123,9 +127,9 @@ def _flat_sql(dedupe: bool, listed: bool) -> str:
     count = "coalesce(nullif(playlist_count, 0), track_count" + (", case when listed > 0 then listed end" if listed else "") + ")"
     first = "qualify row_number() over (partition by coalesce(key, link) order by pos) = 1" if dedupe else ""
     return f"""with {flat}, {full.replace('edge as', 'full_meta as')}, named as (select pos, coalesce(nullif(id, ''), playlist_id) as key, raw_title, {count} as tracks, duration,
-      coalesce(nullif(url, ''), '{S.PLAYLIST_URL}' || coalesce(nullif(id, ''), playlist_id)) as link from edge),
+      coalesce(nullif(url, ''), 'https://www.youtube.com/playlist?list=' || coalesce(nullif(id, ''), playlist_id)) as link from edge),
     usable as (select *, coalesce(nullif(raw_title, ''), 'Unknown Playlist') as title, 'releases' as tab, null::varchar as explicit, null::varchar as kind from named where link is not null {first}),
-    studio as (select *, row_number() over (order by pos) as idx, count(*) over () as n_all from usable where not regexp_matches(lower(title), '{C.LIVE}')),
+    studio as (select *, row_number() over (order by pos) as idx, count(*) over () as n_all from usable where not regexp_matches(lower(title), '{LIVE_RULE}')),
     rich as (select studio.* replace (coalesce(full_meta.n, tracks) as tracks), release_year, full_meta.n * 10.0::double as secs from studio left join full_meta on link = url),
     typed as (select *, {RELEASE_SQL} as release_type from rich)"""
 
@@ -177,14 +181,14 @@ QUERIES = {
     "url_valid": _projected(URLS, "k long, v string", "ok", lambda: S.is_accepted_url(F.col("v")), r"regexp_matches(trim(v), '^https?://((music\.|www\.|m\.)?youtube\.com/|youtu\.be/)', 'i')", "k"),
     "page_urls_valid": (lambda s, d: read_table(s, d, "pages").groupBy(S.is_accepted_url(F.col("url")).alias("ok")).agg(F.count("*").alias("n")),
                         r"select regexp_matches(trim(url), '^https?://((music\.|www\.|m\.)?youtube\.com/|youtu\.be/)', 'i') as ok, count(*) as n from pages group by 1"),
-    "channel_root": _projected(CHANNELS, "k long, v string", "root", lambda: S.channel_root(F.col("v")), f"regexp_replace(regexp_replace(v, '/+$', ''), '{S.CHANNEL_TABS}', '')", "k"),
-    "page_root": (lambda s, d: read_table(s, d, "pages").select("page_id", S.channel_root(F.col("url")).alias("root")), f"select page_id, regexp_replace(regexp_replace(url, '/+$', ''), '{S.CHANNEL_TABS}', '') as root from pages"),
+    "channel_root": _projected(CHANNELS, "k long, v string", "root", lambda: S.channel_root(F.col("v")), f"regexp_replace(regexp_replace(v, '/+$', ''), '{TABS_RULE}', '')", "k"),
+    "page_root": (lambda s, d: read_table(s, d, "pages").select("page_id", S.channel_root(F.col("url")).alias("root")), f"select page_id, regexp_replace(regexp_replace(url, '/+$', ''), '{TABS_RULE}', '') as root from pages"),
     "classify_edge": _projected(RELEASES, RELEASE_SCHEMA, "release_type", lambda: C.release_type(F.col("tab"), F.col("title"), F.col("tracks"), F.col("kind"), F.col("duration"), F.col("explicit")), RELEASE_SQL, "title, tracks, duration, explicit, kind"),
     "music_video_edge": _projected(RELEASES, RELEASE_SCHEMA, "is_video", lambda: C.is_music_video(F.col("title"), F.col("tracks"), F.col("kind"), F.col("duration")), VIDEO_SQL, "title, tracks, duration, kind"),
-    "live_edge": _projected(LIVE_TITLES, "k long, v string", "live", lambda: C.is_live(F.col("v")), f"regexp_matches(lower(v), '{C.LIVE}')", "k"),
+    "live_edge": _projected(LIVE_TITLES, "k long, v string", "live", lambda: C.is_live(F.col("v")), f"regexp_matches(lower(v), '{LIVE_RULE}')", "k"),
     "download_type_edge": _projected(DOWNLOADS, "url string, kind string, id string", "download_type", lambda: C.download_type(F.col("url"), F.col("kind"), F.col("id")),
                                      "case when coalesce(kind, '') <> 'playlist' then 'song' when starts_with(coalesce(id, ''), 'OLAK5uy_') then 'album' when contains(lower(url), 'channel') or contains(lower(url), 'artist') then 'artist' else 'playlist' end", "url"),
-    "rate_limit_errors": _projected(ERRORS, "k long, v string", "limited", lambda: S.is_rate_limit(F.col("v")), f"regexp_matches(lower(v), '{S.RATE_LIMIT}')", "k"),
+    "rate_limit_errors": _projected(ERRORS, "k long, v string", "limited", lambda: S.is_rate_limit(F.col("v")), "regexp_matches(lower(v), '429|too many requests|rate limit|throttled')", "k"),
     "locked_errors": _projected(ERRORS, "k long, v string", "locked", lambda: S.is_locked(F.col("v")), "contains(v, 'database is locked')", "k"),
     "mp3_quality": _projected(QUALITIES, "k long, v string", "quality", lambda: S.mp3_quality(F.col("v")), "case when regexp_matches(v, '^[0-9]+$') and try_cast(v as bigint) <= 10 then v else replace(v, 'k', '') end", "k"),
     "size_labels": _projected(SIZES, "k long, mb double", "label", lambda: S.size_label(F.col("mb")), "case when mb is null or mb = 0 then '~Unknown size' when mb < 1 then '~' || floor(mb * 1024 + 0.5)::bigint || ' KB' else '~' || printf('%.1f', mb) || ' MB' end", "k"),

@@ -99,7 +99,7 @@ QUERIES = {
     "no_badge": (_over_downloads(lambda d: L.badge(d, "paused")), D + "select nullif(count(*) filter (status = 'paused'), 0) as badge from downloads"),
     "any_processing": (_over_downloads(lambda d: L.any_with(d, ["pending", "processing"])),
                        D + """select coalesce(bool_or(status in ('pending', 'processing')), false) as "any" from downloads"""),
-    "any_processing_of_none": (_over_downloads(lambda d: L.any_with(d.where("id < 0"), ["processing"])), 'select false as "any"'),
+    "any_processing_of_none": (_over_downloads(lambda d: L.any_with(d.where("id < 0"), ["processing"])), D + """select coalesce(bool_or(status = 'processing'), false) as "any" from downloads where id < 0"""),
     "queue_depth": (_over_downloads(Q.depth), D + "select count(*) as depth from downloads where status = 'queued'"),
     "status_labels": (_over_downloads(lambda d: d.select("id", S.state_label(F.col("status")).alias("label"), S.release_label(
         F.col("artist"), F.col("album"), F.col("done_tracks"), F.col("total_tracks")).alias("detail"))),
