@@ -1,4 +1,4 @@
-"""Nearest neighbours by vantage-point trees, one for each shard of the vectors."""
+"""Nearest neighbours by vantage-point trees: one of few levels that deals vectors and queries to regions, one for each shard of a region."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from .common import materialise
 
 #: Distinct vectors in a shard, about; queries in a block; vectors in a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 4096, 256, 48
+#: Vectors of the sample, chosen by a hash, that the upper levels are fitted on. All vectors are dealt by them.
+SAMPLE_ROWS = 16_384
 #: Distances of unit vectors are off by less: the root of a few rounding errors.
 ROUNDING = 1e-6
 #: Pairs of vectors that are compared at a time.
@@ -160,11 +162,91 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", "v", F.size("v").alias("dim")).distinct()
 
 
-def build_index(vectors: DataFrame, k: int, shards: int) -> DataFrame:
-    """(dim, shard, tree): the vectors of each shard, with the ids that share a vector.
+class Router:
+    """The upper levels of a vantage-point tree: each leaf is a region of all unit vectors of one dimension.
 
-    Of ids with the very same vector the least k + 1 can be among any query's k nearest, so a shard keeps those; the
-    rows of one vector are dealt over all shards like any others.
+    A node sends what is no further from its vantage point than ``limit`` to its first child. That rule, not the sample it
+    was fitted on, bounds how near a region can be.
+    """
+
+    def __init__(self, units: np.ndarray, leaves: int):
+        self.point: list[np.ndarray] = []
+        self.limit: list[float] = []
+        self.child: list[list[int]] = []  # a leaf is given as -1 minus its number
+        self.leaves = 0
+        self.root = self._split(np.unique(units, axis=0), leaves)
+
+    def _split(self, own: np.ndarray, leaves: int) -> int:
+        if leaves > 1 and len(own) > 1:
+            point = own[np.argmax(((own - own.mean(0)) ** 2).sum(1))]
+            d = _distances(own, point)
+            limit = float(np.median(d))
+            inside = d <= limit
+            if not inside.all():
+                at = len(self.point)
+                self.point.append(point)
+                self.limit.append(limit)
+                self.child.append([])
+                self.child[at] = [self._split(own[inside], leaves - leaves // 2), self._split(own[~inside], leaves // 2)]
+                return at
+        self.leaves += 1
+        return -self.leaves
+
+    def reached(self, units: np.ndarray, far: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, leaf): the regions that may hold something as near as ``far`` to a vector; its own one always is."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def visit(node: int, who: np.ndarray, bound: np.ndarray) -> None:
+            near = bound * factor <= far[who] + ROUNDING
+            who, bound = who[near], bound[near]
+            if not len(who):
+                return
+            if node < 0:
+                found.append((who, np.full(len(who), -1 - node)))
+                return
+            over = _distances(units[who], self.point[node]) - self.limit[node]
+            for child, limit in zip(self.child[node], (over, -over), strict=True):
+                visit(child, who, np.maximum(bound, limit))
+
+        visit(self.root, np.arange(len(units)), np.zeros(len(units)))
+        return tuple(np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *found, strict=True))
+
+    def home(self, units: np.ndarray) -> np.ndarray:
+        """The leaf that each vector is dealt to."""
+        leaf = np.zeros(len(units), np.int64)
+
+        def visit(node: int, who: np.ndarray) -> None:
+            if node < 0:
+                leaf[who] = -1 - node
+            elif len(who):
+                inside = _distances(units[who], self.point[node]) <= self.limit[node]
+                visit(self.child[node][0], who[inside])
+                visit(self.child[node][1], who[~inside])
+
+        visit(self.root, np.arange(len(units)))
+        return leaf
+
+
+def _distances(units: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (units @ point)))
+
+
+def _routers(usable: DataFrame, n: int, shard_rows: int) -> dict[int, Router]:
+    """A router for each dimension that the sample holds; vectors of others are one region."""
+    sample = usable.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE_ROWS).select("v", "dim").toArrow()
+    dims, rows = sample["dim"].to_numpy(), sample["v"].to_pylist()
+    routers = {}
+    for dim in np.unique(dims):
+        own = np.array([v for v, d in zip(rows, dims, strict=True) if d == dim], np.float64)
+        routers[int(dim)] = Router(_units(own), -(-n * len(own) // (len(rows) * shard_rows)))
+    return routers
+
+
+def build_index(vectors: DataFrame, k: int, shard_rows: int) -> DataFrame:
+    """(dim, leaf, tree): the vectors (vec_id, v, dim, leaf) of each shard, with the ids that share a vector.
+
+    A region of more than ``shard_rows`` vectors is dealt to several shards by a hash of the ids, so that copies of one
+    vector fill no shard. Of ids with the very same vector the least k + 1 can be among any query's k nearest, so a shard keeps those.
     """
 
     def build(table: pa.Table) -> pa.Table:
@@ -177,42 +259,26 @@ def build_index(vectors: DataFrame, k: int, shards: int) -> DataFrame:
         nth = np.arange(len(ids)) - begin[np.cumsum(new) - 1]
         kept = nth <= k
         tree = _packed(points=points[begin], ids=ids[kept], owner=(np.cumsum(new) - 1)[kept], **VantagePointTree(_units(points[begin])).arrays())
-        return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "tree": pa.array([tree], pa.binary())})
+        return pa.table({"dim": table["dim"][:1], "leaf": table["leaf"][:1], "tree": pa.array([tree], pa.binary())})
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary")
+    shards = vectors.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))  # a row for each region
+    dealt = vectors.join(shards, ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
+    return dealt.groupBy("dim", "leaf", "shard").applyInArrow(build, "dim int, leaf long, tree binary")
 
 
 def _blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """(dim, leaf, queries): the queries that go to a region, in blocks."""
     def pack(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
         points = np.array(table["v"].to_pylist(), np.float64).reshape(len(ids), -1)
-        return pa.table({"dim": table["dim"][:1], "queries": pa.array([_packed(ids=ids, points=points)], pa.binary())})
+        return pa.table({"dim": table["dim"][:1], "leaf": table["leaf"][:1], "queries": pa.array([_packed(ids=ids, points=points)], pa.binary())})
 
     dealt = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, queries binary")
-
-
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The ``k`` nearest by cosine of each row whose vec_id is divisible by ``every``: (query_id, rank, vec_id, score).
-
-    Every vector is in the tree of a shard, chosen by a hash of its id, and every block of queries goes to each shard;
-    the best of all shards are ranked, nearest first, ties to the smaller vec_id. Scores are computed on the
-    original vectors in double precision. With ``factor`` 1 the search is exact, more prunes more.
+    return dealt.groupBy("dim", "leaf", "block").applyInArrow(pack, "dim int, leaf long, queries binary")
 
-    Vectors that are null or zero or hold null or non-finite components take no part, nor do null ids; rows that
-    repeat id and vector count once, and a query's own id is never its neighbour. Vectors of different lengths are
-    never compared. Multiples of one vector are as near as each other, and any number of ties is ranked by id. An empty
-    table has no rows; other columns are not read.
-    """
-    usable = materialise(_usable(vectors))
-    queries = usable.where(F.col("vec_id") % every == 0)
-    n, q = usable.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // BLOCK_QUERIES))
-    index = materialise(build_index(usable, k, shards))
-    sent = _blocks(queries, blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = sent.join(index, ["dim", "shard"]).select("tree", "queries")
 
+def _found(blocks: DataFrame, index: DataFrame, k: int, factor: float) -> DataFrame:
+    """(query_id, vec_id, score): the best of each shard that a block of queries meets."""
     def run(batches):
         for batch in batches:
             for tree_bytes, query_bytes in zip(batch.column(0), batch.column(1), strict=True):
@@ -238,6 +304,58 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[who[top]]), pa.array(found[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
 
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    return blocks.join(index, ["dim", "leaf"]).select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The ``k`` nearest by cosine of each row whose vec_id is divisible by ``every``: (query_id, rank, vec_id, score).
+
+    Vectors are dealt to regions, and each region's to shards with a tree. A query first searches its own region; then it goes to the other
+    regions that its k-th distance reaches. The best of all are ranked, nearest first, ties to the smaller vec_id. Scores are computed on the
+    original vectors in double precision. With ``factor`` 1 the search is exact, more prunes more.
+
+    Vectors that are null or zero or hold null or non-finite components take no part, nor do null ids; rows that
+    repeat id and vector count once, and a query's own id is never its neighbour. Vectors of different lengths are
+    never compared. Multiples of one vector are as near as each other, and any number of ties is ranked by id. An empty
+    table has no rows; other columns are not read.
+    """
+    usable = materialise(_usable(vectors))
+    n = usable.count()
+    sent = usable.sparkSession.sparkContext.broadcast(_routers(usable, n, shard_rows) if n else {})
+
+    def regions(batches):
+        """The home of each vector; with a column ``far``, the other regions within that distance."""
+        for batch in batches:
+            dims, at, leaf = batch.column("dim").to_numpy(), [], []
+            for dim in np.unique(dims):
+                who, router = np.flatnonzero(dims == dim), sent.value.get(int(dim))
+                if router is None:
+                    one, to = np.arange(len(who)), np.zeros(len(who), np.int64)
+                    home = to
+                else:
+                    units = _units(np.array(batch.column("v").take(pa.array(who)).to_pylist(), np.float64))
+                    home = router.home(units)
+                    one, to = np.arange(len(who)), home
+                if "far" in batch.schema.names:
+                    if router is None:
+                        one = to = one[:0]
+                    else:
+                        one, to = router.reached(units, batch.column("far").to_numpy()[who], factor)
+                        one, to = one[to != home[one]], to[to != home[one]]
+                at.append(who[one])
+                leaf.append(to)
+            at, leaf = (np.concatenate([np.empty(0, np.int64), *x]) for x in (at, leaf))
+            own = [batch.column(c).take(pa.array(at)) for c in ("vec_id", "v", "dim")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(leaf, pa.int64())], names=["vec_id", "v", "dim", "leaf"])
+
+    schema = "vec_id long, v array<double>, dim int, leaf long"
+    homes = materialise(usable.mapInArrow(regions, schema))
+    index = materialise(build_index(homes, k, shard_rows))
+    queries = homes.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    near = materialise(_found(_blocks(queries, blocks), index, k, factor))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kth = near.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("kth"))
+    waiting = queries.drop("leaf").join(kth, "vec_id", "left").withColumn("far", F.coalesce("kth", F.lit(float("inf")))).drop("kth")
+    more = _found(_blocks(waiting.mapInArrow(regions, schema), blocks), index, k, factor)
+    return near.union(more).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
