@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import scalars as S
 from ..operators import listing as L
+from ..settings import Settings
 from ..sources import fixtures as X
 from ..sources.storage import read_table
 from . import api
@@ -168,6 +169,14 @@ def _selected_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.batch_status(_selected_outcomes(spark, sf_dir), "b7")
 
 
+def _page_by_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of active downloads, its size, most size and offset from settings; the envelope beside each row."""
+    given = Settings.from_env(environ={"TRACKWEAVE_DOWNLOADS_PAGE": "70", "TRACKWEAVE_DOWNLOADS_PAGE_MOST": "80", "OTHER_DOWNLOADS_PAGE": "5"})
+    rows = X.downloads(spark, sf_dir).where(F.col("status").isin("queued", "downloading"))
+    page = L.page(L.newest_first(rows), given.downloads_page, given.max_retries, given.downloads_page_most).select("id", "status")
+    return page.crossJoin(F.broadcast(L.envelope(rows, given.downloads_page, given.max_retries, given.downloads_page_most)))  # one row
+
+
 def _snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.initial_snapshot(X.downloads(spark, sf_dir).withColumn("updated_at", F.col("created_at")))[0].drop("updated_at")
 
@@ -185,5 +194,8 @@ QUERIES = {
     "queue_selected_batch": (_selected_batch, SELECTED_SQL + """, ids as (select row_number() over (order by id) as rn, id from outcomes where outcome = 'queued')
                              select 'b7' as batch, count(*) as total, count(*) filter (outcome = 'queued') as queued, count(*) filter (outcome = 'skipped') as skipped, 0::bigint as failed, 100.0::double as progress,
                              (select string_agg(id::varchar, ', ' order by rn) filter (rn <= 5) || case when count(*) > 5 then ' +' || (count(*) - 5) || ' more' else '' end from ids) as download_ids from outcomes"""),
+    "page_by_settings": (_page_by_settings, D + """, active as (select * from downloads where status in ('queued', 'downloading')), n as (select count(*) as total from active)
+                         select id, status, total, least(greatest(total - 5, 0), 70) as page_rows, 70::int as "limit", 5::int as "offset", 75 < total as has_more
+                         from (select * from active order by created_at desc, id desc limit 70 offset 5), n"""),
     "api_initial_snapshot_rows": (_snapshot_rows, D + f"select {WIRE_SQL} from downloads order by downloads.created_at desc, id desc limit 500"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 
@@ -24,7 +25,8 @@ class Settings:
     cors_origins: str = "*"
 
     @classmethod
-    def from_env(cls, prefix: str = "TRACKWEAVE_") -> Settings:
+    def from_env(cls, prefix: str = "TRACKWEAVE_", environ: Mapping[str, str] = os.environ) -> Settings:
+        """Values of the environment, or of the mapping given, in place of the defaults; what does not parse raises ValueError."""
         kinds = {"int": int, "float": float, "str": str}
-        given = {f.name: os.environ[prefix + f.name.upper()] for f in fields(cls) if prefix + f.name.upper() in os.environ}
+        given = {f.name: environ[prefix + f.name.upper()] for f in fields(cls) if prefix + f.name.upper() in environ}
         return cls(**{f.name: kinds[str(f.type)](given[f.name]) for f in fields(cls) if f.name in given})
