@@ -242,8 +242,8 @@ def _routers(usable: DataFrame, n: int, shard_rows: int) -> dict[int, Router]:
     return routers
 
 
-def build_index(vectors: DataFrame, k: int, shard_rows: int) -> DataFrame:
-    """(dim, leaf, tree): the vectors (vec_id, v, dim, leaf) of each shard, with the ids that share a vector.
+def build_index(vectors: DataFrame, k: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(dim, leaf, shard, tree) and (dim, leaf, shards): the vectors (vec_id, v, dim, leaf) of each shard, with the ids that share a vector.
 
     A region of more than ``shard_rows`` vectors is dealt to several shards by a hash of the ids, so that copies of one
     vector fill no shard. Of ids with the very same vector the least k + 1 can be among any query's k nearest, so a shard keeps those.
@@ -259,11 +259,14 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int) -> DataFrame:
         nth = np.arange(len(ids)) - begin[np.cumsum(new) - 1]
         kept = nth <= k
         tree = _packed(points=points[begin], ids=ids[kept], owner=(np.cumsum(new) - 1)[kept], **VantagePointTree(_units(points[begin])).arrays())
-        return pa.table({"dim": table["dim"][:1], "leaf": table["leaf"][:1], "tree": pa.array([tree], pa.binary())})
+        return pa.table({**{c: table[c][:1] for c in ("dim", "leaf", "shard")}, "tree": pa.array([tree], pa.binary())})
 
-    shards = vectors.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))  # a row for each region
-    dealt = vectors.join(shards, ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
-    return dealt.groupBy("dim", "leaf", "shard").applyInArrow(build, "dim int, leaf long, tree binary")
+    # a row for each region, written, so that its size decides whether it is broadcast
+    shards = materialise(vectors.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / shard_rows).alias("shards")))
+    dealt = vectors.join(shards, ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards"))).drop("shards")
+    key = ["dim", "leaf", "shard"]
+    # dealt anew by shard: a join by region would leave all shards of a hot one together
+    return materialise(dealt.repartition(*key).groupBy(*key).applyInArrow(build, "dim int, leaf long, shard long, tree binary")), shards
 
 
 def _blocks(queries: DataFrame, blocks: int) -> DataFrame:
@@ -277,8 +280,8 @@ def _blocks(queries: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("dim", "leaf", "block").applyInArrow(pack, "dim int, leaf long, queries binary")
 
 
-def _found(blocks: DataFrame, index: DataFrame, k: int, factor: float) -> DataFrame:
-    """(query_id, vec_id, score): the best of each shard that a block of queries meets."""
+def _found(blocks: DataFrame, index: DataFrame, shards: DataFrame, k: int, factor: float) -> DataFrame:
+    """(query_id, vec_id, score): the best of each shard that a block of queries meets. A block is sent to the shards of its region one by one."""
     def run(batches):
         for batch in batches:
             for tree_bytes, query_bytes in zip(batch.column(0), batch.column(1), strict=True):
@@ -304,7 +307,9 @@ def _found(blocks: DataFrame, index: DataFrame, k: int, factor: float) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[who[top]]), pa.array(found[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
 
-    return blocks.join(index, ["dim", "leaf"]).select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
+    sent = blocks.join(shards, ["dim", "leaf"]).select("dim", "leaf", each, "queries")
+    return sent.join(index, ["dim", "leaf", "shard"]).select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -350,12 +355,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0
 
     schema = "vec_id long, v array<double>, dim int, leaf long"
     homes = materialise(usable.mapInArrow(regions, schema))
-    index = materialise(build_index(homes, k, shard_rows))
+    index, shards = build_index(homes, k, shard_rows)
     queries = homes.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    near = materialise(_found(_blocks(queries, blocks), index, k, factor))
+    near = materialise(_found(_blocks(queries, blocks), index, shards, k, factor))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     kth = near.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("kth"))
     waiting = queries.drop("leaf").join(kth, "vec_id", "left").withColumn("far", F.coalesce("kth", F.lit(float("inf")))).drop("kth")
-    more = _found(_blocks(waiting.mapInArrow(regions, schema), blocks), index, k, factor)
+    more = _found(_blocks(waiting.mapInArrow(regions, schema), blocks), index, shards, k, factor)
     return near.union(more).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
