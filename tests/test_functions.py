@@ -89,3 +89,15 @@ def test_entry_contract(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_last_page_of_a_list_of_any_length(spark):
+    """The query shows the last page, as its SQL twin does, also of more than 9,999 pages."""
+    from unittest import mock
+
+    from trackweave.plans import list_queries
+
+    rows = spark.range(250_030).select("id", F.lit("failed").alias("status"))
+    with mock.patch.object(list_queries.X, "downloads", lambda s, d: rows):
+        got = list_queries.QUERIES["client_page"][0](spark, "").first().asDict()
+    assert got == {"n": 250_030, "pages": 10_002, "page": 10_002, "from": 250_026, "to": 250_030}

@@ -134,7 +134,7 @@ QUERIES = {
                       case when id % 3 = 0 then 100.0 else progress end as progress, case when id % 3 = 0 then 9 else done_tracks end as done_tracks,
                       case when id % 3 = 0 then null else total_tracks end as total_tracks from downloads"""),
     "invalid_transitions": (_invalid_rows, INVALID_SQL),
-    "client_page": (_over_downloads(lambda d: L.client_page(d.where("status = 'failed'"), 9999, 25)),
+    "client_page": (_over_downloads(lambda d: L.client_page(d.where("status = 'failed'"), L.BEYOND_LAST, 25)),
                     D + """select count(*) as n, ceil(count(*) / 25)::bigint as pages, ceil(count(*) / 25)::bigint as page, ((ceil(count(*) / 25) - 1) * 25 + 1)::bigint as "from", count(*) as "to"
                     from downloads where status = 'failed'"""),
     "page_pills": (lambda s, d: L.page_pills(s.createDataFrame([(1, 1), (5, 3), (20, 1), (20, 10), (20, 20), (9, 4)], "pages long, page long")),
