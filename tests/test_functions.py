@@ -101,3 +101,15 @@ def test_last_page_of_a_list_of_any_length(spark):
     with mock.patch.object(list_queries.X, "downloads", lambda s, d: rows):
         got = list_queries.QUERIES["client_page"][0](spark, "").first().asDict()
     assert got == {"n": 250_030, "pages": 10_002, "page": 10_002, "from": 250_026, "to": 250_030}
+
+
+def test_batch_status_lists_all_that_was_queued(spark):
+    from trackweave.plans import api
+
+    rows = [("b", k, "queued" if k % 3 else "skipped") for k in range(40, 0, -1)] + [("c", 1, "skipped"), ("d", 1, "queued")]
+    outcomes = spark.createDataFrame(rows, "batch string, idx long, outcome string")
+    got = sorted(api.batch_status(outcomes, "b").collect(), key=lambda r: r["nth"])
+    assert [(r["nth"], r["download_id"]) for r in got] == list(enumerate([k for k in range(1, 41) if k % 3], 1))
+    assert {(r["batch"], r["total"], r["queued"], r["skipped"], r["failed"], r["progress"]) for r in got} == {("b", 40, 27, 13, 0, 100.0)}
+    assert [tuple(r) for r in api.batch_status(outcomes, "c").collect()] == [("c", 1, 0, 1, 0, 100.0, None, None)]
+    assert api.batch_status(outcomes, "none").count() == 0

@@ -52,10 +52,10 @@ QUERIES = {
     "api_queue_channel": (lambda s, d: api.queue_channel(_requests(s, d).withColumnRenamed("idx", "pos"), X.downloads(s, d), "b1").groupBy("batch", "outcome").agg(F.count("*").alias("n")),
                           C_ + f""", ranked as (select *, row_number() over (partition by url order by idx) as rn from candidates)
                           select 'b1' as batch, case when rn > 1 or url in (select url from downloads where status in {ACTIVE}) then 'skipped' else 'queued' end as outcome, count(*) as n from ranked group by all"""),
-    "api_batch_status": (lambda s, d: api.batch_status(api.queue_channel(_requests(s, d).withColumnRenamed("idx", "pos"), X.downloads(s, d), "b1"), "b1").withColumnRenamed("download_ids", "ids"),
+    "api_batch_status": (lambda s, d: api.batch_status(api.queue_channel(_requests(s, d).withColumnRenamed("idx", "pos"), X.downloads(s, d), "b1"), "b1"),
                          C_ + f""", ranked as (select *, row_number() over (partition by url order by idx) as rn from candidates), o as (select idx, case when rn > 1 or url in (select url from downloads where status in {ACTIVE}) then 1 else 0 end as skip from ranked), q as (select idx, row_number() over (order by idx) as nth from o where skip = 0)
-                         select 'b1' as batch, count(*) as total, count(*) filter (skip = 0) as queued, count(*) filter (skip = 1) as skipped, 0::bigint as failed, 100.0::double as progress,
-                         (select string_agg(idx::varchar, ', ' order by nth) filter (nth <= 5) || case when count(*) > 5 then ' +' || (count(*) - 5) || ' more' else '' end from q) as ids from o"""),
+                         select * from (select 'b1' as batch, count(*) as total, count(*) filter (skip = 0) as queued, count(*) filter (skip = 1) as skipped, 0::bigint as failed, 100.0::double as progress from o)
+                         left join (select nth, idx as download_id from q) on true"""),
     "api_list_jobs": (lambda s, d: api.list_jobs(jobs(s, d), 20, 5), f"with {JOBS_SQL} select {JOB_WIRE_SQL} from jobs order by jobs.created_at desc, id desc limit 20 offset 5"),
     "api_get_job": (lambda s, d: api.get_job(jobs(s, d), "job7"), f"with {JOBS_SQL} select {JOB_WIRE_SQL} from jobs where id = 'job7'"),
     "api_cancel_job": (lambda s, d: api.cancel_job(jobs(s, d), "job5").select("id", "status"),

@@ -166,7 +166,7 @@ def _selected_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.batch_status(_selected_outcomes(spark, sf_dir), "b7")
+    return api.batch_label(_selected_outcomes(spark, sf_dir), "b7")
 
 
 def _page_by_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
