@@ -81,3 +81,25 @@ def test_counts_of_unknown_states(spark):
     assert queue.depth(rows).first().depth == 2
     assert tuple(listing.client_histogram(rows).first()) == (2, 0, 0, 1, 5)
     assert queue.depth(rows.limit(0)).first().depth == 0
+
+
+def test_records_are_written_compressed_and_read_back(spark, tmp_path):
+    from trackweave.schemas import CHANNEL
+    from trackweave.sources import fixtures
+    from trackweave.sources.storage import read_records, write_records
+
+    records, path = fixtures.channel_records(spark, "/root/testdata/sf0.001"), f"file://{tmp_path}/records"
+    write_records(records, path)
+    assert all(f.endswith(".json.gz") for f in read_records(spark, path, CHANNEL).inputFiles())
+    back = read_records(spark, path, CHANNEL)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, records.select(*CHANNEL.names).collect()))
+
+
+def test_channel_records_shuffle_no_texts(spark):
+    """Only columns of lines are shuffled: texts are made of them when they are in their order's list."""
+    from trackweave.sources import fixtures
+
+    plan = fixtures.channel_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Aggregate":
+        plan = plan.children().apply(0)
+    assert "playlist" not in plan.children().apply(0).schema().simpleString()
