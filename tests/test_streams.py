@@ -198,3 +198,10 @@ def test_timers_requeue_after_a_rate_limit(spark, folder):
     got = _followed(spark, folder, steps, lateness="1 minute")
     at = lambda minute: AT + datetime.timedelta(minutes=minute)
     assert [(k, key, ts) for k, key, ts, *_ in got] == [("requeued", 1, at(2)), ("requeued", 1, at(64))]
+
+
+def test_events_without_a_time_or_number_come_last_in_their_batch(spark, folder):
+    rows = [(1, None, 1, "queued", False), (*_event(1, 5, None, "completed"), False), (*_event(1, 5, 2, "processing"), False), (2, None, None, "failed", None)]
+    want = [(1, 1, "completed", "queued"), (2, 5, "failed", "completed")]
+    got = _followed(spark, folder, [rows, [(*_event(2, 9, 5, "completed"), False)]])
+    assert sorted((k, s, w, t) for _, k, _, s, w, t in got) == want

@@ -18,16 +18,21 @@ _OUT = "key {key}, at long, seq long, was string, status string, kind string"
 _STATE = "status string, at long, seq long, attempts int, due long"
 
 
-def _forbidden(was: pd.Series, status: pd.Series) -> pd.Series:
-    known = was.isin(TRANSITIONS) & status.notna() & (was != status)
-    return known & ~pd.Series([s in TRANSITIONS.get(w, ()) for w, s in zip(was, status, strict=True)], was.index, dtype=bool)
+def _forbidden(was: str | None, status: str | None) -> bool:
+    return was in TRANSITIONS and status is not None and status != was and status not in TRANSITIONS[was]
+
+
+def _plain(column: pd.Series) -> list:
+    """Its values as plain numbers and texts, missing ones as None; whole numbers beside missing ones come as floats."""
+    values = column.tolist()
+    return [None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in values] if column.hasnans else values
 
 
 def follow(events: DataFrame, lateness: str | None = None, backoff_seconds: int = BACKOFF_SECONDS, max_retries: int = MAX_RETRIES) -> DataFrame:
     """A stream of events (key, ts, seq, status, limited) -> rows (key, ts, seq, was, status, kind).
 
     kind "invalid": an event whose state may not follow the key's one before, across batches and restarts, in the order
-    of (ts, seq) inside a batch; an event older than what an earlier batch had of its key is compared with that. With ``lateness`` (a watermark
+    of (ts, seq) inside a batch, without a time last; an event older than what an earlier batch had of its key is compared with that. With ``lateness`` (a watermark
     on ts) rate-limited failures (``limited``) are retried: a timer is set for ts + backoff_seconds * attempt, for at
     most ``max_retries`` attempts in a row; if it fires before another event of the key comes, a row of kind "requeued"
     says so, and the key is queued from then on. A completed event ends the row of attempts.
@@ -51,23 +56,23 @@ def follow(events: DataFrame, lateness: str | None = None, backoff_seconds: int
             yield due_row(key, due)
             state.update(("queued", due, seq, attempts, None))
             return
-        # one key's rows of one batch
-        own = pd.concat(list(batches)).sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
-        before = own["status"].shift()
-        before.iloc[0] = was
-        bad = _forbidden(before, own["status"])
-        if bad.any():
-            yield pd.DataFrame({"key": key[0], "at": own["at"][bad], "seq": own["seq"][bad], "was": before[bad], "status": own["status"][bad], "kind": "invalid"})
-        limited, done = (own["status"] == "failed") & own["limited"], own["status"] == "completed"
-        last_done = int(done[done].index.max()) if done.any() else -1
-        attempts = int(limited[last_done + 1 :].sum()) + (attempts if last_done < 0 else 0)
-        end = own.iloc[-1]
-        due = int(end["at"]) + backoff_seconds * attempts * 1_000_000 if timed and limited.iloc[-1] and attempts <= max_retries else None
-        status = end["status"] if pd.notna(end["status"]) else None
+        # one key's rows of one batch, as lists: operations on a frame cost more than all the rows of a usual key
+        own = [row for b in batches for row in zip(*[_plain(b[c]) for c in ("at", "seq", "status", "limited")], strict=True)]
+        own.sort(key=lambda row: tuple((x is None, x) for x in row[:2]))
+        bad = []
+        for row in own:
+            at, seq, status, failed = row[0], row[1], row[2], row[2] == "failed" and row[3]
+            if _forbidden(was, status):
+                bad.append((key[0], at, seq, was, status, "invalid"))
+            attempts = 0 if status == "completed" else attempts + failed
+            was = status
+        if bad:
+            yield pd.DataFrame(dict(zip(names, map(list, zip(*bad, strict=True)), strict=True)))
+        due = at + backoff_seconds * attempts * 1_000_000 if timed and failed and at is not None and attempts <= max_retries else None
         if due is not None and due // 1000 <= state.getCurrentWatermarkMs():  # the wait is over already
             yield due_row(key, due)
             status, due = "queued", None
-        state.update((status, int(end["at"]), int(end["seq"]), attempts, due))
+        state.update((status, at, seq, attempts, due))
         if due is not None:
             state.setTimeoutTimestamp(-(-due // 1000))
 
