@@ -60,7 +60,7 @@ def draws(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits = _mixed(hashes[:, None] + _STEPS)
     parts = bits.view(np.uint16).reshape(*bits.shape, 4)
     b = (bits >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
-    return _R[parts[..., 0]], b, _LOG_C[parts[..., 1]]
+    return _R.take(parts[..., 0]), b, _LOG_C.take(parts[..., 1])
 
 
 def terms_of(text: str) -> Counter:
@@ -83,7 +83,10 @@ class Sampler:
         self.r, self.b, self.log_c, self.unit = (np.empty((HELD, SAMPLES), np.float32) for _ in range(4))
 
     def _places(self, terms: list[str]) -> np.ndarray:
-        new = [t for t in terms if t not in self.place]
+        at = list(map(self.place.get, terms))
+        if None not in at:
+            return np.array(at, np.int64)
+        new = [t for t, i in zip(terms, at, strict=True) if i is None]
         if len(self.place) + len(new) > HELD:
             self.place, new = {}, terms
         begin = len(self.place)
@@ -93,7 +96,7 @@ class Sampler:
             own = slice(start, min(start + DRAWN, begin + len(new)))
             r, b, log_c = draws(self.hashes[own])
             self.r[own], self.b[own], self.log_c[own], self.unit[own] = r, b, log_c, log_c - r * (1 - b)
-        return np.array([self.place[t] for t in terms])
+        return np.fromiter(map(self.place.__getitem__, terms), np.int64, len(terms))
 
     def samples(self, weights: dict[str, float]) -> np.ndarray:
         """One 16-bit mark for each sample; zeros if there is no term."""
@@ -102,14 +105,14 @@ class Sampler:
         for start in range(0, len(terms), AT_ONCE):
             some = terms[start : start + AT_ONCE]
             at = self._places(some)
-            weight = np.array([weights[t] for t in some], np.float32)
-            a = self.unit[at]
+            weight = np.fromiter(map(weights.__getitem__, some), np.float32, len(some))
+            a = self.unit.take(at, 0)
             heavy = np.flatnonzero(weight != 1)
             own = at[heavy]
             t = np.floor(np.log(weight[heavy])[:, None] / self.r[own] + self.b[own])
             a[heavy] = self.log_c[own] - self.r[own] * (t - self.b[own] + 1)
             value = a.min(0)
-            row, column = np.nonzero(a == value)
+            row, column = np.divmod(np.flatnonzero(a == value), SAMPLES)
             least = np.empty(SAMPLES, np.int64)
             least[column[::-1]] = row[::-1]  # the first, if there are several
             level = np.zeros(SAMPLES, np.int64)
@@ -210,7 +213,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _values(column: pa.Array) -> Iterator:
-    return (x.as_py() for x in column)
+    return iter(column.to_pylist())
 
 
 def _edited(sampler: Sampler, doc_id: int | None, text: str, marks: np.ndarray, after: str, after_marks: np.ndarray) -> tuple:
