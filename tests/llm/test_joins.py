@@ -85,6 +85,23 @@ def test_lines_of_any_length(spark):
     assert got[1] == [0, 1, 2, 3] and got[2] == [0] and got[3] == [0] and got[4] == [0]
 
 
+def test_lines_that_share_their_rare_words_alone(spark, monkeypatch):
+    """Lines with the same rare words that differ in common ones are no candidates, so their pairs are not verified."""
+    rng, verified, counted = random.Random(3), line_dedup._verified, []
+    common = [f"c{i}" for i in range(40)]
+    lines = [" ".join([f"r{i}" for i in range(24)] + rng.sample(common, 16)) for _ in range(60)]
+    rows = [(k, x) for k, x in enumerate([*lines, lines[7], "\n".join(" ".join(rng.sample(common, 2)) for _ in range(2000))])]
+
+    def noted(pairs, *more):
+        counted.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "_verified", noted)
+    got = {r["doc_id"]: sorted(r["removed"]) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+    assert sum(counted) < 300  # of 1770 pairs of lines
+
+
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 

@@ -16,7 +16,9 @@ from .common import HashFilter, drop_table, materialise, quoted, small_array
 BUCKET_BITS = 18
 #: Words shared by more classes than this meet a pivot before they meet each other.
 HOT = 512
-CLASS, MARKS = ["h1", "h2"], ["mark", "mark2"]
+CLASS = ["h1", "h2"]
+#: Bits of a word by which the marks of candidates are four, not one.
+PARTS = 2
 #: White space but the line feed and the plain space, for a class of a regular expression.
 WHITE_SPACE = r"\x09\x0B-\x0D\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -66,32 +68,30 @@ def _sorted_keys(line: Column, level: Column) -> Column:
 
 
 def _mark(keys: Column) -> Column:
-    """A word flips one of 64 bits, chosen by six bits of its key."""
+    """A word flips one of 64 bits, chosen by six bits of its key or hash."""
     return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function(
         "shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
+def _marks(keys: Column) -> Column:
+    """The marks of 2**PARTS parts of a set, by further bits of its words."""
+    part = F.lit(((1 << PARTS) - 1) << 6).cast("long")
+    return F.array(*[_mark(F.filter(keys, lambda k: k.bitwiseAND(part) == x)) for x in range(0, 64 << PARTS, 64)])
+
+
 def _classes(docs: DataFrame, levels: DataFrame, num: int, den: int) -> DataFrame:
-    """One row for each set of words: its hashes, size, first line, two marks of the rarer half of its words, and prefix.
+    """One row for each set of words: its hashes, size, first line, mark, and prefix.
 
     A set so small that even one word more or less makes it unlike (up to three words at 4/5) is like equal sets
     alone, which are its class: it has no prefix and meets no other.
     """
     lines = _lines(_keyed(docs)).where(has_words(F.col("line"))).select("row", "line_no", "line", levels.scalar().alias("level"))
     lines = lines.select(F.struct("row", "line_no").alias("first"), _sorted_keys(F.col("line"), F.col("level")).alias("keys"))
-    size, odd = F.size("keys"), F.lit(64).cast("long")
-    lines = lines.select("first", "keys", size.alias("size"), F.slice("keys", 1, _half(size)).alias("half"))
-    halves = [F.filter("half", lambda k: k.bitwiseAND(odd) == x) for x in (F.lit(0).cast("long"), odd)]
-    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", "size",
-                           *[_mark(x).alias(m) for m, x in zip(MARKS, halves, strict=True)],
+    lines = lines.select("first", "keys", F.size("keys").alias("size"))
+    classes = lines.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(7), "keys").alias("h2"), "first", "size", _mark(F.col("keys")).alias("mark"),
                            F.slice("keys", 1, F.when(F.col("size") * (den - num) < num, 0).otherwise(
                                F.col("size") - _least_shared(F.col("size"), num, den) + 1)).alias("prefix"))
-    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", *MARKS, "prefix")])
-
-
-def _half(size: Column) -> Column:
-    """How many of the rarest words of a set its marks stand for."""
-    return F.shiftright(size + 1, 1)
+    return classes.groupBy(CLASS).agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", "mark", "prefix")])
 
 
 def _least_shared(size: Column, num: int, den: int) -> Column:
@@ -100,26 +100,22 @@ def _least_shared(size: Column, num: int, den: int) -> Column:
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """(key, h1, marks, x) for each word of each prefix; x is the set's size and the word's place."""
-    each = classes.select("h1", "size", *MARKS, F.posexplode("prefix").alias("pos", "key"))
-    return each.select("key", "h1", *MARKS, (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
+    """(key, h1, mark, x) for each word of each prefix; x is the set's size and the word's place."""
+    each = classes.select("h1", "size", "mark", F.posexplode("prefix").alias("pos", "key"))
+    return each.select("key", "h1", "mark", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("x"))
 
 
-def _could_match(num: int, den: int) -> Column:
-    """Filters that no similar pair fails at its first shared word: by length, by place and by marks.
+def _few_alone(differ: Column, words: Column, num: int, den: int) -> Column:
+    """Whether sets of so many words in all may be similar if so many bits of their marks differ: each is a word that one has alone."""
+    return differ * (num + den) <= words * (den - num)
 
-    A word of one set's rarer half that the other set has at all is in the other's rarer half too, unless that
-    ends earlier; so the halves share all that must be shared but what the larger rest can hold, and each
-    bit in which the marks differ is a word that one half has alone.
-    """
+
+def _could_match(num: int, den: int) -> Column:
+    """Filters that no similar pair fails at its first shared word: by length, by place and by marks."""
     (na, rest_a), (nb, rest_b) = ((n := F.shiftright(x, 32), n - F.col(x).bitwiseAND(F.lit((1 << 32) - 1))) for x in ("a.x", "b.x"))
     length = F.least(na, nb) * den >= F.greatest(na, nb) * num
     place = F.least(rest_a, rest_b) * (num + den) >= (na + nb) * num
-    differ = F.lit(0)
-    for m in MARKS:
-        differ += F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}")))
-    alone = _half(na) + _half(nb) + 2 * F.greatest(F.shiftright(na, 1), F.shiftright(nb, 1)) - differ
-    return length & place & (alone * (num + den) >= 2 * (na + nb) * num)
+    return length & place & _few_alone(F.bit_count(F.col("a.mark").bitwiseXOR(F.col("b.mark"))), na + nb, num, den)
 
 
 def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
@@ -128,29 +124,34 @@ def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
     return a.alias("a").join(b.alias("b"), met).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
 
 
-def _oriented(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes as (early, late) by first lines, with these, hashes and sizes."""
+def _candidates(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h1, c, line, marks): each class of the pairs, its first line read again and this one's marks; only documents that may hold one are split."""
     ends = materialise(pairs.select("a").union(pairs.select("b")).toDF("h1").distinct())
     found = classes.where(HashFilter(ends, F.col("h1")).passes(F.col("h1"))).join(ends, "h1", "left_semi")
-    found = materialise(found.select("h1", F.struct("first", F.struct(*CLASS).alias("of"), "size").alias("c")))
-    both = pairs.join(found.toDF("a", "of_a"), "a").join(found.toDF("b", "of_b"), "b")
-    out = materialise(both.select(F.least("of_a", "of_b").alias("early"), F.greatest("of_a", "of_b").alias("late")))
+    found = materialise(found.select("h1", "first", F.struct("first", F.struct(*CLASS).alias("of"), "size").alias("c")))
+    keyed = _keyed(docs)
+    keyed = keyed.where(HashFilter(found, F.xxhash64("first.row")).passes(F.xxhash64("row")))
+    lines = _lines(keyed).select(F.struct("row", "line_no").alias("first"), "line")
+    lines = lines.where(HashFilter(found, F.xxhash64("first")).passes(F.xxhash64("first")))
+    # rows that repeat id and text give a line more than once
+    lines = lines.join(found, "first").groupBy("h1", "c").agg(F.first("line").alias("line"))
+    # a line as it stands takes a third of the room of its words in an array
+    hashes = F.transform(F.array_distinct(F.array_remove(F.split("line", " "), "")), lambda w: F.xxhash64(w))
+    out = materialise(lines.withColumn("marks", _marks(hashes)))
     drop_table(ends)
     drop_table(found)
     return out
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(of, line): the first line of each class of the pairs, read again; only documents that may hold one are split."""
-    wanted = materialise(pairs.select("early.first", "early.of").union(pairs.select("late.first", "late.of")).distinct())
-    keyed = _keyed(docs)
-    keyed = keyed.where(HashFilter(wanted, F.xxhash64("first.row")).passes(F.xxhash64("row")))
-    lines = _lines(keyed).select(F.struct("row", "line_no").alias("first"), "line")
-    lines = lines.where(HashFilter(wanted, F.xxhash64("first")).passes(F.xxhash64("first")))
-    # a line as it stands takes a third of the room of its words in an array
-    out = materialise(lines.join(wanted, "first").groupBy("of").agg(F.first("line").alias("line")))
-    drop_table(wanted)
-    return out
+def _oriented(found: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) of classes those that may be similar by their candidates' marks, as (early, late) by first lines, with these, hashes and sizes."""
+    marked = found.select("h1", "c", "marks")
+    differ = F.lit(0)
+    for x in range(1 << PARTS):
+        differ += F.bit_count(F.get("marks_a", F.lit(x)).bitwiseXOR(F.get("marks_b", F.lit(x))))
+    alike = _few_alone(differ, F.col("of_a.size") + F.col("of_b.size"), num, den)
+    both = pairs.join(marked.toDF("a", "of_a", "marks_a"), "a").join(marked.toDF("b_", "of_b", "marks_b"), (F.col("b") == F.col("b_")) & alike)
+    return materialise(both.select(F.least("of_a", "of_b").alias("early"), F.greatest("of_a", "of_b").alias("late")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -166,8 +167,9 @@ def _repeats(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
     Each class is first compared with the earliest of its candidates, which settles most copies; only what is not
     like that one is compared with all others.
     """
-    oriented = _oriented(classes, pairs)
-    texts = _texts(docs, oriented)
+    found = _candidates(docs, classes, pairs)
+    oriented = _oriented(found, pairs, num, den)
+    texts = found.select("c.of", "line")
     ends = [F.col("early.of").alias("early"), F.col("late.of").alias("late"), (F.col("early.size") + F.col("late.size")).alias("words")]
     earliest = materialise(oriented.groupBy("late").agg(F.min("early").alias("early")).select(*ends))
     gone = _verified(earliest, texts, num, den)
@@ -176,7 +178,7 @@ def _repeats(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, de
     if rest.limit(1).count():
         gone = gone.union(_verified(rest, texts, num, den))
     gone = materialise(gone.select("late.*").distinct())
-    for done in (oriented, texts, earliest, rest):
+    for done in (oriented, found, earliest, rest):
         drop_table(done)
     return gone
 
@@ -197,8 +199,8 @@ def first_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     entries, hot = _entries(classes), _hot_keys(classes)
     if hot.limit(1).count():
         warm = materialise(entries.join(hot, "key"))
-        ruled = classes.select("first", F.struct("h1", "size", *MARKS).alias("c"), F.posexplode("prefix").alias("pos", "key"))
-        ruler = F.struct("c.h1", *[f"c.{m}" for m in MARKS], (F.shiftleft(F.col("c.size").cast("long"), 32) + F.col("pos")).alias("x"))
+        ruled = classes.select("first", F.struct("h1", "size", "mark").alias("c"), F.posexplode("prefix").alias("pos", "key"))
+        ruler = F.struct("c.h1", "c.mark", (F.shiftleft(F.col("c.size").cast("long"), 32) + F.col("pos")).alias("x"))
         pivots = ruled.join(hot, "key").groupBy("key").agg(F.min_by(ruler, "first").alias("p"))
         pivots = materialise(pivots.select("key", "p.*"))
         cold = entries.join(hot, "key", "left_anti")
